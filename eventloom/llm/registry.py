@@ -8,6 +8,7 @@ from .ann_multi_index import approximate_top_k
 from .bpe import bpe_round_trip
 from .common import read_table
 from .html_extract import extract_main_text
+from .jaccard_join import jaccard_components
 from .mixing import pfair_mix
 from .quality_rules import quality_scores
 from .sharding import lpt_shards
@@ -46,6 +47,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"
