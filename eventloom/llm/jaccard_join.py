@@ -31,7 +31,7 @@ from .common import materialize
 
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
-BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 4_000_000
+BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 500_000
 U64 = np.uint64
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -237,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
+    """doc_id, n_shingles and component_id of every row of docs, its key (doc_id, or a hash of the text) and its component's first."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -392,8 +392,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = labelled.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) root")
     lone = roots.toDF("node", "root").join(labelled, "node", "left_anti")  # classes that only step 3 linked
     final = final.unionByName(lone)
-    grouped = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = grouped.select("node", "root").join(least, "root").select("node", "component_id")
-    out = described.select("doc_id", "n", "node").join(names, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    each = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("low"))
+    grouped = each.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.min("low").alias("low"))
+    names = grouped.select("node", "root").join(least, "root").select("node", "component_id", F.coalesce("component_id", "low").alias("first_key"))
+    out = described.select("doc_id", "key", "n", "node").join(names, "node", "left")
+    some = F.col("n") > 0
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "key",
+        F.when(some, F.col("first_key")).otherwise(F.col("key")).alias("first_key"),
+    )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component: that of least doc_id (rows repeated whole count as one)."""
+    first = jaccard_components(docs, id_col, text_col, words, percent).where("key = first_key").select(F.col("key").alias("__key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn("__sum", F.xxhash64(text.cast("binary"))).withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.col("__sum")))
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key", "__sum"]).drop("__key", "__sum")

@@ -126,7 +126,7 @@ def pfair_mix(
         (F.col("p") == F.col("__p")) & (F.col("s") == F.col("__s")) & (F.col("__k") == F.col("__pk")),
     )
     return placed.select(
-        *[docs[c] for c in docs.columns if c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns],
         "mix_source",
         "mix_block",
         (F.col("__base") + F.col("n")).alias("mix_slot"),
@@ -134,3 +134,9 @@ def pfair_mix(
         (F.col("__base") + F.col("d")).alias("mix_deadline"),
         ((F.col("__base") + F.col("n")) * F.lit(block_rows) + F.col("__at") % F.lit(block_rows)).alias("mix_position"),
     )
+
+
+def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+    """docs with its columns and all its rows, in the order of the mix: files and rows within them follow mix_position."""
+    mixed = pfair_mix(docs, **options)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)

@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_components
 from .mixing import pfair_mix
 from .quality_rules import quality_scores
 from .sharding import lpt_shards
+from .suffix_dedup import repeat_digest
 from .topk_cover_tree import exact_top_k
 from .toxicity import fit_examples, toxicity_scores
 
@@ -47,8 +48,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,3 +215,17 @@ def toxicity_scores(docs: DataFrame, model: Examples, id_col: str = "doc_id", te
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+
+
+def without_toxic(docs: DataFrame, model: Examples, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that the model rejects."""
+    import pyarrow as pa
+
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [shared.value.score(x.as_py() or "")[0] < threshold for x in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
