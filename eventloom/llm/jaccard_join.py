@@ -5,10 +5,10 @@ classes link when 100 * |A and B| >= 75 * |A or B| (the threshold is a parameter
 
 1. Prefixes. Under one order of all shingles (those frequent in a bounded sample last, then by hash), two linked
    sets share a shingle among the first n - ceil(t n) + 1 of each. Shingles in the prefix of one class only go.
-2. Buckets. Each class joins the bucket of its first shared shingle, in blocks of at most BLOCK classes. A block is
+2. Buckets. Each class joins the bucket of its first shared shingle, in blocks of about BLOCK classes. A block is
    indexed in a signature tree, whose nodes hold the OR of their sets' bitmaps and their size range; the tree is
-   walked against itself, and pairs of nodes go whose largest possible overlap is too small. What is left is
-   compared exactly, unless it is connected already.
+   walked against itself, and pairs of nodes go whose largest possible overlap is too small. The sets of the classes
+   left are gathered, and their pairs compared exactly, unless connected already.
 3. The rest. Of all shared shingles, those whose classes step 2 left in several components make buckets again, now
    of bitmaps only and with every pair of blocks, walked in the same way. Surviving pairs are compared exactly.
 4. Components of all links by large-star and small-star rounds.
@@ -32,6 +32,8 @@ from .common import materialize
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
 BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 500_000
+#: Size of the bitmap that picks the texts whose sets are wanted: beyond some ten million it lets others pass, at a cost in time alone.
+PICK_BITS = 1 << 24
 U64 = np.uint64
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -189,6 +191,31 @@ def candidate_pairs(a: SignatureTree, b: SignatureTree, percent: int) -> Iterato
             todo.append((max(0, la - 1), max(0, lb - 1), below_a, below_b))
 
 
+def paired(n: np.ndarray, maps: list[np.ndarray], first: np.ndarray, second: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs that may link, within `first` or between it and `second`.
+
+    Bitmaps have 2 to 4 bits a member, so linked sets have equal sizes of bitmap or neighbouring ones: there is a
+    tree for each size, and each is walked with its own size and with the next one folded to it.
+    """
+
+    def by_width(rows: np.ndarray) -> dict[int, np.ndarray]:
+        widths = np.array([len(maps[x]) for x in rows])
+        return {int(w): rows[widths == w] for w in np.unique(widths)}
+
+    def tree(rows: np.ndarray, width: int) -> SignatureTree:
+        return SignatureTree(n[rows], [fold(maps[x], width) for x in rows])
+
+    a, b = by_width(first), by_width(first if second is None else second)
+    for w, rows in a.items():
+        for w2 in ((w, 2 * w) if second is None else (w // 2, w, 2 * w)):
+            if w2 not in b:
+                continue
+            one = tree(rows, min(w, w2))
+            two = one if second is None and w2 == w else tree(b[w2], min(w, w2))
+            for i, j in candidate_pairs(one, two, percent):
+                yield rows[one.order[i]], b[w2][two.order[j]]
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact test on two sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -210,9 +237,8 @@ def block_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
         return x
 
     if len(nodes) > 1:
-        tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
-        for i, j in candidate_pairs(tree, tree, percent):
-            for x, y in zip(tree.order[i].tolist(), tree.order[j].tolist()):
+        for i, j in paired(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], np.arange(len(nodes)), None, percent):
+            for x, y in zip(i.tolist(), j.tolist()):
                 rx, ry = find(x), find(y)
                 if rx != ry and links(sets[x], sets[y], percent):
                     keep, lose = (rx, ry) if nodes[rx] <= nodes[ry] else (ry, rx)
@@ -263,22 +289,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             heads = [ordered(s, shared.value)[: prefix_size(len(s), percent)].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(heads, pa.binary())],
-                names=["doc_id", "key", "node", "n", "head"],
+                [batch.column(0), batch.column(2), pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()),
+                 pa.array(heads, pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "key", "node", "n", "head", "bits"],
             )
 
-    described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary"), "shingles")
-    classes = described.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("head").alias("head"))
+    described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary, bits binary"), "shingles")
+    heads = described.where("n > 0").groupBy("node").agg(F.first("head").alias("head"))
+    classes = described.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [np.frombuffer(h, np.int64) for h in batch.column(3).to_pylist()]
+            heads = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
             sizes = [len(h) for h in heads]
             repeat = lambda c: np.repeat(c.to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(heads) if heads else [], pa.int64()), pa.array(repeat(batch.column(0)), pa.int64()), pa.array(repeat(batch.column(1)), pa.int64()),
+                [pa.array(np.concatenate(heads) if heads else [], pa.int64()), pa.array(repeat(batch.column(0)), pa.int64()),
                  pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else [], pa.int32())],
-                names=["token", "node", "key", "pos"],
+                names=["token", "node", "pos"],
             )
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,40 +325,65 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
             yield batch.filter(pa.array(used))
 
-    kinds = "token long, node long, key long, pos int"
-    tokens = classes.select("node", "key", "n", "head").mapInArrow(spread, kinds)
+    kinds = "token long, node long, pos int"
+    tokens = heads.mapInArrow(spread, kinds)
     active = materialize(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(in_company, kinds), "active")
 
-    # 2. The sets of the classes left, and blocks by their first shared shingle.
-    homes = active.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f"), F.min("key").alias("key")).select("node", "key", F.col("f.token").alias("home"))
+    # 2. Blocks by first shared shingle; bitmaps alone say which classes have a possible partner there.
+    homes = active.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("home"))
     homes = materialize(homes, "homes")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(0).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["node", "tokens", "bits"]
-            )
-
-    named = plain.join(homes.select("key"), "key", "left_semi").select("text").mapInArrow(members, "node long, tokens binary, bits binary")
-    sets = materialize(named.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "sets")
     crowd = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
     spots = homes.join(crowd, "home").where("c > 1").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
     packs = max(1, -(-homes.count() // PACK_ROWS))
     spots = spots.select("node", "home", "part", F.pmod(F.xxhash64("home", "part"), F.lit(packs)).alias("pack"))
 
-    def label(table: pa.Table) -> pa.Table:
+    def blocks_of(table: pa.Table) -> Iterator[np.ndarray]:
         node, home, part = (table[c].to_numpy() for c in ("node", "home", "part"))
-        own = [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
         order = np.lexsort([node, part, home])
         cuts = np.flatnonzero(np.concatenate([[True], (home[order][1:] != home[order][:-1]) | (part[order][1:] != part[order][:-1]), [True]]))
-        labels = np.zeros(len(node), np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            some_rows = order[a:b]
-            labels[some_rows] = block_labels(node[some_rows], [own[x] for x in some_rows], percent)
-        return pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(labels, pa.int64())})
+        return (order[a:b] for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1)
+
+    def partnered(table: pa.Table) -> pa.Table:
+        node, n, maps = table["node"].to_numpy(), table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
+        live = np.zeros(len(node), bool)
+        for rows in blocks_of(table):
+            for x, y in paired(n, maps, rows, None, percent):
+                live[x] = live[y] = True
+        return table.select(["node", "home", "part", "pack", "key"]).filter(pa.array(live))
+
+    placed = spots.join(classes.select("node", "key", "n", "bits"), "node").groupBy("pack")
+    live = materialize(placed.applyInArrow(partnered, "node long, home long, part long, pack long, key long"), "partnered")
+
+    def sets_of(keys: DataFrame, name: str) -> DataFrame:
+        """(node, tokens) of the classes whose key is given, and of a few more: a bitmap of fixed size picks them from the texts."""
+        spot = F.pmod(F.xxhash64("key"), F.lit(PICK_BITS))
+        words_of = keys.select(spot.alias("b")).groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("m"))
+        picked = np.zeros(PICK_BITS // 8, np.uint8)
+        for w, m in words_of.collect():  # PICK_BITS / 8 bytes at most
+            picked[(w - 1) * 4096 : w * 4096] = np.frombuffer(m, np.uint8)
+        chosen = spark.sparkContext.broadcast(picked)
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                rows = np.flatnonzero((chosen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                sets = shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+
+        return materialize(plain.select(spot.alias("b"), "text").mapInArrow(members, "node long, tokens binary"), name)
+
+    sets = sets_of(live.select("key"), "sets")
 
-    labelled = materialize(spots.join(sets.select("node", "tokens"), "node").groupBy("pack").applyInArrow(label, "node long, label long"), "labels")
+    def label(table: pa.Table) -> pa.Table:
+        node, own = table["node"].to_numpy(), [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
+        labels = node.copy()
+        for rows in blocks_of(table):
+            labels[rows] = block_labels(node[rows], [own[x] for x in rows], percent)
+        out = pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(labels, pa.int64())})
+        return out.group_by("node").aggregate([("label", "min")]).rename_columns(["node", "label"]) if len(out) else out
+
+    labelled = live.join(sets, "node").groupBy("pack").applyInArrow(label, "node long, label long")
+    labelled = materialize(labelled, "labels")
 
     # 3. Shingles that still join several components.
     label_of = F.coalesce("label", "node").alias("label")
@@ -340,7 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crossing = known.join(buckets, "token").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
     crossing = crossing.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     crossing = crossing.select("node", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
-    crossing = materialize(crossing.join(sets.select("node", "bits", (F.octet_length("tokens") / 8).cast("int").alias("n")), "node"), "crossing")
+    crossing = materialize(crossing.join(classes.select("node", "n", "bits"), "node"), "crossing")
     packs = max(1, -(-crossing.count() // (4 * PACK_ROWS)))
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -354,18 +407,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             some_rows = order[a:b]
             if (own_label[some_rows] == own_label[some_rows[0]]).all():
                 continue
-            width = min(len(maps[x]) for x in some_rows)
-            tree_of = lambda rows: SignatureTree(n[rows], [fold(maps[x], width) for x in rows])
-            if p[some_rows[0]] == q[some_rows[0]]:
-                first = second = some_rows
-                one = two = tree_of(first)
-            else:
-                first, second = some_rows[mine[some_rows] == p[some_rows]], some_rows[mine[some_rows] == q[some_rows]]
-                if not len(first) or not len(second):
-                    continue
-                one, two = tree_of(first), tree_of(second)
-            for i, j in candidate_pairs(one, two, percent):
-                x, y = first[one.order[i]], second[two.order[j]]
+            whole = p[some_rows[0]] == q[some_rows[0]]
+            first = some_rows if whole else some_rows[mine[some_rows] == p[some_rows]]
+            second = None if whole else some_rows[mine[some_rows] == q[some_rows]]
+            for x, y in paired(n, maps, first, second, percent):
                 apart = own_label[x] != own_label[y]
                 left.append(np.minimum(node[x][apart], node[y][apart]))
                 right.append(np.maximum(node[x][apart], node[y][apart]))
@@ -374,8 +419,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return out.group_by(["x", "y"]).aggregate([]) if len(out) else out
 
     spread_out = crossing.withColumn("pack", F.pmod(F.xxhash64("token", "p", "q"), F.lit(packs)))
-    near = spread_out.groupBy("pack").applyInArrow(pairs, "x long, y long").distinct()
-    both = near.join(sets.selectExpr("node x", "tokens a"), "x").join(sets.selectExpr("node y", "tokens b"), "y")
+    near = materialize(spread_out.groupBy("pack").applyInArrow(pairs, "x long, y long").distinct(), "near")
+    ends = near.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    more = sets_of(classes.join(ends, "node", "left_semi").select("key"), "more-sets").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = near.join(more.selectExpr("node x", "tokens a"), "x").join(more.selectExpr("node y", "tokens b"), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
