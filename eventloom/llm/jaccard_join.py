@@ -9,8 +9,10 @@ classes link when 100 * |A and B| >= 75 * |A or B| (the threshold is a parameter
    indexed in a signature tree, whose nodes hold the OR of their sets' bitmaps and their size range; the tree is
    walked against itself, and pairs of nodes go whose largest possible overlap is too small. The sets of the classes
    left are gathered, and their pairs compared exactly, unless connected already.
-3. The rest. Of all shared shingles, those whose classes step 2 left in several components make buckets again, now
-   of bitmaps only and with every pair of blocks, walked in the same way. Surviving pairs are compared exactly.
+3. The rest. Of all shared shingles, those whose classes step 2 left in several components make buckets again. The
+   large ones are dealt to other blocks for a few rounds, as in step 2 and with the components known so far; this
+   connects most of a large group without forming its pairs. What is still apart makes buckets of bitmaps only, with
+   every pair of blocks, walked in the same way. Surviving pairs are compared exactly.
 4. Components of all links by large-star and small-star rounds.
 
 No link is lost: step 3 meets every pair that steps 1 and 2 left apart. No group is held whole by a task. Nulls: a
@@ -32,6 +34,8 @@ from .common import materialize
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
 BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 500_000
+#: Rounds that deal groups to new blocks before pairs are formed, for shingles of more classes than CROWD.
+ROUNDS, CROWD = 4, 64
 #: Size of the bitmap that picks the texts whose sets are wanted: beyond some ten million it lets others pass, at a cost in time alone.
 PICK_BITS = 1 << 24
 U64 = np.uint64
@@ -227,8 +231,9 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def block_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Within one block: each node's label, the least node that exact links connect it with."""
-    parent = list(range(len(nodes)))
+    """Within one block: each row's label, the least name that exact links connect it with; rows of one name are connected."""
+    first = {int(name): x for x, name in reversed(list(enumerate(nodes)))}
+    parent = [first[int(name)] for name in nodes]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -390,7 +395,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = active.join(labelled, "node", "left").select("token", "node", label_of)
     open_ = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(7)).cast("decimal(38,0)")).alias("y")).where("a <> b")
     buckets = open_.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")  # equal buckets once
-    crossing = known.join(buckets, "token").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
+    members = materialize(active.select("token", "node").join(buckets, "token"), "members")
+
+    def merged(table: pa.Table) -> pa.Table:
+        """Pairs of labels that an exact link within a block connects, a spanning set of them."""
+        own, label = [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()], table["label"].to_numpy()
+        out: list[tuple[int, int]] = []
+        for rows in blocks_of(table):
+            if (label[rows] != label[rows[0]]).any():
+                named = block_labels(label[rows], [own[x] for x in rows], percent)
+                out += {(int(a), int(b)) for a, b in zip(label[rows], named) if a != b}
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+    # Large groups first: dealt to blocks anew, by their most frequent shingle, blocks of the round before meet.
+    gathered = None
+    for turn in range(1, ROUNDS + 1):
+        now = members.join(labelled, "node", "left").select("token", "node", "c", label_of)
+        still = now.where(F.col("c") > CROWD).groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+        best = now.join(still, "token").groupBy("node").agg(F.max_by("token", F.struct("c", "token")).alias("home"), F.first("label").alias("label"))
+        best = materialize(best, "crowds")
+        if not (held := best.count()):
+            break
+        if gathered is None:
+            gathered = sets_of(classes.join(best.select("node"), "node", "left_semi").select("key"), "crowd-sets").dropDuplicates(["node"])
+        sizes = best.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
+        dealt = best.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / BLOCK)))
+        dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("home", "part"), F.lit(max(1, -(-held // PACK_ROWS))))).drop("m")
+        joined = materialize(dealt.join(gathered, "node").groupBy("pack").applyInArrow(merged, "u long, v long").distinct(), "merges")
+        if joined.isEmpty():
+            break
+        roots = components(joined)
+        every = labelled.select("node", "label").unionByName(now.select("node", "label")).distinct()
+        labelled = materialize(every.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) label"), "labels")
+
+    known = members.join(labelled, "node", "left").select("token", "node", "c", label_of)
+    left_open = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    crossing = known.join(left_open, "token").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
     crossing = crossing.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     crossing = crossing.select("node", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
     crossing = materialize(crossing.join(classes.select("node", "n", "bits"), "node"), "crossing")
