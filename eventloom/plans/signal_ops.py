@@ -147,20 +147,20 @@ def nest_predictions(spark, d):
     return g.select("user_id", F.array_join(F.transform("p", lambda x: x["signal_id"].cast("string")), ",").alias("ids"))
 
 
-@query("upsert_latest", """, u AS (SELECT *, 0 AS gen FROM sig UNION ALL BY NAME SELECT * REPLACE (score + 1 AS score), 1 AS gen FROM sig WHERE k % 2 = 0)
+@query("upsert_latest", """, u AS (SELECT *, 0 AS gen FROM sig UNION ALL BY NAME SELECT * REPLACE (score + 1 AS score), 1 AS gen FROM sig WHERE direction <> 'neutral')
 SELECT signal_id, arg_max(score, gen) AS score, max(gen) AS gen FROM u GROUP BY signal_id""")
 def upsert_latest(spark, d):
     """A keyed union in which the later generation wins."""
     s = signals(spark, d)
-    newer = s.where("k % 2 = 0").withColumn("score", F.col("score") + 1)
+    newer = s.where("direction <> 'neutral'").withColumn("score", F.col("score") + 1)
     both = s.withColumn("gen", F.lit(0)).unionByName(newer.withColumn("gen", F.lit(1)))
     return keep_latest(both.select("signal_id", "score", "gen"), ["signal_id"], ["gen"]).select("signal_id", "score", "gen")
 
 
-@query("ingest_idempotent", " SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)", base=False)
+@query("ingest_idempotent", " SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)", base=False)
 def ingest_idempotent(spark, d):
     """Insert if absent."""
-    incoming = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", "source")
+    incoming = table(spark, d, "documents").select("doc_id", "source")
     return incoming.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
 
 

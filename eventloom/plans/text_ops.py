@@ -107,13 +107,18 @@ def candidate_priority(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(a & b, 3).when(a, 2).when(b, 1).otherwise(0).alias("priority"))
 
 
-@query("near_dup_pairs", f"""WITH t AS (SELECT doc_id, {TOKENS.format(x=TITLE)} AS w FROM documents WHERE source = 'src1'), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.w, b.w)) / CAST(least(len(a.w), len(b.w)) AS DOUBLE) AS o FROM t a JOIN t b ON a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0)
+@query("near_dup_pairs", f"""WITH t AS (SELECT doc_id, source, {TOKENS.format(x=TITLE)} AS w FROM documents), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.w, b.w)) / CAST(least(len(a.w), len(b.w)) AS DOUBLE) AS o FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 48 AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT x, y, round(o, 6) AS overlap FROM p WHERE o >= 0.6""", base=False)
 def near_dup_pairs(spark, d):
-    """Title pairs of one source that share 0.6 of the smaller token set; they meet on tokens."""
-    t = titled(spark, d).where("source = 'src1'").select("doc_id", tokens(F.col("title")).alias("w"))
-    e = t.select("doc_id", F.explode("w").alias("k"), F.size("w").alias("n"))
-    shared = e.toDF("x", "k", "nx").join(e.toDF("y", "k", "ny"), "k").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    """Title pairs of one source within 48 hours (documents are an hour apart) that share 0.6 of the smaller token set.
+
+    They meet on source, token and a 48-hour bucket, the later side in its own bucket and the one before.
+    """
+    t = titled(spark, d).select("doc_id", "source", tokens(F.col("title")).alias("w"))
+    e = t.select("source", F.explode("w").alias("k"), F.col("doc_id").alias("x"), F.size("w").alias("nx"), F.floor(F.col("doc_id") / 48).alias("slot"))
+    later = e.select("source", "k", F.col("x").alias("y"), F.col("nx").alias("ny"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
+    near = e.join(later, ["source", "k", "slot"]).where("x < y AND y - x <= 48")
+    shared = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     o = F.col("c") / F.least("nx", "ny")
     return shared.where(o >= 0.6).select("x", "y", F.round(o, 6).alias("overlap"))
 

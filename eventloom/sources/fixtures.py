@@ -18,13 +18,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("user_id % 2 = 0")
+    """The whole market's series: one open at each time, over all tickers."""
+    events = table(spark, sf_dir, "events")
     return events.groupBy(F.col("ts").alias("at")).agg(F.min_by("value", "event_id").alias("open"))
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    base = table(spark, sf_dir, "events").where("event_id % 10 = 0").withColumn("k", k)
+    """Every event as a signal at its own time."""
+    base = table(spark, sf_dir, "events").withColumn("k", k)
     return base.select(
         F.col("event_id").alias("signal_id"),
         F.col("event_type").alias("ticker"),
@@ -40,8 +42,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same roles for DuckDB, as common table expressions.
 SQL = """WITH bars AS (SELECT event_type AS ticker, ts AS at, value AS open, event_id AS bar_id FROM events),
-bench AS (SELECT ts AS at, arg_min(value, event_id) AS open FROM events WHERE user_id % 2 = 0 GROUP BY ts),
-base AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 10 = 0),
+bench AS (SELECT ts AS at, arg_min(value, event_id) AS open FROM events GROUP BY ts),
+base AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 sig AS (SELECT event_id AS signal_id, event_type AS ticker, ts AS decision_at, user_id, k,
   CASE WHEN k >= 66 THEN 'up' WHEN k <= 33 THEN 'down' ELSE 'neutral' END AS direction,
   CAST(2 * (k - 50) AS DOUBLE) AS score, k / CAST(100 AS DOUBLE) AS confidence, user_id % 3 AS model FROM base)
