@@ -1,7 +1,9 @@
 """As-of joins by one sort: both sides are laid in one order and the last (or next) bar is carried along.
 
-One shuffle on the key, a window with an unbounded-preceding frame (linear), no range join. Rows at equal times are
-placed by strictness. A tolerance voids a match that is too far; it never moves on to another bar.
+Key and time bucket make the partitions, so that a hot key is many tasks. A summary, one bar per key and bucket, says
+what each bucket inherits from those before it; inside a bucket a window with an unbounded-preceding frame (linear)
+carries bars along. No range join. Rows at equal times are placed by strictness. A tolerance voids a match that is too
+far; it never moves on to another bar.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 def asof_join(
     left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, out: str,
-    forward: bool = True, strict: bool = False, tolerance_s: float | None = None,
+    forward: bool = True, strict: bool = False, tolerance_s: float | None = None, bucket_s: int = 86_400,
 ) -> DataFrame:
     """left with `out` (the matched bar's value) and `out`_at (its time); both null where nothing matches.
 
@@ -26,11 +28,18 @@ def asof_join(
         *key, F.col(right_time).alias("__t"), F.lit(False).alias("__left"), F.struct(F.col(value).alias("v"), F.col(right_time).alias("t")).alias("__bar")
     )
     both = rows.unionByName(bars, allowMissingColumns=True)
+    both = both.withColumn("__b", F.floor(F.unix_seconds(F.col("__t").cast("timestamp")) / bucket_s))
     # A row looks back in this order, so what it may match at its own time has to stand before it.
     at_tie = F.when(F.col("__left"), 0 if strict else 1).otherwise(1 if strict else 0)
-    when = F.col("__t").desc() if forward else F.col("__t").asc()
-    frame = Window.partitionBy(*key).orderBy(when, at_tie).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("__hit", F.last("__bar", ignorenulls=True).over(frame)).where("__left")
+    when, bucket = (F.col("__t").desc(), F.col("__b").desc()) if forward else (F.col("__t").asc(), F.col("__b").asc())
+    back = (Window.unboundedPreceding, -1)
+    edge = (F.min_by if forward else F.max_by)("__bar", F.when(F.col("__bar").isNotNull(), F.col("__t")))
+    ends = both.groupBy(*key, "__b").agg(edge.alias("__end"))
+    heirs = ends.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(key)], F.col("__b").alias("__c"), F.last("__end", ignorenulls=True).over(Window.partitionBy(*key).orderBy(bucket).rowsBetween(*back)).alias("__old"))
+    same = [both[k].eqNullSafe(heirs[f"__k{n}"]) for n, k in enumerate(key)]
+    both = both.join(heirs, [*same, both["__b"].eqNullSafe(heirs["__c"])], "left")
+    frame = Window.partitionBy(*key, "__b").orderBy(when, at_tie).rowsBetween(*back)
+    seen = both.withColumn("__hit", F.coalesce(F.last("__bar", ignorenulls=True).over(frame), "__old")).where("__left")
     usable = F.col("__t").isNotNull() & F.col("__hit").isNotNull()
     if tolerance_s is not None:
         lag = F.abs(F.unix_micros(F.col("__hit.t").cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp")))

@@ -26,6 +26,14 @@ def test_asof_tolerance_voids_and_null_time_matches_nothing(spark):
     assert {r["id"]: r["hit"] for r in asof_join(left, right, ["k"], "t", "at", "v", "hit").collect()} == {1: 1.0, 2: None}
 
 
+@pytest.mark.parametrize("forward,expected", [(True, [2.0, 2.0, 3.0, None]), (False, [None, 1.0, 2.0, 3.0])])
+def test_asof_carries_over_empty_buckets(spark, forward, expected):
+    left = spark.createDataFrame([(n, "a", T(2024, 1, day, 12)) for n, day in enumerate((1, 3, 9, 20))], "id int, k string, t timestamp_ntz")
+    right = spark.createDataFrame([("a", T(2024, 1, 1, 12), 1.0), ("a", T(2024, 1, 5), 2.0), ("a", T(2024, 1, 12), 3.0), ("b", T(2024, 1, 2), 9.0)], "k string, at timestamp_ntz, v double")
+    got = {r["id"]: r["hit"] for r in asof_join(left, right, ["k"], "t", "at", "v", "hit", forward, strict=True).collect()}
+    assert [got[n] for n in range(4)] == expected
+
+
 def test_auc_and_precision_known_answers(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert roc_auc(df, "s", "y").first()["auc"] == 0.75
