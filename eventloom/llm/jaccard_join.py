@@ -9,10 +9,12 @@ classes link when 100 * |A and B| >= 75 * |A or B| (the threshold is a parameter
    indexed in a signature tree, whose nodes hold the OR of their sets' bitmaps and their size range; the tree is
    walked against itself, and pairs of nodes go whose largest possible overlap is too small. The sets of the classes
    left are gathered, and their pairs compared exactly, unless connected already.
-3. The rest. Of all shared shingles, those whose classes step 2 left in several components make buckets again. The
-   large ones are dealt to other blocks for a few rounds, as in step 2 and with the components known so far; this
+3. The rest. Of all shared shingles, those whose classes step 2 left in several components make buckets again, one
+   for each class of size (sizes of linked sets are in one class or in neighbouring ones; a set is a guest in the
+   bucket above its own, and guests aren't compared with each other). The large ones are dealt to other blocks for a few rounds, as in step 2 and with the components known so far; this
    connects most of a large group without forming its pairs. What is still apart makes buckets of bitmaps only, with
-   every pair of blocks, walked in the same way. Surviving pairs are compared exactly.
+   every pair of blocks, walked in the same way. A pair goes on from the first bucket that has both, and is compared
+   exactly.
 4. Components of all links by large-star and small-star rounds.
 
 No link is lost: step 3 meets every pair that steps 1 and 2 left apart. No group is held whole by a task. Nulls: a
@@ -36,6 +38,8 @@ SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
 BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 500_000
 #: Rounds that deal groups to new blocks before pairs are formed, for shingles of more classes than CROWD.
 ROUNDS, CROWD = 4, 64
+#: How many of its buckets a set names, so that a pair is passed on once; pairs that first meet beyond them may be passed on again.
+NAMED = 64
 #: Size of the bitmap that picks the texts whose sets are wanted: beyond some ten million it lets others pass, at a cost in time alone.
 PICK_BITS = 1 << 24
 U64 = np.uint64
@@ -300,18 +304,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary, bits binary"), "shingles")
-    heads = described.where("n > 0").groupBy("node").agg(F.first("head").alias("head"))
+    heads = described.where("n > 0").groupBy("node").agg(F.first("head").alias("head"), F.first("n").alias("n"))
     classes = described.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
+    step = np.log(100.1 / percent)  # a little more than linked sizes can differ by
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
             sizes = [len(h) for h in heads]
             repeat = lambda c: np.repeat(c.to_numpy(), sizes)
+            level = np.floor(np.log(np.repeat(batch.column(2).to_numpy(), sizes)) / step).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(heads) if heads else [], pa.int64()), pa.array(repeat(batch.column(0)), pa.int64()),
-                 pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else [], pa.int32())],
-                names=["token", "node", "pos"],
+                 pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else [], pa.int32()), pa.array(level, pa.int32())],
+                names=["token", "node", "pos", "level"],
             )
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
             yield batch.filter(pa.array(used))
 
-    kinds = "token long, node long, pos int"
+    kinds = "token long, node long, pos int, level int"
     tokens = heads.mapInArrow(spread, kinds)
     active = materialize(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(in_company, kinds), "active")
 
@@ -392,10 +399,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 3. Shingles that still join several components.
     label_of = F.coalesce("label", "node").alias("label")
-    known = active.join(labelled, "node", "left").select("token", "node", label_of)
-    open_ = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(7)).cast("decimal(38,0)")).alias("y")).where("a <> b")
+    known = active.join(labelled, "node", "left").select("token", "node", "level", label_of)
+    apart = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    places = F.array(F.struct(F.col("level"), F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))
+    placed = known.join(apart, "token").select("token", "node", "label", F.explode(places).alias("at"))
+    placed = materialize(placed.select(F.xxhash64("token", "at.level").alias("token"), "node", "label", "at.own"), "placed")
+    told = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.sum(F.xxhash64("node", "own", F.lit(7)).cast("decimal(38,0)")).alias("y")]
+    open_ = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("own").alias("hosts"), *told).where("a <> b AND hosts")
     buckets = open_.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")  # equal buckets once
-    members = materialize(active.select("token", "node").join(buckets, "token"), "members")
+    members = materialize(placed.select("token", "node", "own").join(buckets, "token"), "members")
 
     def merged(table: pa.Table) -> pa.Table:
         """Pairs of labels that an exact link within a block connects, a spanning set of them."""
@@ -428,17 +440,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         every = labelled.select("node", "label").unionByName(now.select("node", "label")).distinct()
         labelled = materialize(every.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) label"), "labels")
 
-    known = members.join(labelled, "node", "left").select("token", "node", "c", label_of)
+    known = members.join(labelled, "node", "left").select("token", "node", "own", "c", label_of)
     left_open = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    crossing = known.join(left_open, "token").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
+    known = materialize(known.join(left_open, "token"), "open")
+    named = known.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, NAMED).alias("named"))
+    crossing = known.withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
     crossing = crossing.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-    crossing = crossing.select("node", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
-    crossing = materialize(crossing.join(classes.select("node", "n", "bits"), "node"), "crossing")
+    crossing = crossing.select("node", "own", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
+    crossing = materialize(crossing.join(classes.select("node", "n", "bits").join(named, "node"), "node"), "crossing")
     packs = max(1, -(-crossing.count() // (4 * PACK_ROWS)))
 
     def pairs(table: pa.Table) -> pa.Table:
         token, node, own_label, mine, p, q = (table[c].to_numpy() for c in ("token", "node", "label", "mine", "p", "q"))
         n, maps = table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
+        own, named = table["own"].to_numpy(), [frozenset(x) for x in table["named"].to_pylist()]
+
+        def meet(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs that may link, two guests excepted."""
+            host, guest = first[own[first]], first[~own[first]]
+            if second is None:
+                sides = [(host, None), (host, guest)]
+            else:
+                host2, guest2 = second[own[second]], second[~own[second]]
+                sides = [(host, host2), (host, guest2), (guest, host2)]
+            for u, v in sides:
+                if len(u) and (v is None or len(v)):
+                    yield from paired(n, maps, u, v, percent)
+
         order = np.lexsort([mine, q, p, token])
         key = np.stack([token, p, q])[:, order]
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
@@ -450,8 +478,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             whole = p[some_rows[0]] == q[some_rows[0]]
             first = some_rows if whole else some_rows[mine[some_rows] == p[some_rows]]
             second = None if whole else some_rows[mine[some_rows] == q[some_rows]]
-            for x, y in paired(n, maps, first, second, percent):
+            here = int(token[some_rows[0]])
+            for x, y in meet(first, second):
                 apart = own_label[x] != own_label[y]
+                for k in np.flatnonzero(apart):
+                    apart[k] = min(named[x[k]] & named[y[k]], default=here) >= here
                 left.append(np.minimum(node[x][apart], node[y][apart]))
                 right.append(np.maximum(node[x][apart], node[y][apart]))
         join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
