@@ -13,8 +13,8 @@ classes link when 100 * |A and B| >= 75 * |A or B| (the threshold is a parameter
    for each class of size (sizes of linked sets are in one class or in neighbouring ones; a set is a guest in the
    bucket above its own, and guests aren't compared with each other). The large ones are dealt to other blocks for a few rounds, as in step 2 and with the components known so far; this
    connects most of a large group without forming its pairs. What is still apart makes buckets of bitmaps only, with
-   every pair of blocks, walked in the same way. A pair goes on from the first bucket that has both, and is compared
-   exactly.
+   every pair of blocks, walked in the same way. A pair goes on from the first bucket that has both, one of them at
+   least as no guest, and is compared exactly.
 4. Components of all links by large-star and small-star rounds.
 
 No link is lost: step 3 meets every pair that steps 1 and 2 left apart. No group is held whole by a task. Nulls: a
@@ -443,7 +443,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = members.join(labelled, "node", "left").select("token", "node", "own", "c", label_of)
     left_open = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     known = materialize(known.join(left_open, "token"), "open")
-    named = known.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, NAMED).alias("named"))
+    named = known.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("token", "own"))), 1, NAMED).alias("l"))
+    named = named.select("node", F.col("l.token").alias("named"), F.col("l.own").alias("hosts"))
     crossing = known.withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
     crossing = crossing.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     crossing = crossing.select("node", "own", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
@@ -453,7 +454,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def pairs(table: pa.Table) -> pa.Table:
         token, node, own_label, mine, p, q = (table[c].to_numpy() for c in ("token", "node", "label", "mine", "p", "q"))
         n, maps = table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
-        own, named = table["own"].to_numpy(), [frozenset(x) for x in table["named"].to_pylist()]
+        own, names = table["own"].to_numpy(), table["named"].to_pylist()
+        named = [frozenset(x) for x in names]
+        hosts = [frozenset(t for t, h in zip(x, y) if h) for x, y in zip(names, table["hosts"].to_pylist())]
 
         def meet(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs that may link, two guests excepted."""
@@ -482,7 +485,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for x, y in meet(first, second):
                 apart = own_label[x] != own_label[y]
                 for k in np.flatnonzero(apart):
-                    apart[k] = min(named[x[k]] & named[y[k]], default=here) >= here
+                    i, j = x[k], y[k]  # buckets with both as guests don't count: the pair doesn't meet there
+                    apart[k] = min((hosts[i] & named[j]) | (named[i] & hosts[j]), default=here) >= here
                 left.append(np.minimum(node[x][apart], node[y][apart]))
                 right.append(np.maximum(node[x][apart], node[y][apart]))
         join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())

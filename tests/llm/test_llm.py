@@ -86,6 +86,24 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_links_of_two_guests(spark):
+    """x and y of one class of size link; z, of the class above and no partner of theirs, holds the shingles of both."""
+    rng, rows = random.Random(11), []
+    for g in range(150):
+        w = [f"g{g}w{i}" for i in range(82)]
+        y = list(w)
+        for at in (24, 56):
+            y[at] = f"g{g}y{at}"
+        z = w + y[20:29] + y[52:61] + [f"g{g}z{i}" for i in range(20)]
+        texts = [" ".join(t) for t in (w, y, z)]
+        a, b, c = map(shingles, texts)
+        assert 100 * len(a & b) >= 75 * len(a | b) and a | b < c and 100 * len(a) < 75 * len(c) and 100 * len(b) < 75 * len(c)
+        rows += [(3 * g + i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x for x in range(0, 450, 3) if (got[x], got[x + 1], got[x + 2]) != (x, x, x + 2)] == []
+
+
 def test_suffix_array_and_repeats():
     rng = random.Random(1)
     for _ in range(60):
