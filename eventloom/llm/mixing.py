@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
 A source's rows are dealt to blocks of `block_rows`. Its k-th block (from 0) in a phase is released at
-k / w and due at (k + 1) / w, w its share of the phase; earliest deadline first among released blocks
-then keeps every source within less than one block of its target at every slot. A schedule repeats after
-as many slots as the quantised weights sum to, so only one period is laid out, on the driver, from the
-sources' block counts; the rows meet it in joins. When a source runs out, the others go on in a new phase
-with their weights scaled up: every row gets a place, none is dropped or repeated.
+k / w and due at (k + 1) / w, w its exact share of the phase; earliest deadline first among released blocks
+then keeps every source within less than one block of its target at every slot. Each slot follows from the one
+before, so the driver lays out the blocks one by one, in whole numbers, and writes the plan in parts of PLAN_ROWS;
+its time grows with the number of blocks, its memory does not. The rows meet the plan in a join. When a source runs
+out, the others go on in a new phase with their weights scaled up: every row gets a place, none is dropped or repeated.
 
 Nulls: a null source counts as the source ''. Sources without a target share by their number of rows.
 An empty table gives an empty table. Repeated rows each get their own place.
@@ -15,61 +15,71 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
+import uuid
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_index, salts_for
+from .common import gapless_index, salts_for, shared_dir
 
 #: Sources that one schedule may hold; the plan that the driver lays out is bounded by it.
 MAX_SOURCES = 512
+#: Blocks of the plan that the driver holds at a time.
+PLAN_ROWS = 1 << 16
 
 
-def edf_period(parts: dict[str, int]) -> list[tuple[str, int, int, int]]:
-    """(source, k, release, deadline) by slot for one period of sum(parts) slots, by earliest deadline first."""
+def edf(weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, k, release, deadline) of slot after slot without end, by earliest deadline first at the exact weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * unit) for s, w in exact.items()}
     total = sum(parts.values())
     waiting: list[tuple[int, str, int]] = []
     ready: list[tuple[int, str, int, int]] = []
     for s in parts:
         heapq.heappush(waiting, (0, s, 0))
-    out = []
-    for slot in range(total):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             release, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-((-(k + 1) * total) // parts[s]), s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
-        out.append((s, k, release, deadline))
-        if k + 1 < parts[s]:
-            heapq.heappush(waiting, ((k + 1) * total // parts[s], s, k + 1))
-    return out
+        yield s, k, release, deadline
+        heapq.heappush(waiting, ((k + 1) * total // parts[s], s, k + 1))
+        slot += 1
+
+
+def edf_period(parts: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """The first sum(parts) slots of edf, after which it repeats."""
+    return list(islice(edf(parts), sum(parts.values())))
+
 
+def phases(
+    blocks: dict[str, int], weights: dict[str, float], period: int = 0, place: Callable[[str, int, int, int, int], None] | None = None
+) -> list[dict]:
+    """The phases, each up to the slot in which a source runs out: first slot, and by source its first block and parts.
 
-def quantise(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole parts of about `period` slots by largest remainder, one part at least each."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    spare = period - sum(parts.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, spare)]:
-        parts[s] += 1
-    return parts
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """The schedule as runs of equal periods: first slot, cycles, and by source its first block and parts."""
-    left, done, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        live = {s: weights[s] for s, n in left.items() if n}
-        parts = quantise(live, max(period, 2 * len(live)))
-        cycles = min(left[s] // parts[s] for s in live)
-        if not cycles:  # a source ends within this period: one period with what it has
-            parts, cycles = {s: min(parts[s], left[s]) for s in live}, 1
-        out.append({"slot": slot, "cycles": cycles, "parts": parts, "first": {s: done[s] for s in live}})
-        for s, m in parts.items():
-            left[s] -= m * cycles
-            done[s] += m * cycles
-        slot += cycles * sum(parts.values())
+    Each block is handed to `place` as (source, block, slot, release, deadline). A phase is one cycle, however long:
+    `period` has no effect.
+    """
+    left, done, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    while left:
+        first, at = {s: done[s] for s in left}, slot
+        for s, k, release, deadline in edf({s: weights[s] for s in left}):
+            if place:
+                place(s, first[s] + k, at, slot + release, slot + deadline)
+            at += 1
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+        out.append({"slot": slot, "cycles": 1, "parts": {s: done[s] - n for s, n in first.items()}, "first": first})
+        slot = at
     return out
 
 
@@ -84,7 +94,7 @@ def pfair_mix(
     """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position.
 
     mix_slot is the slot of the row's block; mix_position sorts the rows. weights None: tempered, the square
-    root of a source's rows. Raises ValueError beyond MAX_SOURCES sources.
+    root of a source's rows. period has no effect: a schedule doesn't repeat. Raises ValueError beyond MAX_SOURCES sources.
     """
     spark = docs.sparkSession
     named = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
@@ -94,45 +104,39 @@ def pfair_mix(
     rows = {r.mix_source: r.n for r in counts}
     target = {s: float((weights or {}).get(s, 0) or (n**0.5 if not weights else n / max(1, sum(rows.values())))) for s, n in rows.items()}
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-    runs = phases(blocks, target, period)
-    plan, spans = [], []
-    for p, run in enumerate(runs):
-        for at, (s, k, release, deadline) in enumerate(edf_period(run["parts"])):
-            plan.append([p, s, k, at, release, deadline])
-        total = sum(run["parts"].values())
-        for s, m in run["parts"].items():
-            spans.append([s, p, run["first"][s], run["first"][s] + m * run["cycles"], m, run["slot"], total])
     # Literals, parsed by the JVM: nothing of the plan passes through Python workers.
-    spans_df = spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps([dict(zip("spfemot", x)) for x in spans])), "array<struct<s:string,p:int,f:long,e:long,m:long,o:long,t:long>>"))
-    )
-    plan_df = spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps([dict(zip("psknrd", x)) for x in plan])), "array<struct<p:int,s:string,k:long,n:long,r:long,d:long>>"))
-    )
+    path, held = f"{shared_dir(spark)}/eventloom/mix-plan-{uuid.uuid4().hex}", []
+    kinds = "s string, k long, n long, r long, d long"
+
+    def write() -> None:
+        rows_of = F.from_json(F.lit(json.dumps(held)), "array<struct<s:string,k:long,n:long,r:long,d:long>>")
+        spark.range(1).select(F.inline(rows_of)).write.mode("append").parquet(path)
+        held.clear()
+
+    def place(*block) -> None:
+        held.append(dict(zip("sknrd", block)))
+        if len(held) >= PLAN_ROWS:
+            write()
+
+    phases(blocks, target, period, place)
+    write()
+    plan = spark.read.schema(kinds).parquet(path)
     salts = spark.range(1).select(
         F.inline(F.from_json(F.lit(json.dumps([{"mix_source": s, "c": n} for s, n in rows.items()])), "array<struct<mix_source:string,c:long>>"))
     ).select("mix_source", salts_for(F.col("c")).alias("__salts"))
     salted = named.join(F.broadcast(salts), "mix_source")  # at most MAX_SOURCES rows
     indexed = gapless_index(salted, "mix_source", "__salts", [id_col], "__at")
-    # at most 2 * MAX_SOURCES phases of a source each, and a period of slots a phase
     block = F.floor(F.col("__at") / F.lit(block_rows))
-    spanned = indexed.withColumn("mix_block", block).join(
-        F.broadcast(spans_df), (F.col("mix_source") == F.col("s")) & (F.col("mix_block") >= F.col("f")) & (F.col("mix_block") < F.col("e"))
-    )
-    step = F.col("mix_block") - F.col("f")
-    spanned = spanned.withColumns({"__k": step % F.col("m"), "__base": F.col("o") + F.floor(step / F.col("m")) * F.col("t")})
-    placed = spanned.join(
-        F.broadcast(plan_df.select(F.col("p").alias("__p"), F.col("s").alias("__s"), F.col("k").alias("__pk"), "n", "r", "d")),
-        (F.col("p") == F.col("__p")) & (F.col("s") == F.col("__s")) & (F.col("__k") == F.col("__pk")),
-    )
+    planned = plan.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("n").alias("__n"), F.col("r").alias("__r"), F.col("d").alias("__d"))
+    placed = indexed.withColumn("mix_block", block).join(planned, (F.col("mix_source") == F.col("__s")) & (F.col("mix_block") == F.col("__k")))
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "mix_source",
         "mix_block",
-        (F.col("__base") + F.col("n")).alias("mix_slot"),
-        (F.col("__base") + F.col("r")).alias("mix_release"),
-        (F.col("__base") + F.col("d")).alias("mix_deadline"),
-        ((F.col("__base") + F.col("n")) * F.lit(block_rows) + F.col("__at") % F.lit(block_rows)).alias("mix_position"),
+        F.col("__n").alias("mix_slot"),
+        F.col("__r").alias("mix_release"),
+        F.col("__d").alias("mix_deadline"),
+        (F.col("__n") * F.lit(block_rows) + F.col("__at") % F.lit(block_rows)).alias("mix_position"),
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -185,6 +186,26 @@ def test_mixing_stays_within_a_block(docs, none):
     assert in_mixed_order(docs).columns == docs.columns and in_mixed_order(none).count() == 0
 
 
+def test_mixing_keeps_the_exact_targets(spark, monkeypatch):
+    """In the first phase, over many times 1,024 slots and plans in several parts, each source stays within a block of its true target."""
+    monkeypatch.setattr("eventloom.llm.mixing.PLAN_ROWS", 1000, raising=False)
+    sizes = {"hot": 4000, "rare": 300} | {f"s{i}": 900 + 37 * i for i in range(6)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in (None, {"hot": 0.4999, "rare": 0.0001} | {f"s{i}": 0.5 / 6 for i in range(6)}):
+        exact = {s: Fraction((weights or {}).get(s) or n**0.5) for s, n in sizes.items()}
+        total, done = sum(exact.values()), Counter()
+        mixed = sorted(pfair_mix(table, weights, block_rows=1).select("mix_slot", "source", "mix_release", "mix_deadline").collect())
+        assert [r.mix_slot for r in mixed] == list(range(len(rows)))
+        assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in mixed)
+        for slot, r in enumerate(mixed):
+            done[r.source] += 1
+            assert all(abs(done[s] - exact[s] * (slot + 1) / total) < 1 for s in sizes)
+            if done[r.source] == sizes[r.source]:
+                break
+        assert slot > 4000
+
+
 def vectors(spark, n=260, dim=8):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=dim)]) for i in range(n)]
