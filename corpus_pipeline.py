@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import materialize, read_table
 from eventloom.llm.jaccard_join import one_of_each_group
-from eventloom.llm.mixing import in_mixed_order
+from eventloom.llm.mixing import in_mixed_order, with_file_position
 from eventloom.llm.registry import default_vocabulary
 from eventloom.llm.suffix_dedup import without_repeats
 from eventloom.llm.toxicity import fit_examples, without_toxic
@@ -41,8 +41,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe_round_trip(docs, default_vocabulary(), with_ids=True)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids, mix_position: the place in the mix, from the files of the stage before."""
+    return bpe_round_trip(with_file_position(docs), default_vocabulary(), with_ids=True, position_col="mix_position")
 
 
 STAGES = [

@@ -228,9 +228,9 @@ def transducer(spec: str) -> Transducer:
 
 
 def bpe_round_trip(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, position_col: str | None = None
 ) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and the ids themselves on demand.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and the ids themselves and a long position on demand.
 
     vocabulary: a driver-side path to the tokenizer's JSON file; its bounded text (a few MB) is broadcast.
     """
@@ -259,8 +259,12 @@ def bpe_round_trip(
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
+            if position_col:
+                columns.append(batch.column(2))
+                names.append(position_col)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    narrow = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    passed = [f"cast(`{position_col}` as long) `{position_col}`"] if position_col else []
+    narrow = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text", *passed)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (f", `{position_col}` long" if position_col else "")
     return narrow.mapInArrow(run, schema)

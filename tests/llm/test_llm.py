@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eventloom.llm import suffix_dedup
 from eventloom.llm.ann_multi_index import approximate_top_k
 from eventloom.llm.bpe import bpe_round_trip
@@ -206,6 +207,26 @@ def test_mixing_keeps_the_exact_targets(spark, monkeypatch):
         assert slot > 4000
 
 
+def test_pipeline_returns_the_place_in_the_mix(spark, tmp_path):
+    """Read again from several files of falling and rising size, the rows still tell the order that keeps the targets."""
+    sizes = {"a": 600, "b": 200, "c": 100}
+    ids = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame([(i, f"text {i} " * (1 + i % 40), s) for i, s in ids], "doc_id long, text string, source string")
+    mixed = in_mixed_order(table, block_rows=1).cache()
+    expected = {r.doc_id: r.mix_position for r in pfair_mix(table, block_rows=1).collect()}
+    assert mixed.rdd.getNumPartitions() > 1
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    rows = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert {r.doc_id: r.mix_position for r in rows} == expected
+    source, done, total = dict(ids), Counter(), sum(n**0.5 for n in sizes.values())
+    for slot, r in enumerate(sorted(rows, key=lambda r: r.mix_position)):
+        done[source[r.doc_id]] += 1
+        assert all(abs(done[s] - n**0.5 * (slot + 1) / total) < 1 for s, n in sizes.items())
+        if done[source[r.doc_id]] == sizes[source[r.doc_id]]:
+            break
+    assert r.mix_position > 100
+
+
 def vectors(spark, n=260, dim=8):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=dim)]) for i in range(n)]
