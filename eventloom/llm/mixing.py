@@ -4,7 +4,8 @@ A source's rows are dealt to blocks of `block_rows`. Its k-th block (from 0) in
 k / w and due at (k + 1) / w, w its exact share of the phase; earliest deadline first among released blocks
 then keeps every source within less than one block of its target at every slot. Each slot follows from the one
 before, so the driver lays out the blocks one by one, in whole numbers, and writes the plan in parts of PLAN_ROWS;
-its time grows with the number of blocks, its memory does not. The rows meet the plan in a join. When a source runs
+its time grows with the number of blocks, its memory with that of sources only. Each source that runs out starts the
+schedule anew, so with very many sources its time grows with the square of their number. The rows meet the plan in a join. When a source runs
 out, the others go on in a new phase with their weights scaled up: every row gets a place, none is dropped or repeated.
 
 Nulls: a null source counts as the source ''. Sources without a target share by their number of rows.
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import gapless_index, salts_for, shared_dir
 
-#: Sources that one schedule may hold; the plan that the driver lays out is bounded by it.
-MAX_SOURCES = 512
 #: Blocks of the plan that the driver holds at a time.
 PLAN_ROWS = 1 << 16
 
@@ -94,13 +93,11 @@ def pfair_mix(
     """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position.
 
     mix_slot is the slot of the row's block; mix_position sorts the rows. weights None: tempered, the square
-    root of a source's rows. period has no effect: a schedule doesn't repeat. Raises ValueError beyond MAX_SOURCES sources.
+    root of a source's rows. period has no effect: a schedule doesn't repeat.
     """
     spark = docs.sparkSession
     named = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    counts = named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a source
     rows = {r.mix_source: r.n for r in counts}
     target = {s: float((weights or {}).get(s, 0) or (n**0.5 if not weights else n / max(1, sum(rows.values())))) for s, n in rows.items()}
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
@@ -124,7 +121,7 @@ def pfair_mix(
     salts = spark.range(1).select(
         F.inline(F.from_json(F.lit(json.dumps([{"mix_source": s, "c": n} for s, n in rows.items()])), "array<struct<mix_source:string,c:long>>"))
     ).select("mix_source", salts_for(F.col("c")).alias("__salts"))
-    salted = named.join(F.broadcast(salts), "mix_source")  # at most MAX_SOURCES rows
+    salted = named.join(F.broadcast(salts), "mix_source")  # one row a source
     indexed = gapless_index(salted, "mix_source", "__salts", [id_col], "__at")
     block = F.floor(F.col("__at") / F.lit(block_rows))
     planned = plan.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("n").alias("__n"), F.col("r").alias("__r"), F.col("d").alias("__d"))

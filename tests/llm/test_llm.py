@@ -207,6 +207,13 @@ def test_mixing_keeps_the_exact_targets(spark, monkeypatch):
         assert slot > 4000
 
 
+def test_mixing_of_many_sources(spark):
+    table = spark.range(1800).selectExpr("id doc_id", "concat('s', id % 600) source")
+    mixed = pfair_mix(table, block_rows=2).collect()
+    assert len({r.doc_id for r in mixed}) == len({r.mix_position for r in mixed}) == 1800
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in mixed)
+
+
 def test_pipeline_returns_the_place_in_the_mix(spark, tmp_path):
     """Read again from several files of falling and rising size, the rows still tell the order that keeps the targets."""
     sizes = {"a": 600, "b": 200, "c": 100}
