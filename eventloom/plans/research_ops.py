@@ -175,10 +175,22 @@ def fold_seal(spark, d):
     return g.select("user_id", F.sha2(F.array_join(F.transform("i", lambda x: x.cast("string")), ","), 256).alias("seal"), F.size("i").cast("long").alias("n"))
 
 
+def counts_by_signal(rows, ids=None):
+    """(user_id, n) of rows, of the ids given or of all."""
+    kept = rows if ids is None else rows.where(F.col("user_id").isin(ids))
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("count_by_signal", " SELECT user_id, count(*) AS n FROM sig WHERE user_id IN (1, 2, 3, 5, 8) GROUP BY user_id")
 def count_by_signal(spark, d):
-    """A2: counts over an optional id list."""
-    return signals(spark, d).where(F.col("user_id").isin(1, 2, 3, 5, 8)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """A2: counts over an id list."""
+    return counts_by_signal(signals(spark, d), [1, 2, 3, 5, 8])
+
+
+@query("count_by_signal_all", " SELECT user_id, count(*) AS n FROM sig GROUP BY user_id")
+def count_by_signal_all(spark, d):
+    """A2: counts without an id list."""
+    return counts_by_signal(signals(spark, d))
 
 
 @query("news_coverage", "SELECT d.source, count(*) AS n, count(l.doc_id) AS processed, round(100.0 * count(l.doc_id) / count(*), 1) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source", base=False)

@@ -101,7 +101,7 @@ def scan_news_latest(spark, d):
 
 @query("page_keyset", " SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (1000, 2) ORDER BY l_orderkey, l_linenumber LIMIT 251", base=False)
 def page_keyset(spark, d):
-    """The page after a composite key, with one row of look-ahead."""
+    """L2: the page after a composite key, with one row of look-ahead."""
     t = table(spark, d, "lineitem")
     after = (F.col("l_orderkey") > 1000) | ((F.col("l_orderkey") == 1000) & (F.col("l_linenumber") > 2))
     return t.where(after).orderBy("l_orderkey", "l_linenumber").limit(251).select("l_orderkey", "l_linenumber", "l_partkey")
