@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.fixtures import bars, signals, table
-from .market import ENTRY, TARGET, entries, horizon
+from .market import ENTRY, TARGET, change, entries, horizon
 from .registry import query
 from .signal_ops import NOW, keep_latest
 from .text_ops import TITLE, TOKENS, titled
@@ -145,7 +145,7 @@ def eval_eligibility(spark, d):
 SELECT signal_id, CASE WHEN ret IS NULL THEN 'unavailable' WHEN direction = 'neutral' AND abs(ret) < 0.5 THEN 'quiet' WHEN direction = 'neutral' THEN 'material_move' WHEN ret = 0 THEN 'flat' WHEN (direction = 'up') = (ret > 0) THEN 'hit' ELSE 'miss' END AS verdict FROM r""")
 def eval_outcomes(spark, d):
     """Verdicts of directional and neutral signals."""
-    r = horizon(entries(spark, d), spark, d, 4, "target").withColumn("ret", (F.col("target") / F.col("entry") - 1) * 100)
+    r = horizon(entries(spark, d), spark, d, 4, "target").withColumn("ret", change("target", "entry") * 100)
     neutral, ret = F.col("direction") == "neutral", F.col("ret")
     v = F.when(ret.isNull(), "unavailable").when(neutral & (F.abs(ret) < 0.5), "quiet").when(neutral, "material_move").when(ret == 0, "flat").when((F.col("direction") == "up") == (ret > 0), "hit").otherwise("miss")
     return r.select("signal_id", v.alias("verdict"))
@@ -156,7 +156,7 @@ def token_overlap(spark, d):
     """The share of the smaller token set, of items side by side."""
     t = table(spark, d, "benchmark").select("item_id", tokens(F.col("text")).alias("w")).where("size(w) > 0")
     later = t.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
-    share = F.size(F.array_intersect("w", "v")) / F.least(F.size("w"), F.size("v"))
+    share = F.try_divide(F.size(F.array_intersect("w", "v")), F.least(F.size("w"), F.size("v")))
     return t.join(later, "item_id").select(F.col("item_id").alias("x"), (F.col("item_id") + 1).alias("y"), (share >= 0.6).alias("alike"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
 from ..sources.fixtures import bars, benchmark_bars, signals
 from .registry import query
 
-def pct(new: str, old: str):
-    return F.round((F.col(new) / F.col(old) - 1) * 100, 6)
+
+def change(new: str, old: str) -> Column:
+    """The relative change; null where there is nothing to divide by."""
+    return F.try_divide(F.col(new), F.col(old)) - 1
+
+
+def pct(new: str, old: str) -> Column:
+    return F.round(change(new, old) * 100, 6)
 
 
 ENTRY = """, e AS (SELECT s.*, b.at AS entry_at, b.open AS entry FROM sig s ASOF LEFT JOIN bars b ON s.ticker = b.ticker AND s.decision_at < b.at)"""
@@ -46,7 +52,7 @@ def metric_slice(spark, d):
     """A3: hit rate, mean and median signed return by ticker."""
     r = horizon(entries(spark, d), spark, d, 4, "target")
     sign = F.when(F.col("direction") == "up", 1).when(F.col("direction") == "down", -1)
-    r = r.withColumn("signed", sign * (F.col("target") / F.col("entry") - 1) * 100)
+    r = r.withColumn("signed", sign * change("target", "entry") * 100)
     hits = F.try_divide(100.0 * F.count_if(F.col("signed") > 0), F.count("signed"))
     return r.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("signed").alias("evaluated"), F.round(hits, 1).alias("hit_rate"), F.round(F.avg("signed"), 6).alias("mean_signed"), F.round(F.median("signed"), 6).alias("median_signed"))
 
@@ -82,7 +88,7 @@ def abnormal_returns(spark, d):
     index = benchmark_bars(spark, d)
     one = asof_join(own, index, [], "entry_at", "at", "open", "be", tolerance_s=1200)
     two = asof_join(one, index, [], "goal", "at", "open", "bt", tolerance_s=1200)
-    return two.select("signal_id", F.round((F.col("target") / F.col("entry") - 1) * 100 - (F.col("bt") / F.col("be") - 1) * 100, 6).alias("abnormal"))
+    return two.select("signal_id", F.round(change("target", "entry") * 100 - change("bt", "be") * 100, 6).alias("abnormal"))
 
 
 @query("horizon_labels_multi", """, g AS (SELECT s.*, m, decision_at + m * INTERVAL 1 MINUTE AS goal FROM sig s, (SELECT unnest([30, 60, 120, 240]) AS m)),
@@ -112,7 +118,7 @@ def daily_returns(spark, d):
     day = F.to_date(F.col("at") + F.expr("INTERVAL '3' HOUR"))
     f = bars(spark, d).groupBy("ticker", day.alias("day")).agg(F.min_by("open", F.struct("at", "bar_id")).alias("o"))
     prior = F.lag("o").over(Window.partitionBy("ticker").orderBy("day"))
-    return f.select("ticker", F.col("day").cast("string").alias("day"), F.round(F.col("o") / prior - 1, 8).alias("ret"))
+    return f.select("ticker", F.col("day").cast("string").alias("day"), F.round(F.try_divide(F.col("o"), prior) - 1, 8).alias("ret"))
 
 
 @query("realized_volatility", """, f AS (SELECT ticker, CAST(bars.at + INTERVAL 3 HOUR AS DATE) AS day, arg_min(open, (bars.at, bar_id)) AS o FROM bars GROUP BY 1, 2),
@@ -122,7 +128,7 @@ def realized_volatility(spark, d):
     """Deviation of daily log returns, three closes at least."""
     day = F.to_date(F.col("at") + F.expr("INTERVAL '3' HOUR"))
     f = bars(spark, d).groupBy("ticker", day.alias("day")).agg(F.min_by("open", F.struct("at", "bar_id")).alias("o"))
-    r = f.withColumn("x", F.log(F.col("o") / F.lag("o").over(Window.partitionBy("ticker").orderBy("day"))))
+    r = f.withColumn("x", F.log(F.try_divide(F.col("o"), F.lag("o").over(Window.partitionBy("ticker").orderBy("day")))))
     vol = F.when(F.count("x") >= 2, F.stddev_samp("x") * 100)
     return r.groupBy("ticker").agg(F.round(vol, 6).alias("daily_vol"), F.round(vol * F.sqrt(F.lit(252.0)), 6).alias("annual_vol"))
 

@@ -9,7 +9,7 @@ from ..operators.asof import asof_join
 from ..operators.metrics import roc_auc, wilson
 from ..sources.fixtures import bars, benchmark_bars, signals, table
 from .gate_ops import hours, minutes, now
-from .market import ENTRY, TARGET, entries, horizon, pct
+from .market import ENTRY, TARGET, change, entries, horizon, pct
 from .metric_ops import SCORED, scored
 from .registry import query
 from .signal_ops import NOW
@@ -47,7 +47,7 @@ def remaining(spark, d) -> DataFrame:
     for series, key, name in ((bars(spark, d), ["ticker"], "s"), (benchmark_bars(spark, d), [], "b")):
         for n, when in enumerate("az"):
             df = asof_join(df, series, key, when, "at", "open", f"{name}{n}", tolerance_s=1200)
-    return df.withColumn("rest", (F.col("s1") / F.col("s0") - F.col("b1") / F.col("b0")) * 100)
+    return df.withColumn("rest", (F.try_divide("s1", "s0") - F.try_divide("b1", "b0")) * 100)
 
 
 @query("remaining_returns", FOUR + " SELECT signal_id, round((s1 / s0 - b1 / b0) * 100, 6) AS rest FROM b1")
@@ -59,7 +59,7 @@ def remaining_returns(spark, d):
 @query("model_outcomes", FOUR + " SELECT signal_id, CASE WHEN s1 / s0 - b1 / b0 > 0 THEN 'up' WHEN s1 / s0 - b1 / b0 < 0 THEN 'down' WHEN s1 / s0 = b1 / b0 THEN 'flat' END AS label, abs((s1 / s0 - b1 / b0) * 100) >= 1 AS material FROM b1")
 def model_outcomes(spark, d):
     """C14: direction and materiality (one per cent) of the remaining return."""
-    r = remaining(spark, d).withColumn("x", F.col("s1") / F.col("s0") - F.col("b1") / F.col("b0"))
+    r = remaining(spark, d).withColumn("x", F.try_divide("s1", "s0") - F.try_divide("b1", "b0"))
     x = F.col("x")
     return r.select("signal_id", F.when(x > 0, "up").when(x < 0, "down").when(x == 0, "flat").alias("label"), (F.abs(F.col("rest")) >= 1).alias("material"))
 
@@ -224,7 +224,7 @@ HITS = H4 + ", r AS (SELECT *, (target / entry - 1) * 100 AS ret FROM h WHERE ta
 
 
 def hits(spark, d) -> DataFrame:
-    r = horizon(entries(spark, d), spark, d, 4, "target").where("target IS NOT NULL AND direction <> 'neutral'").withColumn("ret", (F.col("target") / F.col("entry") - 1) * 100)
+    r = horizon(entries(spark, d), spark, d, 4, "target").where("target IS NOT NULL AND direction <> 'neutral'").withColumn("ret", change("target", "entry") * 100)
     return r.withColumn("hit", (F.col("direction") == "up") == (F.col("ret") > 0)).withColumn("signed", F.when(F.col("direction") == "up", F.col("ret")).otherwise(-F.col("ret")))
 
 
@@ -314,9 +314,9 @@ def risk_beta(spark, d):
     """Beta to the benchmark over common days, 20 at least, within [-2, 4]."""
     day = F.to_date(F.col("at") + hours(3)).alias("day")
     f = bars(spark, d).groupBy("ticker", day).agg(F.min_by("open", F.struct("at", "bar_id")).alias("o"))
-    r = f.select("ticker", "day", (F.col("o") / F.lag("o").over(Window.partitionBy("ticker").orderBy("day")) - 1).alias("r"))
+    r = f.select("ticker", "day", (F.try_divide(F.col("o"), F.lag("o").over(Window.partitionBy("ticker").orderBy("day"))) - 1).alias("r"))
     mf = benchmark_bars(spark, d).groupBy(day).agg(F.min_by("open", "at").alias("o"))
-    m = mf.select("day", (F.col("o") / F.lag("o").over(Window.partitionBy(F.lit(1)).orderBy("day")) - 1).alias("m"))  # one row a day
+    m = mf.select("day", (F.try_divide(F.col("o"), F.lag("o").over(Window.partitionBy(F.lit(1)).orderBy("day"))) - 1).alias("m"))  # one row a day
     b = F.try_divide(F.covar_samp("r", "m"), F.var_samp("m"))
     return r.join(m, "day").where("r IS NOT NULL AND m IS NOT NULL").groupBy("ticker").agg(F.when((F.count(F.lit(1)) >= 20) & (F.var_samp("m") > 0), F.round(F.greatest(F.lit(-2.0), F.least(F.lit(4.0), b)), 6)).alias("beta"))
 
@@ -327,14 +327,14 @@ def window_stats(spark, d):
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 1800)
     s = signals(spark, d).select("signal_id", "ticker", "decision_at", F.explode(F.array(slot("decision_at"), slot("decision_at") - 1)).alias("slot"))
     rows = s.join(bars(spark, d).withColumn("slot", slot("at")), ["ticker", "slot"]).where((F.col("at") <= F.col("decision_at")) & (F.col("at") > F.col("decision_at") - minutes(30)))
-    return rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.round((F.max("open") / F.min("open") - 1) * 100, 6).alias("range_pct"))
+    return rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.round((F.try_divide(F.max("open"), F.min("open")) - 1) * 100, 6).alias("range_pct"))
 
 
 @query("assessments", " SELECT ticker, round(greatest(-40, least(40, (arg_max(open, (bars.at, bar_id)) / arg_min(open, (bars.at, bar_id)) - 1) * 100 * 0.55)), 4) AS price_factor, round(15 * greatest(-1, least(1, count(*) / CAST(2000 AS DOUBLE) - 1)), 4) AS volume_factor FROM bars GROUP BY ticker")
 def assessments(spark, d):
     """Clipped price and volume factors by ticker."""
     at = F.struct("at", "bar_id")
-    move = (F.max_by("open", at) / F.min_by("open", at) - 1) * 100 * 0.55
+    move = (F.try_divide(F.max_by("open", at), F.min_by("open", at)) - 1) * 100 * 0.55
     clip = lambda x, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
     return bars(spark, d).groupBy("ticker").agg(F.round(clip(move, -40, 40), 4).alias("price_factor"), F.round(15 * clip(F.count(F.lit(1)) / 2000 - 1, -1, 1), 4).alias("volume_factor"))
 
@@ -362,7 +362,7 @@ def interactions(spark, d):
 @query("ternary_label", H4 + " SELECT signal_id, CASE WHEN target IS NULL THEN NULL WHEN (target / entry - 1) * 100 / 2 > 0.5 THEN 1 WHEN (target / entry - 1) * 100 / 2 < -0.5 THEN -1 ELSE 0 END AS label FROM h")
 def ternary_label(spark, d):
     """The margin over a scale, in three classes."""
-    m = (F.col("target") / F.col("entry") - 1) * 100 / 2
+    m = change("target", "entry") * 100 / 2
     h = horizon(entries(spark, d), spark, d, 4, "target")
     return h.select("signal_id", F.when(F.col("target").isNull(), None).when(m > 0.5, 1).when(m < -0.5, -1).otherwise(0).alias("label"))
 
@@ -399,7 +399,7 @@ def materiality_outcomes(spark, d):
     h = horizon(entries(spark, d), spark, d, 4, "target")
     none, open_ = F.col("target").isNull(), F.col("entry_at") + hours(4) + minutes(20) > now()
     status = F.when(F.col("entry").isNull(), "no_entry").when(none & open_, "pending").when(none, "missed").otherwise("evaluated")
-    agree = (F.col("confidence") >= 0.5) == (F.abs(F.col("target") / F.col("entry") - 1) * 100 >= 1)
+    agree = (F.col("confidence") >= 0.5) == (F.abs(change("target", "entry")) * 100 >= 1)
     return h.withColumn("status", status).select("signal_id", "status", F.when(F.col("status") == "evaluated", agree).alias("verdict"))
 
 

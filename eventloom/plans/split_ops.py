@@ -69,7 +69,7 @@ def check_leakage(spark, d):
 def check_returns(spark, d):
     """V2: returns beyond a bound."""
     prev = F.lag("open").over(Window.partitionBy("ticker").orderBy("at", "bar_id"))
-    return bars(spark, d).withColumn("prev", prev).where(F.abs((F.col("open") / F.col("prev") - 1) * 100) > 100).select("bar_id")
+    return bars(spark, d).withColumn("prev", prev).where(F.abs((F.try_divide(F.col("open"), F.col("prev")) - 1) * 100) > 100).select("bar_id")
 
 
 @query("dedup_eval_events")
