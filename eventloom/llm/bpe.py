@@ -20,6 +20,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Two white-space characters side by side.
 DOUBLE = re.compile(r"\s\s")
-#: Pieces kept with their ids at once, and the longest of them in characters.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
-#: Bytes handed to the decoder's state machine at a time.
+#: Entries of each of a cache's two generations, and the longest string kept, in characters.
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+#: Letters before this one are told by str.isalpha as by the split; beyond, versions of Unicode may differ.
+LATIN_END = "\u0250"
+#: Tokens handed to the decoder's state machine at a time.
 DECODE_TOKENS = 8192
 
 
@@ -43,6 +46,27 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+class Recent:
+    """A bounded cache in two generations: when the new one is full, it takes the old one's place."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= CACHE_CHARS:
+            if len(self.new) >= CACHE_ENTRIES:
+                self.old = self.new.copy()
+                self.new.clear()
+            self.new[key] = value
+
+
 class Transducer:
     """Encoder and decoder of one vocabulary."""
 
@@ -68,13 +92,12 @@ class Transducer:
                     self.made[i] = self.joined
         self.spines: tuple[dict, dict] = ({}, {})
         self.lookahead = max(map(len, self.usable))
-        self.reach: dict[bytes, int] = {}  # the longest token by its last three bytes
-        for b in self.usable:
-            if len(b) > 2:
-                self.reach[b[-3:]] = max(len(b), self.reach.get(b[-3:], 0))
+        self.endings = ahocorasick.Automaton()
+        for b, i in self.usable.items():
+            self.endings.add_word(b.decode("latin-1"), (len(b), i))
+        self.endings.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(), Recent()
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -123,22 +146,24 @@ class Transducer:
 
     def stream(self, piece: bytes) -> Iterator[int]:
         """The ids of one piece, each as soon as it is stable."""
-        look, usable, reach, pairs, stands = self.lookahead, self.usable.get, self.reach.get, self.pairs.get, self.stands
+        look, pairs, stands = self.lookahead, self.pairs.get, self.stands
         ends: list[tuple[int, int]] = [(-1, 0)]  # for the prefix of base + n bytes: its last token, and its start
-        base, sent = 0, 0  # ends[0] is the prefix of `base` bytes; all before `sent` is emitted
-        for end in range(1, len(piece) + 1):
-            for start in range(max(sent, end - (reach(piece[end - 3 : end], 2) if end > 2 else 2)), end):
-                t = usable(piece[start:end])
-                if t is None:
-                    continue
-                u = ends[start - base][0]
-                if start == 0 or u >= 0 and ((known := pairs((u, t))) or known is None and stands(u, t)):
-                    ends.append((t, start))
-                    break
-            else:
-                ends.append((-2, end))  # no encoding ends here
-            if end - sent >= 4 * look:
-                low, marks = sent, {n for n in range(end - look + 1, end + 1) if ends[n - base][0] >= 0}
+        base, sent, done = 0, 0, 0  # ends[0] is the prefix of `base` bytes; all before `sent` is emitted
+        # The automaton yields, byte by byte, every token that ends there, the longest first.
+        for at, (size, t) in self.endings.iter(piece.decode("latin-1")):
+            start = at + 1 - size
+            if at < done or start < base:
+                continue
+            if at > done:  # no encoding ends in between
+                ends.extend((-2, n) for n in range(done + 1, at + 1))
+                done = at
+            u = ends[start - base][0]
+            if start and (u < 0 or not ((known := pairs((u, t))) or known is None and stands(u, t))):
+                continue
+            ends.append((t, start))
+            done = at + 1
+            if done - sent >= 4 * look:
+                low, marks = sent, {n for n in range(done - look + 1, done + 1) if ends[n - base][0] >= 0}
                 while len(marks) > 1:  # the paths back meet at a prefix that every later encoding has
                     last = max(marks)
                     marks.discard(last)
@@ -161,24 +186,26 @@ class Transducer:
 
     def packed(self, piece: str) -> bytes:
         """A piece's ids as little-endian 32-bit integers."""
-        got = self.cache.get(piece)
+        raw = piece.encode("utf-8", "replace")
+        whole = self.usable.get(raw)
+        return struct.pack("<I", whole) if whole is not None else array("I", self.stream(raw)).tobytes()
+
+    def spaced(self, word: str) -> bytes:
+        """The ids of a space and the word after it, which holds no space itself."""
+        got = self.words.get(word)
         if got is None:
-            raw = piece.encode("utf-8", "replace")
-            whole = self.usable.get(raw)
-            got = struct.pack("<I", whole) if whole is not None else array("I", self.stream(raw)).tobytes()
-            if len(piece) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = got
+            if word.isalpha() and max(word) < LATIN_END:  # one piece
+                got = self.packed(" " + word)
+            else:
+                got = b"".join([self.spaced(p[1:]) if len(p) > 1 and p[0] == " " and p != " " + word else self.piece(p) for p in self.split.findall(" " + word)])
+            self.words.put(word, got)
         return got
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of what stands between two single spaces, with the space before it."""
-        got = b"".join(map(self.packed, self.split.findall(chunk)))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.chunks) >= CACHE_PIECES:
-                self.chunks.clear()
-            self.chunks[chunk] = got
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.packed(piece)
+            self.pieces.put(piece, got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -192,19 +219,15 @@ class Transducer:
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
             elif DOUBLE.search(part):
-                out.extend(map(self.packed, self.split.findall(part)))
+                out.extend(map(self.piece, self.split.findall(part)))
             elif part:
                 # Where white space never doubles, the split has a border before each space.
-                chunks, chunk, first = self.chunks, self.chunk, True
-                for word in part.split(" "):
-                    if not first:
-                        word = " " + word
-                    elif not word:
-                        first = False
-                        continue
-                    first = False
-                    got = chunks.get(word)
-                    out.append(chunk(word) if got is None else got)
+                first, *words = part.split(" ")
+                out.extend(map(self.piece, self.split.findall(first)))
+                got = list(map(self.words.new.get, words))
+                if None in got:
+                    got = [self.spaced(w) if g is None else g for w, g in zip(words, got)]
+                out += got
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> Iterator[str]:
