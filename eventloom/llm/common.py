@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def pieces_of(batch, column: int, most: int = 2_000_000) -> Iterator:
+    """An Arrow batch in slices whose values of a string or binary column have about so many bytes, a longer value alone."""
+    import pyarrow.compute as pc
+
+    if not len(batch):
+        yield batch
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows that learning must not see (null ids count as held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == HELD_OUT_REMAINDER, F.lit(True))

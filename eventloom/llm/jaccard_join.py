@@ -13,8 +13,7 @@ classes link when 100 * |A and B| >= 75 * |A or B| (the threshold is a parameter
    for each class of size (sizes of linked sets are in one class or in neighbouring ones; a set is a guest in the
    bucket above its own, and guests aren't compared with each other). The large ones are dealt to other blocks for a few rounds, as in step 2 and with the components known so far; this
    connects most of a large group without forming its pairs. What is still apart makes buckets of bitmaps only, with
-   every pair of blocks, walked in the same way. A pair goes on from the first bucket that has both, one of them at
-   least as no guest, and is compared exactly.
+   every pair of blocks, walked in the same way. The pairs left, each once, are compared exactly.
 4. Components of all links by large-star and small-star rounds.
 
 No link is lost: step 3 meets every pair that steps 1 and 2 left apart. No group is held whole by a task. Nulls: a
@@ -25,21 +24,21 @@ taken for equal with a chance of 2^-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, pieces_of
 
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
-BLOCK, PACK_ROWS, BATCH_BYTES = 512, 2_048, 500_000
+BLOCK, PACK_ROWS, BATCH_BYTES, HOT_SALTS = 512, 2_048, 500_000, 64
 #: Rounds that deal groups to new blocks before pairs are formed, for shingles of more classes than CROWD.
 ROUNDS, CROWD = 4, 64
-#: How many of its buckets a set names, so that a pair is passed on once; pairs that first meet beyond them may be passed on again.
-NAMED = 64
+#: Blocks of so many members at most are leaves of their own, compared without a tree; bytes of bitmaps compared at a time.
+SMALL, LEAF_BYTES = 64, 2_000_000
 #: Size of the bitmap that picks the texts whose sets are wanted: beyond some ten million it lets others pass, at a cost in time alone.
 PICK_BITS = 1 << 24
 U64 = np.uint64
@@ -234,8 +233,55 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def block_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Within one block: each row's label, the least name that exact links connect it with; rows of one name are connected."""
+def leaf_pairs(rows: np.ndarray, block: np.ndarray, n: np.ndarray, maps: list[np.ndarray], percent: int, apart: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs that may link within small blocks, each a leaf of its own: all leaves of a pack at once.
+
+    rows lie side by side by block. apart(x, y) says which pairs are worth a look.
+    """
+    xs, ys = [], []
+    for step in range(1, SMALL):
+        at = np.flatnonzero(block[step:] == block[:-step])
+        if not len(at):
+            break
+        x, y = rows[at], rows[at + step]
+        keep = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        if apart:
+            keep &= apart(x, y)
+        xs.append(x[keep])
+        ys.append(y[keep])
+    if not xs:
+        return
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    widths = np.array([len(m) for m in maps])
+    narrow = np.minimum(widths[x], widths[y])
+    for w in np.unique(narrow).tolist():
+        a, b = x[narrow == w], y[narrow == w]
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        bits = np.stack([fold(maps[r], w) for r in used]).view(np.uint64)
+        extra = n[used] - np.bitwise_count(bits).sum(1)
+        at_a, at_b = at[: len(a)], at[len(a) :]
+        some = max(1, LEAF_BYTES // w)
+        for c in range(0, len(a), some):
+            i, j = at_a[c : c + some], at_b[c : c + some]
+            both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(extra[i], extra[j])
+            most = np.minimum(both, np.minimum(n[used[i]], n[used[j]]))
+            good = (100 + percent) * most >= percent * (n[used[i]] + n[used[j]])
+            if good.any():
+                yield a[c : c + some][good], b[c : c + some][good]
+
+
+def candidates(blocks: list[np.ndarray], n: np.ndarray, maps: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs within blocks that may link."""
+    small = [b for b in blocks if len(b) <= SMALL]
+    if small:
+        yield from leaf_pairs(np.concatenate(small), np.repeat(np.arange(len(small)), [len(b) for b in small]), n, maps, percent)
+    for rows in blocks:
+        if len(rows) > SMALL:
+            yield from paired(n, maps, rows, None, percent)
+
+
+def block_labels(blocks: list[np.ndarray], nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Each row's label: the least name that exact links within blocks connect it with; rows of one name are connected."""
     first = {int(name): x for x, name in reversed(list(enumerate(nodes)))}
     parent = [first[int(name)] for name in nodes]
 
@@ -245,13 +291,12 @@ def block_labels(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
             x = parent[x]
         return x
 
-    if len(nodes) > 1:
-        for i, j in paired(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], np.arange(len(nodes)), None, percent):
-            for x, y in zip(i.tolist(), j.tolist()):
-                rx, ry = find(x), find(y)
-                if rx != ry and links(sets[x], sets[y], percent):
-                    keep, lose = (rx, ry) if nodes[rx] <= nodes[ry] else (ry, rx)
-                    parent[lose] = keep
+    for i, j in candidates(blocks, np.array([len(s) for s in sets]), [bitmap(s) for s in sets], percent):
+        for x, y in zip(i.tolist(), j.tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry and links(sets[x], sets[y], percent):
+                keep, lose = (rx, ry) if nodes[rx] <= nodes[ry] else (ry, rx)
+                parent[lose] = keep
     return nodes[[find(x) for x in range(len(nodes))]] if len(nodes) else nodes
 
 
@@ -264,7 +309,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").selectExpr("v u", "m v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
-        state = materialize(small.where("v <> m").selectExpr("v u", "m v").unionByName(low2.selectExpr("u", "m v")).distinct(), "links")
+        last, state = state, materialize(small.where("v <> m").selectExpr("v u", "m v").unionByName(low2.selectExpr("u", "m v")).distinct(), "links")
+        discard(last)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == tuple(now):
             return state
@@ -285,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = plain.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, rows // SAMPLE_DOCS))) == 0).select("text")
 
     def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 0)):
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["token"])
 
@@ -294,7 +340,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(hot)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 1)):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             heads = [ordered(s, shared.value)[: prefix_size(len(s), percent)].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -310,19 +356,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     step = np.log(100.1 / percent)  # a little more than linked sizes can differ by
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 1)):
             heads = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
             sizes = [len(h) for h in heads]
+            token = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+            often = np.isin(token.view(U64), shared.value)
             repeat = lambda c: np.repeat(c.to_numpy(), sizes)
             level = np.floor(np.log(np.repeat(batch.column(2).to_numpy(), sizes)) / step).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(heads) if heads else [], pa.int64()), pa.array(repeat(batch.column(0)), pa.int64()),
+                [pa.array(token, pa.int64()), pa.array(repeat(batch.column(0)), pa.int64()), pa.array(often, pa.bool_()),
                  pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else [], pa.int32()), pa.array(level, pa.int32())],
-                names=["token", "node", "pos", "level"],
+                names=["token", "node", "often", "pos", "level"],
             )
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of token: those whose token a neighbour has too. Keeps one row from batch to batch."""
+        """Of rows in order of token: those whose token a neighbour has too, or is frequent. Keeps one row from batch to batch."""
         held, held_used = None, False
         for batch in batches:
             if not len(batch):
@@ -333,13 +381,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 alike[0] = True
                 if not held_used:
                     yield held
-            used = alike | np.concatenate([alike[1:], [False]])
+            used = alike | np.concatenate([alike[1:], [False]]) | batch.column(2).to_numpy(zero_copy_only=False)
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
             yield batch.filter(pa.array(used))
 
-    kinds = "token long, node long, pos int, level int"
+    kinds = "token long, node long, often boolean, pos int, level int"
     tokens = heads.mapInArrow(spread, kinds)
-    active = materialize(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(in_company, kinds), "active")
+    # A frequent shingle is in company, wherever its rows go: they are dealt to many tasks.
+    dealt = tokens.repartition("token", F.when(F.col("often"), F.pmod("node", F.lit(HOT_SALTS))).otherwise(0))
+    active = materialize(dealt.sortWithinPartitions("token").mapInArrow(in_company, kinds).drop("often"), "active")
 
     # 2. Blocks by first shared shingle; bitmaps alone say which classes have a possible partner there.
     homes = active.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("home"))
@@ -349,22 +399,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packs = max(1, -(-homes.count() // PACK_ROWS))
     spots = spots.select("node", "home", "part", F.pmod(F.xxhash64("home", "part"), F.lit(packs)).alias("pack"))
 
-    def blocks_of(table: pa.Table) -> Iterator[np.ndarray]:
+    def blocks_of(table: pa.Table) -> list[np.ndarray]:
         node, home, part = (table[c].to_numpy() for c in ("node", "home", "part"))
         order = np.lexsort([node, part, home])
         cuts = np.flatnonzero(np.concatenate([[True], (home[order][1:] != home[order][:-1]) | (part[order][1:] != part[order][:-1]), [True]]))
-        return (order[a:b] for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1)
+        return [order[a:b] for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
 
     def partnered(table: pa.Table) -> pa.Table:
         node, n, maps = table["node"].to_numpy(), table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
         live = np.zeros(len(node), bool)
-        for rows in blocks_of(table):
-            for x, y in paired(n, maps, rows, None, percent):
-                live[x] = live[y] = True
+        for x, y in candidates(blocks_of(table), n, maps, percent):
+            live[x] = live[y] = True
         return table.select(["node", "home", "part", "pack", "key"]).filter(pa.array(live))
 
     placed = spots.join(classes.select("node", "key", "n", "bits"), "node").groupBy("pack")
     live = materialize(placed.applyInArrow(partnered, "node long, home long, part long, pack long, key long"), "partnered")
+    discard(homes)
 
     def sets_of(keys: DataFrame, name: str) -> DataFrame:
         """(node, tokens) of the classes whose key is given, and of a few more: a bitmap of fixed size picks them from the texts."""
@@ -376,7 +426,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         chosen = spark.sparkContext.broadcast(picked)
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (x for b in batches for x in pieces_of(b, 1)):
                 at = batch.column(0).to_numpy()
                 rows = np.flatnonzero((chosen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 sets = shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), words)
@@ -388,14 +438,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def label(table: pa.Table) -> pa.Table:
         node, own = table["node"].to_numpy(), [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
-        labels = node.copy()
-        for rows in blocks_of(table):
-            labels[rows] = block_labels(node[rows], [own[x] for x in rows], percent)
+        labels = block_labels(blocks_of(table), node, own, percent)
         out = pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(labels, pa.int64())})
         return out.group_by("node").aggregate([("label", "min")]).rename_columns(["node", "label"]) if len(out) else out
 
     labelled = live.join(sets, "node").groupBy("pack").applyInArrow(label, "node long, label long")
     labelled = materialize(labelled, "labels")
+    discard(live)
+    discard(sets)
 
     # 3. Shingles that still join several components.
     label_of = F.coalesce("label", "node").alias("label")
@@ -404,19 +454,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = F.array(F.struct(F.col("level"), F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))
     placed = known.join(apart, "token").select("token", "node", "label", F.explode(places).alias("at"))
     placed = materialize(placed.select(F.xxhash64("token", "at.level").alias("token"), "node", "label", "at.own"), "placed")
+    discard(active)
     told = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.sum(F.xxhash64("node", "own", F.lit(7)).cast("decimal(38,0)")).alias("y")]
     open_ = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("own").alias("hosts"), *told).where("a <> b AND hosts")
     buckets = open_.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")  # equal buckets once
     members = materialize(placed.select("token", "node", "own").join(buckets, "token"), "members")
+    discard(placed)
 
     def merged(table: pa.Table) -> pa.Table:
         """Pairs of labels that an exact link within a block connects, a spanning set of them."""
         own, label = [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()], table["label"].to_numpy()
-        out: list[tuple[int, int]] = []
-        for rows in blocks_of(table):
-            if (label[rows] != label[rows[0]]).any():
-                named = block_labels(label[rows], [own[x] for x in rows], percent)
-                out += {(int(a), int(b)) for a, b in zip(label[rows], named) if a != b}
+        blocks = [rows for rows in blocks_of(table) if (label[rows] != label[rows[0]]).any()]
+        out = list({(int(a), int(b)) for a, b in zip(label, block_labels(blocks, label, own, percent)) if a != b})
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
     # Large groups first: dealt to blocks anew, by their most frequent shingle, blocks of the round before meet.
@@ -429,34 +478,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not (held := best.count()):
             break
         if gathered is None:
-            gathered = sets_of(classes.join(best.select("node"), "node", "left_semi").select("key"), "crowd-sets").dropDuplicates(["node"])
+            gathered = sets_of(classes.join(best.select("node"), "node", "left_semi").select("key"), "crowd-sets")
         sizes = best.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
         dealt = best.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / BLOCK)))
         dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("home", "part"), F.lit(max(1, -(-held // PACK_ROWS))))).drop("m")
-        joined = materialize(dealt.join(gathered, "node").groupBy("pack").applyInArrow(merged, "u long, v long").distinct(), "merges")
+        joined = materialize(dealt.join(gathered.dropDuplicates(["node"]), "node").groupBy("pack").applyInArrow(merged, "u long, v long").distinct(), "merges")
+        discard(best)
         if joined.isEmpty():
             break
         roots = components(joined)
         every = labelled.select("node", "label").unionByName(now.select("node", "label")).distinct()
-        labelled = materialize(every.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) label"), "labels")
+        last, labelled = labelled, materialize(every.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) label"), "labels")
+        for done in (last, joined, roots):
+            discard(done)
+    if gathered is not None:
+        discard(gathered)
 
     known = members.join(labelled, "node", "left").select("token", "node", "own", "c", label_of)
     left_open = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     known = materialize(known.join(left_open, "token"), "open")
-    named = known.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("token", "own"))), 1, NAMED).alias("l"))
-    named = named.select("node", F.col("l.token").alias("named"), F.col("l.own").alias("hosts"))
-    crossing = known.withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
-    crossing = crossing.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
+    discard(members)
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    packs = max(1, -(-(known.agg(F.sum(blocks)).first()[0] or 0) // (4 * PACK_ROWS)))
+    crossing = known.withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     crossing = crossing.select("node", "own", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
-    crossing = materialize(crossing.join(classes.select("node", "n", "bits").join(named, "node"), "node"), "crossing")
-    packs = max(1, -(-crossing.count() // (4 * PACK_ROWS)))
+    crossing = crossing.join(classes.select("node", "n", "bits"), "node")
 
     def pairs(table: pa.Table) -> pa.Table:
-        token, node, own_label, mine, p, q = (table[c].to_numpy() for c in ("token", "node", "label", "mine", "p", "q"))
-        n, maps = table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
-        own, names = table["own"].to_numpy(), table["named"].to_pylist()
-        named = [frozenset(x) for x in names]
-        hosts = [frozenset(t for t, h in zip(x, y) if h) for x, y in zip(names, table["hosts"].to_pylist())]
+        token, node, label, mine, p, q = (table[c].to_numpy() for c in ("token", "node", "label", "mine", "p", "q"))
+        n, maps, own = table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()], table["own"].to_numpy()
+        apart = lambda x, y: (label[x] != label[y]) & (own[x] | own[y])
 
         def meet(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs that may link, two guests excepted."""
@@ -470,33 +521,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(u) and (v is None or len(v)):
                     yield from paired(n, maps, u, v, percent)
 
+        def every(order: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            small = [g for g in groups if 1 < len(g) <= SMALL and p[g[0]] == q[g[0]]]
+            if small:
+                yield from leaf_pairs(np.concatenate(small), np.repeat(np.arange(len(small)), [len(g) for g in small]), n, maps, percent, apart)
+            for g in groups:
+                if (label[g] == label[g[0]]).all() or len(g) <= SMALL and p[g[0]] == q[g[0]]:
+                    continue
+                whole = p[g[0]] == q[g[0]]
+                first, second = (g, None) if whole else (g[mine[g] == p[g]], g[mine[g] == q[g]])
+                for x, y in meet(first, second):
+                    keep = apart(x, y)
+                    yield x[keep], y[keep]
+
         order = np.lexsort([mine, q, p, token])
         key = np.stack([token, p, q])[:, order]
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
         left, right = [], []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            some_rows = order[a:b]
-            if (own_label[some_rows] == own_label[some_rows[0]]).all():
-                continue
-            whole = p[some_rows[0]] == q[some_rows[0]]
-            first = some_rows if whole else some_rows[mine[some_rows] == p[some_rows]]
-            second = None if whole else some_rows[mine[some_rows] == q[some_rows]]
-            here = int(token[some_rows[0]])
-            for x, y in meet(first, second):
-                apart = own_label[x] != own_label[y]
-                for k in np.flatnonzero(apart):
-                    i, j = x[k], y[k]  # buckets with both as guests don't count: the pair doesn't meet there
-                    apart[k] = min((hosts[i] & named[j]) | (named[i] & hosts[j]), default=here) >= here
-                left.append(np.minimum(node[x][apart], node[y][apart]))
-                right.append(np.maximum(node[x][apart], node[y][apart]))
+        for x, y in every(order, cuts):
+            left.append(np.minimum(node[x], node[y]))
+            right.append(np.maximum(node[x], node[y]))
         join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
         out = pa.table({"x": join(left), "y": join(right)})
         return out.group_by(["x", "y"]).aggregate([]) if len(out) else out
 
     spread_out = crossing.withColumn("pack", F.pmod(F.xxhash64("token", "p", "q"), F.lit(packs)))
     near = materialize(spread_out.groupBy("pack").applyInArrow(pairs, "x long, y long").distinct(), "near")
+    discard(known)
     ends = near.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    more = sets_of(classes.join(ends, "node", "left_semi").select("key"), "more-sets").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    last_sets = sets_of(classes.join(ends, "node", "left_semi").select("key"), "more-sets")
+    more = last_sets.join(ends, "node", "left_semi").dropDuplicates(["node"])
     both = near.join(more.selectExpr("node x", "tokens a"), "x").join(more.selectExpr("node y", "tokens b"), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,6 +566,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 4. Components, named by their least doc_id.
     roots = components(edges)
+    discard(near)
+    discard(last_sets)
     final = labelled.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) root")
     lone = roots.toDF("node", "root").join(labelled, "node", "left_anti")  # classes that only step 3 linked
     final = final.unionByName(lone)
