@@ -3,9 +3,10 @@
 A source's rows are dealt to blocks of `block_rows`. Its k-th block (from 0) in a phase is released at
 k / w and due at (k + 1) / w, w its exact share of the phase; earliest deadline first among released blocks
 then keeps every source within less than one block of its target at every slot. Each slot follows from the one
-before, so the driver lays out the blocks one by one, in whole numbers, and writes the plan in parts of PLAN_ROWS;
-its time grows with the number of blocks, its memory with that of sources only. Each source that runs out starts the
-schedule anew, so with very many sources its time grows with the square of their number. The rows meet the plan in a join. When a source runs
+before, so the driver lays out the blocks one by one, in whole numbers, and writes the plan in parts of PLAN_ROWS. Blocks
+grow with the table, so that they are about PLAN_BLOCKS at most and one more a source: the driver's time is bounded
+however large the table is. Each source that runs out starts the schedule anew, so its time grows with the square of the
+number of sources. The rows meet the plan in a join. When a source runs
 out, the others go on in a new phase with their weights scaled up: every row gets a place, none is dropped or repeated.
 
 Nulls: a null source counts as the source ''. Sources without a target share by their number of rows.
@@ -29,6 +30,9 @@ from .common import gapless_index, salts_for, shared_dir
 
 #: Blocks of the plan that the driver holds at a time.
 PLAN_ROWS = 1 << 16
+#: Rows a block, and about how many blocks the driver lays out at most: of more rows the blocks are longer.
+BLOCK_ROWS, PLAN_BLOCKS = 16, 1 << 20
+RESULTS = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 
 def edf(weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
@@ -82,25 +86,16 @@ def phases(
     return out
 
 
-def pfair_mix(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    source_col: str = "source",
-    id_col: str = "doc_id",
-    block_rows: int = 16,
-    period: int = 1024,
-) -> DataFrame:
-    """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position.
-
-    mix_slot is the slot of the row's block; mix_position sorts the rows. weights None: tempered, the square
-    root of a source's rows. period has no effect: a schedule doesn't repeat.
-    """
+def placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, block_rows: int | None, period: int) -> DataFrame:
+    """docs with the columns RESULTS under names of their own (__mix_...), which clash with none of the user's."""
     spark = docs.sparkSession
-    named = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    counts = named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a source
-    rows = {r.mix_source: r.n for r in counts}
-    target = {s: float((weights or {}).get(s, 0) or (n**0.5 if not weights else n / max(1, sum(rows.values())))) for s, n in rows.items()}
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+    named = docs.withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    counts = named.groupBy("__mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a source
+    rows = {r[0]: r[1] for r in counts}
+    total = sum(rows.values())
+    size = block_rows or max(BLOCK_ROWS, -(-total // PLAN_BLOCKS))
+    target = {s: float((weights or {}).get(s, 0) or (n**0.5 if not weights else n / max(1, total))) for s, n in rows.items()}
+    blocks = {s: -(-n // size) for s, n in rows.items()}
     # Literals, parsed by the JVM: nothing of the plan passes through Python workers.
     path, held = f"{shared_dir(spark)}/eventloom/mix-plan-{uuid.uuid4().hex}", []
     kinds = "s string, k long, n long, r long, d long"
@@ -117,30 +112,41 @@ def pfair_mix(
 
     phases(blocks, target, period, place)
     write()
-    plan = spark.read.schema(kinds).parquet(path)
+    plan = spark.read.schema(kinds).parquet(path).toDF("__mix_s", "__mix_k", "__mix_slot", "__mix_release", "__mix_deadline")
     salts = spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps([{"mix_source": s, "c": n} for s, n in rows.items()])), "array<struct<mix_source:string,c:long>>"))
-    ).select("mix_source", salts_for(F.col("c")).alias("__salts"))
-    salted = named.join(F.broadcast(salts), "mix_source")  # one row a source
-    indexed = gapless_index(salted, "mix_source", "__salts", [id_col], "__at")
-    block = F.floor(F.col("__at") / F.lit(block_rows))
-    planned = plan.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("n").alias("__n"), F.col("r").alias("__r"), F.col("d").alias("__d"))
-    placed = indexed.withColumn("mix_block", block).join(planned, (F.col("mix_source") == F.col("__s")) & (F.col("mix_block") == F.col("__k")))
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "mix_source",
-        "mix_block",
-        F.col("__n").alias("mix_slot"),
-        F.col("__r").alias("mix_release"),
-        F.col("__d").alias("mix_deadline"),
-        (F.col("__n") * F.lit(block_rows) + F.col("__at") % F.lit(block_rows)).alias("mix_position"),
-    )
-
-
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """docs with its columns and all its rows, in the order of the mix: files and rows within them follow mix_position."""
-    mixed = pfair_mix(docs, **options)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+        F.inline(F.from_json(F.lit(json.dumps([{"s": s, "c": n} for s, n in rows.items()])), "array<struct<s:string,c:long>>"))
+    ).select(F.col("s").alias("__mix_source"), salts_for(F.col("c")).alias("__salts"))
+    salted = named.join(F.broadcast(salts), "__mix_source")  # one row a source
+    indexed = gapless_index(salted, "__mix_source", "__salts", [id_col], "__mix_at").withColumn("__mix_block", F.floor(F.col("__mix_at") / F.lit(size)))
+    met = indexed.join(plan, (F.col("__mix_source") == F.col("__mix_s")) & (F.col("__mix_block") == F.col("__mix_k")))
+    return met.withColumn("__mix_position", F.col("__mix_slot") * F.lit(size) + F.col("__mix_at") % F.lit(size))
+
+
+def pfair_mix(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    block_rows: int | None = None,
+    period: int = 1024,
+) -> DataFrame:
+    """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position.
+
+    mix_slot is the slot of the row's block; mix_position sorts the rows. weights None: tempered, the square root of a
+    source's rows. block_rows None: BLOCK_ROWS, or as many more as keep the plan at PLAN_BLOCKS blocks. period has no
+    effect: a schedule doesn't repeat. A column of docs that is named like a result gives way to it.
+    """
+    out = placed(docs, weights, source_col, id_col, block_rows, period)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    return out.select(*own, *[F.col(f"__{c}").alias(c) for c in RESULTS])
+
+
+def in_mixed_order(
+    docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int | None = None
+) -> DataFrame:
+    """docs with its columns and all its rows, in the order of the mix: files and rows within them follow the position."""
+    mixed = placed(docs, weights, source_col, id_col, block_rows, 0)
+    return mixed.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def with_file_position(docs: DataFrame, out: str = "mix_position") -> DataFrame:
