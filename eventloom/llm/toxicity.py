@@ -3,12 +3,14 @@
 Texts are TF-IDF vectors over words and word beginnings that the labelled rows tie to the label. Each text's
 nearest examples by exact cosine come from an inverted index with block maxima: blocks of examples are read in
 order of their upper bounds, until no bound exceeds the kth cosine found. Their votes, weighted by cosine,
-are calibrated on the examples themselves, each left out of its own vote, and the nearest ids are the evidence.
-
-The examples are a bounded sample of the labelled rows (EXAMPLES of each label), as are the terms (TERMS), so
-the index that is broadcast is bounded; every row's whole text is scored. A null text counts as empty. A text
-without any term of the index is at cosine 0 from all examples and gets their calibrated rate. With no
-labelled rows the score is 0.5 shrunk to nothing learnt: 0.0. Empty tables give empty tables.
+are calibrated on examples that took no part in choosing the terms: each half of the examples votes on the other. The
+nearest ids are the evidence.
+
+The examples are a bounded sample of the labelled rows (EXAMPLES of each label, none longer than EXAMPLE_CHARS), so the
+index that is broadcast is bounded; every row's whole text is scored. A null text counts as empty. A text without any
+term of the index is at cosine 0 from all examples and gets the calibrated rate of such texts. With no labelled rows
+every score is 0.0. Ties of cosine go to the smaller example id, a repeated row scores as its copies do, and an example
+never is its own evidence's vote in calibration. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, pieces_of
 
-EXAMPLES, TERMS, NEAREST, BLOCK = 2_500, 4_096, 15, 64
+EXAMPLES, EXAMPLE_CHARS, NEAREST, BLOCK = 2_500, 100_000, 15, 64
 #: A term is kept if it is so many times as frequent with the label, and no chance finding (a log-likelihood ratio).
 ODDS, SURPRISE = 8.0, 28.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -64,9 +66,9 @@ def family(text: str) -> int:
 
 
 class Examples:
-    """The labelled examples with their inverted index."""
+    """The labelled examples with their inverted index; `calibrated` ones learn what a vote is worth as well."""
 
-    def __init__(self, ids: list[int], texts: list[str], labels: np.ndarray, terms: int = TERMS, nearest: int = NEAREST):
+    def __init__(self, ids: list[int], texts: list[str], labels: np.ndarray, nearest: int = NEAREST, calibrated: bool = True):
         self.nearest = nearest
         positive, negative = Counter(), Counter()
         for text, y in zip(texts, labels):
@@ -95,7 +97,7 @@ class Examples:
         # A longer beginning, or a word, adds nothing to a shorter one that is as pure.
         heads = lambda t: [f"{t.rstrip('*')[:n]}*" for n in HEADS if n < len(t)]
         strength = {t: v for t, v in strength.items() if not any(h != t and h in strength and strength[h][1] <= v[1] for h in heads(t))}
-        chosen = sorted(strength, key=lambda t: (-strength[t][0], t))[:terms]
+        chosen = sorted(strength, key=lambda t: (-strength[t][0], t))
         self.starts = {t.rstrip("*")[: HEADS[0]] for t in chosen}
         self.term = {t: n for n, t in enumerate(chosen)}
         df = np.array([positive[t] + negative[t] for t in chosen], float)
@@ -105,11 +107,8 @@ class Examples:
         self.ids = np.array([ids[n] for n in order], dtype="int64")
         self.labels = np.array([labels[n] for n in order], dtype=float)
         postings: list[list[tuple[int, float]]] = [[] for _ in chosen]
-        vectors = []
         for at, n in enumerate(order):
-            terms_, weights = self.vector(bags[n])
-            vectors.append((terms_, weights))
-            for t, w in zip(terms_, weights):
+            for t, w in zip(*self.vector(bags[n])):
                 postings[t].append((at, w))
         self.blocks = -(-len(ids) // BLOCK)
         self.post = [(np.array([a for a, _ in p], dtype="int64"), np.array([w for _, w in p])) for p in postings]
@@ -117,7 +116,8 @@ class Examples:
         for at, w in self.post:
             own, first = np.unique(at // BLOCK, return_index=True)
             self.top.append((own, np.maximum.reduceat(w, first) if len(w) else w, np.append(first, len(at))))
-        self.calibrate(vectors)
+        if calibrated:
+            self.calibrate(ids, texts, labels)
 
     def vector(self, bag: Counter) -> tuple[list[int], np.ndarray]:
         own = sorted(self.term[t] for t in bag if t in self.term)
@@ -127,7 +127,7 @@ class Examples:
         w = np.array([(1 + np.log(names[t])) * self.idf[t] for t in own])
         return own, w / np.sqrt((w * w).sum())
 
-    def search(self, terms: list[int], weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact nearest examples: positions and cosines, best first, ties to the smaller id."""
         k = self.nearest
         bound = np.zeros(self.blocks)
@@ -151,8 +151,6 @@ class Examples:
                     sums[at[part] - block * BLOCK] += w * v[part]
             hit = np.flatnonzero(sums)
             at = hit + block * BLOCK
-            if leave >= 0:
-                hit, at = hit[at != leave], at[at != leave]
             best_at, best = np.concatenate([best_at, at]), np.concatenate([best, sums[hit]])
             keep = np.lexsort([best_at, -best])[:k]
             best_at, best = best_at[keep], best[keep]
@@ -161,10 +159,19 @@ class Examples:
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[at]).sum() / cosine.sum()) if len(at) else -1.0
 
-    def calibrate(self, vectors: list) -> None:
-        """Rates of label 1 by steps of the left-out vote, smoothed, made monotone by pooling; -1: no neighbour."""
-        votes = np.array([self.vote(*self.search(t, w, n)) if len(t) else -1.0 for n, (t, w) in enumerate(vectors)] or [-1.0])
-        labels = self.labels if len(self.labels) else np.zeros(1)
+    def calibrate(self, ids: list[int], texts: list[str], all_labels: np.ndarray) -> None:
+        """Rates of label 1 by steps of the vote that the other half casts, smoothed, made monotone by pooling; -1: no neighbour.
+
+        Halves are by family, so that near copies don't vote on each other.
+        """
+        halves = np.array([crc32(str(family(t)).encode()) & 1 for t in texts], dtype=int)
+        votes, labels = [], []
+        for h in (0, 1):
+            own, other = np.flatnonzero(halves == h), np.flatnonzero(halves != h)
+            judge = Examples([ids[n] for n in other], [texts[n] for n in other], all_labels[other], self.nearest, calibrated=False)
+            votes += [judge.poll(texts[n]) for n in own]
+            labels += all_labels[own].tolist()
+        votes, labels = np.array(votes or [-1.0]), np.array(labels or [0.0])
         edges = [-1.0, 0.0, 0.25, 0.5, 0.75, 0.9, 0.999]
         which = np.searchsorted(edges, votes, side="right") - 1
         pools = []
@@ -176,22 +183,31 @@ class Examples:
                 pools[-1] = [a + b for a, b in zip(pools[-1], last)]
         self.edges, self.rates = np.array(edges), np.repeat([a / b for a, b, _ in pools], [c for _, _, c in pools])
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+    def neighbours(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         terms, weights = self.vector(terms_of(text, self.term, self.starts)) if self.term else ([], np.zeros(0))
-        at, cosine = self.search(terms, weights) if len(terms) else (np.zeros(0, dtype="int64"), np.zeros(0))
+        return self.search(terms, weights) if len(terms) else (np.zeros(0, dtype="int64"), np.zeros(0))
+
+    def poll(self, text: str) -> float:
+        return self.vote(*self.neighbours(text))
+
+    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+        at, cosine = self.neighbours(text)
         rate = self.rates[np.searchsorted(self.edges, self.vote(at, cosine), side="right") - 1]
         return float(min(1.0, max(0.0, rate))), self.ids[at].tolist(), cosine.tolist()
 
 
 def fit_examples(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Examples:
-    """Examples from the rows that learning may use: `examples` of each label at most, picked by hash of the id."""
+    """Examples from the rows that learning may use: `examples` of each label at most, picked by hash of the id.
+
+    A picked text beyond EXAMPLE_CHARS is left out, so that what the driver reads is bounded.
+    """
     own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & ~held_out(F.col("__id")))
     picked = [own.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(examples) for y in (0, 1)]
     small = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * examples rows
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     lower = F.lower("__t")
     words = F.array_join(F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), F.lit(1)), " ")
-    seen = text.join(small, "__id").select("__id", "__y", words.alias("w"))
+    seen = text.where(F.char_length("__t") <= EXAMPLE_CHARS).join(small, "__id").select("__id", "__y", words.alias("w"))
     rows = sorted((tuple(r) for r in seen.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
     return Examples([r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows], dtype=int))
 
@@ -204,7 +220,7 @@ def toxicity_scores(docs: DataFrame, model: Examples, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 2)):
             got = [m.score(x.as_py() or "") for x in batch.column(2)]
             scores = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +240,7 @@ def without_toxic(docs: DataFrame, model: Examples, text_col: str = "text", thre
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, at)):
             keep = [shared.value.score(x.as_py() or "")[0] < threshold for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
