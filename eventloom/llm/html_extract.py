@@ -1,14 +1,16 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
-A page becomes a line of tags and words. A word scores positive, a word inside a menu, header, footer,
-sidebar, notice, advert, form or comment container scores negative, and so does each tag; one linear scan
-finds the contiguous region of greatest sum. The weights are those of a small grid that agree best with
-labelled pages: pages whose own <article> or <main> element shows where the text is (a bounded sample,
-LABELLED_PAGES, none of it longer than LABELLED_CHARS). Words of such containers inside the region go.
-
-Blocks end at block-level tags and at <br>. Character references are decoded, white space in a block
-becomes one space, and blocks are joined by a newline. A null or empty page gives the empty text; an empty
-table gives an empty table; repeated rows each give a row.
+A page becomes a line of tags and words. A word scores by the elements around it: each tag name and each class, id and
+role word has a weight, the log odds of its words to be the article's, learned from labelled pages (pages whose own
+<article> or <main> element shows where the text is: a bounded sample, LABELLED_PAGES, none of it longer than
+LABELLED_CHARS). A tag scores negative, by the weight of a small grid that agrees best with those pages. One linear scan
+finds the contiguous region of greatest sum. Names of menus, headers, footers, sidebars, notices, adverts, forms and
+comments only give a feature its weight before any page is seen, and say which parts inside the region go: a part so
+named stays in if an <article> or <main> opens in it, or if it holds most of the page's words.
+
+Blocks end at block-level tags and at <br>. Character references are decoded, white space in a block becomes one space,
+and blocks are joined by a newline. A null or empty page gives the empty text, and so does one without words; of equal
+regions the first and longest counts; an empty table gives an empty table; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -17,34 +19,86 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces_of
+
 LABELLED_PAGES, LABELLED_CHARS = 400, 200_000
 #: Elements whose words are not the article's, and elements whose content isn't text at all (fixed values of HTML).
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "head", "address"}
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "object", "canvas"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Words of class, id and role attributes that name such containers.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|copyright|disclaimer|disqus|footer|header|login|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|"
-    r"social|sponsor\w*|subscribe|toolbar|complementary|contentinfo|search|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: What such a part's class, id or role is, or ends with after a hyphen or underscore, or begins with before one of PLACES.
+NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "aside", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist",
+    "complementary", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "header", "login", "masthead", "menu", "modal",
+    "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share",
+    "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+PLACES = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "content", "form", "inner", "item", "items", "left", "links", "list", "main", "outer", "panel", "right", "section", "slot", "top", "unit", "wrap", "wrapper"}
+#: Words before a name that make it a property of what is around: has-sidebar is no sidebar.
+MODIFIERS = {"has", "with", "no", "not", "is", "without", "hide", "show", "sticky", "fixed", "under", "below", "above", "after", "before", "col", "row"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: (a word, a word in a container, a tag): the first is used where no page is labelled.
-GRID = [(1.0, b, t) for t in (-0.05, -0.2, -0.01, -0.5) for b in (-1.0, -0.25, -3.0)]
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Weights of a tag; the first is used where no page is labelled.
+GRID = (-0.05, -0.2, -0.01, -0.5)
+#: Weight of a boilerplate feature before any page is seen, for how many pages that counts, and the bounds of a weight.
+PRIOR, PRIOR_PAGES, MOST = -2.0, 5, 3.0
+#: An element closes an open one of its own name up to one of these.
+CLOSES_ITSELF = {"p", "li", "tr", "td", "th", "dt", "dd", "option"}
+HOLDS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "aside", "body", "blockquote", "form", "select"}
+
+
+def is_name(word: str) -> bool:
+    """Whether a class, id or role word names boilerplate."""
+    parts = re.split(r"[-_]+", word)
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return parts[-1] in NAMES and not MODIFIERS & set(parts[:-1])
+
+
+def prior(feature: str) -> float:
+    kind, _, word = feature.partition(":")
+    return PRIOR if (word in BOILERPLATE if kind == "tag" else is_name(word)) else 0.0
+
+
+def features_of(name: str, attributes: str) -> tuple[str, ...]:
+    words = {w for m in ATTRIBUTE.finditer(attributes) for w in m[1].strip("\"'").lower().split()} if attributes else ()
+    return (f"tag:{name}", *(f"name:{w}" for w in sorted(words)[:8]))
 
 
-def segments(page: str) -> list[tuple[str, int, str, bool]]:
-    """A page as (kind, words, text, labelled): kind t is a tag, b a tag that ends a block, w words, x a container's words."""
-    out, at, size = [], 0, len(page)
-    kept_out, depth, inside, inside_at = "", 0, 0, 0
-    lower = None
+def segments(page: str) -> list[tuple[str, int, str, bool, tuple[tuple, tuple]]]:
+    """A page as (kind, words, text, labelled, (features, features beyond the article)): kind t is a tag, b a tag that ends a block, w words, x a named part's words."""
+    out: list = []
+    # Open elements, each with the features of all around it up to an <article> or <main>, the innermost last, and those beyond.
+    stack: list[tuple[str, tuple[tuple, tuple]]] = []
+    held: dict[str, int] = {}
+    at, size, inside, lower = 0, len(page), 0, None
+    part, part_at, parts, named_by = None, 0, {}, {}  # the named part we are in, its depth, the places in `out` of its words, its features
+
+    def close(depth: int) -> None:
+        nonlocal part, inside
+        for name, _ in stack[depth:]:
+            held[name] -= 1
+            inside -= name in ("article", "main")
+        del stack[depth:]
+        if part is not None and depth <= part_at:
+            part = None
+
+    def above(name: str, stops: set) -> int:
+        """The depth of the innermost open element of this name; -1 if there is none, or one of stops is nearer."""
+        if held.get(name):
+            for n in range(len(stack) - 1, -1, -1):
+                if stack[n][0] == name:
+                    return n
+                if stack[n][0] in stops:
+                    break
+        return -1
+
     while at < size:
         found = TOKEN.search(page, at)
         text = page[at : found.start() if found else size]
@@ -52,35 +106,46 @@ def segments(page: str) -> list[tuple[str, int, str, bool]]:
             lead, trail = text[:1].isspace(), text[-1:].isspace()
             n = 0 if words == [" "] else len(words)
             shown = (" " if lead and n else "") + " ".join(words) + (" " if trail and n else "")
-            out.append(("x" if kept_out else "w", n, shown, inside > 0 and not kept_out))
+            if part is not None:
+                parts[part].append(len(out))
+            out.append(("w", n, shown, inside > 0 and part is None, stack[-1][1] if stack else ((), ())))
         if not found:
             break
         at = found.end()
         name = found[2] or found[5]
         if not name:
-            if found[0].startswith("<![CDATA["):
-                continue
             continue
         name, closing, attributes = name.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
-        out.append(("t" if name in INLINE else "b", 0, name, inside > 0))
-        if name in ("article", "main"):
-            inside = max(0, inside - 1) if closing else inside + 1
+        out.append(("t" if name in INLINE else "b", 0, name, inside > 0, ((), ())))
         if closing:
-            if kept_out == name:
-                depth -= 1
-                if not depth:
-                    kept_out = ""
-            elif kept_out and (name == "body" or name in ("article", "main") and inside < inside_at):
-                kept_out, depth = "", 0  # what holds an unclosed container has ended
+            if (n := above(name, set())) >= 0:
+                close(n)
         elif name in RAW and not attributes.rstrip().endswith("/"):
             lower = lower or page.lower()
             end = lower.find(f"</{name}", at)
             at = size if end < 0 else end
         elif name not in VOID and not attributes.rstrip().endswith("/"):
-            if kept_out:
-                depth += kept_out == name
-            elif name in BOILERPLATE or (name not in ("html", "body", "article", "main") and attributes and (any(NAMES.search(m[1].strip("\"'")) for m in ATTRIBUTE.finditer(attributes)) or HIDDEN.search(attributes))):
-                kept_out, depth, inside_at = name, 1, inside
+            if name in CLOSES_ITSELF and (n := above(name, HOLDS)) >= 0:
+                close(n)
+            own = features_of(name, attributes)
+            around, outer = stack[-1][1] if stack else ((), ())
+            if name in ("article", "main"):
+                part, around, outer = None, (), (*outer, *around)[-24:]  # what holds the article says nothing of it
+            elif part is None and name not in ("html", "body"):
+                named = name in BOILERPLATE and not (name == "header" and inside) or any(is_name(f[5:]) for f in own[1:])
+                if named or attributes and HIDDEN.search(attributes):
+                    part, part_at = len(parts), len(stack)
+                    parts[part] = []
+                    named_by[part] = own
+            stack.append((name, (around if name in ("html", "body") or set(own) <= set(around) else tuple(dict.fromkeys((*around, *own)))[-24:], outer)))
+            held[name] = held.get(name, 0) + 1
+            inside += name in ("article", "main")
+    total = sum(n for _, n, _, _, _ in out)
+    for n, places in parts.items():
+        most = 2 * sum(out[p][1] for p in places) > total
+        for p in places:  # the name of what holds most of the page says nothing of it
+            kind, words, text, labelled, (around, outer) = out[p]
+            out[p] = ("w" if most else "x", words, text, labelled, (tuple(f for f in around if not most or f not in named_by[n]), outer))
     return out
 
 
@@ -96,18 +161,42 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def score(line: list, weights: tuple[float, float, float]) -> list[float]:
-    word, kept_out, tag = weights
-    return [tag if k in "tb" else n * (kept_out if k == "x" else word) for k, n, _, _ in line]
+class Weights:
+    """A tag's weight and those of features; a feature without one has its prior."""
+
+    def __init__(self, tag: float = GRID[0], features: dict[str, float] | None = None):
+        self.tag, self.features, self.known = tag, features or {}, {}
+
+    def word(self, features: tuple[tuple, tuple]) -> float:
+        """A word's score under these features: 1, more or less what they say, between -1 and 1."""
+        around = features[0]
+        got = self.known.get(around)
+        if got is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            got = max(-1.0, min(1.0, 1 + sum(self.features[f] if f in self.features else prior(f) for f in around)))
+            self.known[around] = got
+        return got
+
+
+def score(line: list, weights: Weights) -> list[float]:
+    """Words of a named part score -1, or 0 within an <article> or <main>, which goes on after it."""
+    out = []
+    for kind, n, _, _, around in line:
+        if kind == "x":
+            out.append(0.0 if {"tag:article", "tag:main"} & set(around[0]) else -float(n))
+        else:
+            out.append(weights.tag if kind in "tb" else n * weights.word(around))
+    return out
 
 
-def main_text(page: str | None, weights: tuple[float, float, float]) -> str:
+def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     line = segments(page)
     first, last = best_region(score(line, weights))
     blocks, block = [], []
-    for kind, _, text, _ in line[first:last]:
+    for kind, _, text, _, _ in line[first:last]:
         if kind == "w":
             block.append(text)
         elif kind == "b":
@@ -118,39 +207,55 @@ def main_text(page: str | None, weights: tuple[float, float, float]) -> str:
     return "\n".join(b for b in joined if b)
 
 
-def learn_weights(pages: list[str]) -> tuple[float, float, float]:
-    """The weights of GRID whose regions agree best, word by word, with the pages' own article elements."""
-    lines = [x for x in map(segments, pages) if any(k == "w" and inside for k, _, _, inside in x)]
+def learn_weights(pages: list[str]) -> Weights:
+    """Features' log odds by pages that show their article, and the tag weight of GRID whose regions agree best, word by word."""
+    lines = [x for x in map(segments, pages) if any(k == "w" and inside for k, _, _, inside, _ in x)]
     if not lines:
-        return GRID[0]
+        return Weights()
+    counts: dict[str, list[float]] = {}  # by feature: words inside, words outside, pages
+    for line in lines:
+        own: dict[str, list[float]] = {}
+        for kind, words, _, inside, around in line:
+            if kind in "wx" and words:
+                for f in {*around[0], *around[1]}:
+                    own.setdefault(f, [0, 0])[not inside] += words
+        for f, (a, b) in own.items():
+            c = counts.setdefault(f, [0, 0, 0])
+            c[0], c[1], c[2] = c[0] + a, c[1] + b, c[2] + 1
+    whole = [sum(n for x in lines for k, n, _, i, _ in x if k in "wx" and i == side) or 1 for side in (True, False)]
+    features = {}
+    for f, (a, b, n) in counts.items():
+        odds = np.log((a + 1) / (whole[0] + 2)) - np.log((b + 1) / (whole[1] + 2))
+        features[f] = float(max(-MOST, min(MOST, (PRIOR_PAGES * prior(f) + n * odds) / (PRIOR_PAGES + n))))
 
-    def agreement(weights: tuple[float, float, float]) -> float:
+    def agreement(weights: Weights) -> float:
         right = total = 0
         for line in lines:
             first, last = best_region(score(line, weights))
-            for n, (kind, words, _, inside) in enumerate(line):
+            for n, (kind, words, _, inside, _) in enumerate(line):
                 if kind == "w":
                     total += words
                     right += words * ((first <= n < last) == inside)
         return right / max(1, total)
 
-    return max(GRID, key=lambda w: (agreement(w), -GRID.index(w)))
+    return max((Weights(t, features) for t in GRID), key=lambda w: (agreement(w), -GRID.index(w.tag)))
 
 
 def extract_main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: tuple[float, float, float] | None = None
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights | None = None
 ) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     import pyarrow as pa
 
     page = F.col(html_col).cast("string")
     if weights is None:
-        sample = pages.where(F.length(page).between(1, LABELLED_CHARS) & page.rlike("(?i)<(article|main)[ >]"))
-        rows = sample.select(page.alias("h"), F.xxhash64(page).alias("k")).orderBy("k").limit(LABELLED_PAGES).collect()
+        sample = pages.where(F.length(page).between(1, LABELLED_CHARS) & page.rlike("(?i)<(article|main)[ >]")).select(page.alias("h"), F.xxhash64(page).alias("k"))
+        chosen = sorted({r.k for r in sample.select("k").orderBy("k").limit(LABELLED_PAGES).collect()})
+        rows = sample.where(F.col("k").isin(chosen)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect() if chosen else []  # LABELLED_PAGES at most
         weights = learn_weights([r.h for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 2)):
             texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
