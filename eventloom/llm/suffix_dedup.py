@@ -28,10 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, pieces_of
 from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
+SAMPLE_DOCS, HOT_ANCHORS, HOT_SALTS = 8_192, 10_000, 64
 GROUP_REGIONS, SHARD_BYTES = 4_096, 1_500_000
 PIECE = 1 << 19
 U64 = np.uint64
@@ -248,13 +249,24 @@ def anchored(text: bytes | np.ndarray, lengths: np.ndarray, length: int) -> tupl
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group_regions: int = GROUP_REGIONS) -> DataFrame:
-    """Every row of docs, but for the text, with `removed_spans` (begin, end, ... in bytes of the UTF-8 text) and `kept` (the bytes left)."""
+    """Every row of docs, but for the text, with `removed_spans` (begin, end, ... in bytes of the UTF-8 text) and `kept` (the bytes left).
+
+    A column of docs that is named like one of these two gives way to it.
+    """
+    out = cut_repeats(docs, length, id_col, text_col, group_regions)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "removed_spans", "kept")]
+    return out.select(*own, F.col("__removed").alias("removed_spans"), F.col("__kept").alias("kept"))
+
+
+def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_regions: int) -> DataFrame:
+    """The columns of docs, but for the text, with __removed and __kept."""
     import pyarrow as pa
 
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("__raw", raw.cast("binary")).withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), "__raw"))
     plain = keyed.select(F.col("__key").alias("key"), F.col("__raw").alias("text"))
     kinds = "anchor long, region long, key long, first int, last int"
+    spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(texts: list[bytes], keys: np.ndarray, shift: int = 0) -> pa.RecordBatch:
@@ -292,11 +304,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 alike[0] = True
                 if not held_used:
                     yield held
-            used = alike | np.concatenate([alike[1:], [False]])
+            used = alike | np.concatenate([alike[1:], [False]]) | np.isin(anchor, frequent.value)
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
             yield batch.filter(pa.array(used))
 
-    active = materialize(plain.mapInArrow(find, kinds).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(in_company, kinds), "regions")
+    # Anchors that are frequent in a bounded sample are in company, wherever their rows go: they are dealt to many tasks.
+    rows = plain.count()
+    some = plain.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, rows // SAMPLE_DOCS))) == 0)
+    often = some.mapInArrow(find, kinds).groupBy("anchor").count().where("count >= 8").orderBy(F.desc("count"), "anchor").limit(HOT_ANCHORS)
+    frequent = spark.sparkContext.broadcast(np.array([r[0] for r in often.collect()], dtype=np.int64))  # HOT_ANCHORS at most
+    def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = np.isin(batch.column(0).to_numpy(), frequent.value)
+            salt = np.where(hot, batch.column(2).to_numpy() % HOT_SALTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], names=[*batch.schema.names, "salt"])
+
+    found = plain.mapInArrow(lambda batches: salted(find(batches)), kinds + ", salt int")
+    dealt = found.repartition("anchor", "salt").drop("salt").sortWithinPartitions("anchor")
+    active = materialize(dealt.mapInArrow(in_company, kinds), "regions")
     distinct = active.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "last")).alias("r"))
     distinct = materialize(distinct.select("anchor", "region", "copies", "r.*"), "distinct-regions")
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
@@ -364,11 +389,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     spans = alone.unionByName(sorted_.where(F.size("spans") > 0)).unionByName(counted)
     spans = materialize(spans, "spans")
+    discard(distinct)
+    discard(regions)
     placed = active.join(spans, ["anchor", "region"]).select("key", F.transform("spans", lambda s: s + F.col("first")).alias("own"))
     by_doc = placed.groupBy("key").agg(F.flatten(F.collect_list("own")).alias("__spans")).withColumnRenamed("key", "__key")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, b.schema.get_field_index("__raw"))):
             merged, kept = [], []
             raws, own = batch.column(batch.schema.get_field_index("__raw")), batch.column(batch.schema.get_field_index("__spans"))
             for n in range(len(batch)):
@@ -387,11 +414,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
             rest = [c for name, c in zip(batch.schema.names, batch.columns) if name not in ("__raw", "__spans", "__key")]
             names = [name for name in batch.schema.names if name not in ("__raw", "__spans", "__key")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=[*names, "removed_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=[*names, "__removed", "__kept"])
 
     joined = keyed.drop(text_col).join(by_doc, "__key", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return joined.mapInArrow(merge, (fields + ", " if fields else "") + "removed_spans array<int>, kept binary")
+    return joined.mapInArrow(merge, (fields + ", " if fields else "") + "__removed array<int>, __kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,11 +426,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     import pyarrow as pa
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, b.num_columns - 1)):
             texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], text_col])
 
-    left = remove_repeats(docs, length, id_col, text_col).drop("removed_spans")
+    left = cut_repeats(docs, length, id_col, text_col, GROUP_REGIONS).drop("__removed")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{text_col}` string"]
     return left.mapInArrow(whole, ", ".join(fields)).select(*docs.columns)
 
