@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of finished stages now: it acts when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pieces_of(batch, column: int, most: int = 2_000_000) -> Iterator:
     """An Arrow batch in slices whose values of a string or binary column have about so many bytes, a longer value alone."""
     import pyarrow.compute as pc

@@ -116,7 +116,7 @@ def segments(page: str) -> list[tuple[str, int, str, bool, tuple[tuple, tuple]]]
         if not name:
             continue
         name, closing, attributes = name.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
-        out.append(("t" if name in INLINE else "b", 0, name, inside > 0, ((), ())))
+        out.append(("t" if name in INLINE or name in RAW else "b", 0, name, inside > 0, ((), ())))
         if closing:
             if (n := above(name, set())) >= 0:
                 close(n)
@@ -127,7 +127,7 @@ def segments(page: str) -> list[tuple[str, int, str, bool, tuple[tuple, tuple]]]
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             if name in CLOSES_ITSELF and (n := above(name, HOLDS)) >= 0:
                 close(n)
-            own = features_of(name, attributes)
+            own = features_of("article-header" if name == "header" and inside else name, attributes)
             around, outer = stack[-1][1] if stack else ((), ())
             if name in ("article", "main"):
                 part, around, outer = None, (), (*outer, *around)[-24:]  # what holds the article says nothing of it

@@ -30,13 +30,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces_of
+from .common import discard, materialize, pieces_of, release
 
 WORDS, PERCENT = 5, 75
-SAMPLE_DOCS, HOT_TOKENS = 8_192, 50_000
+SAMPLE_DOCS, HOT_TOKENS = 16_384, 200_000
 BLOCK, PACK_ROWS, BATCH_BYTES, HOT_SALTS = 512, 2_048, 500_000, 64
 #: Rounds that deal groups to new blocks before pairs are formed, for shingles of more classes than CROWD.
 ROUNDS, CROWD = 4, 64
+#: How many of its first open buckets a set names, so that a pair is passed on from the first it shares; later ones may pass it on again.
+NAMED = 8
+#: Sets told apart at a time by a task that lists shingles: copies beyond are listed again, and found to be the same later.
+SEEN = 100_000
 #: Blocks of so many members at most are leaves of their own, compared without a tree; bytes of bitmaps compared at a time.
 SMALL, LEAF_BYTES = 64, 2_000_000
 #: Size of the bitmap that picks the texts whose sets are wanted: beyond some ten million it lets others pass, at a cost in time alone.
@@ -350,13 +354,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary, bits binary"), "shingles")
-    heads = described.where("n > 0").groupBy("node").agg(F.first("head").alias("head"), F.first("n").alias("n"))
+    heads = described.where("n > 0").select("node", "head", "n")
     classes = described.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     step = np.log(100.1 / percent)  # a little more than linked sizes can differ by
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in (x for b in batches for x in pieces_of(b, 1)):
+            fresh = []
+            for at, name in enumerate(batch.column(0).to_pylist()):
+                if name not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    fresh.append(at)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             heads = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
             sizes = [len(h) for h in heads]
             token = np.concatenate(heads) if heads else np.zeros(0, np.int64)
@@ -370,26 +383,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of token: those whose token a neighbour has too, or is frequent. Keeps one row from batch to batch."""
+        """Of rows in order of token and node, each once: those whose token another node has too, or is frequent.
+
+        Keeps one row from batch to batch.
+        """
         held, held_used = None, False
         for batch in batches:
             if not len(batch):
                 continue
-            token = batch.column(0).to_numpy()
-            alike = np.concatenate([[False], token[1:] == token[:-1]])
-            if held is not None and held.column(0)[0].as_py() == token[0]:
-                alike[0] = True
-                if not held_used:
-                    yield held
-            used = alike | np.concatenate([alike[1:], [False]]) | batch.column(2).to_numpy(zero_copy_only=False)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            same = token[1:] == token[:-1]
+            once = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
+            if not once.all():
+                batch = batch.filter(pa.array(once))
+                token = token[once]
+                same = token[1:] == token[:-1]
+            used = np.concatenate([[held_used and held is not None], same]) | np.concatenate([same, [False]]) | batch.column(2).to_numpy(zero_copy_only=False)
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
-            yield batch.filter(pa.array(used))
+            yield batch.slice(0, len(batch) - 1).filter(pa.array(used[:-1]))
+        if held is not None and held_used:
+            yield held
 
     kinds = "token long, node long, often boolean, pos int, level int"
     tokens = heads.mapInArrow(spread, kinds)
     # A frequent shingle is in company, wherever its rows go: they are dealt to many tasks.
     dealt = tokens.repartition("token", F.when(F.col("often"), F.pmod("node", F.lit(HOT_SALTS))).otherwise(0))
-    active = materialize(dealt.sortWithinPartitions("token").mapInArrow(in_company, kinds).drop("often"), "active")
+    active = materialize(dealt.sortWithinPartitions("token", "node").mapInArrow(in_company, kinds).drop("often"), "active")
+    release(spark)
 
     # 2. Blocks by first shared shingle; bitmaps alone say which classes have a possible partner there.
     homes = active.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("f")).select("node", F.col("f.token").alias("home"))
@@ -455,6 +477,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = known.join(apart, "token").select("token", "node", "label", F.explode(places).alias("at"))
     placed = materialize(placed.select(F.xxhash64("token", "at.level").alias("token"), "node", "label", "at.own"), "placed")
     discard(active)
+    release(spark)
     told = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.sum(F.xxhash64("node", "own", F.lit(7)).cast("decimal(38,0)")).alias("y")]
     open_ = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("own").alias("hosts"), *told).where("a <> b AND hosts")
     buckets = open_.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")  # equal buckets once
@@ -498,16 +521,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left_open = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     known = materialize(known.join(left_open, "token"), "open")
     discard(members)
+    release(spark)
+    named = known.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("token", "own"))), 1, NAMED).alias("l"))
+    named = named.select("node", F.col("l.token").alias("named"), F.col("l.own").alias("hosts"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     packs = max(1, -(-(known.agg(F.sum(blocks)).first()[0] or 0) // (4 * PACK_ROWS)))
     crossing = known.withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     crossing = crossing.select("node", "own", "label", "token", "mine", F.expr("least(mine, other)").alias("p"), F.expr("greatest(mine, other)").alias("q"))
-    crossing = crossing.join(classes.select("node", "n", "bits"), "node")
+    crossing = crossing.join(classes.select("node", "n", "bits").join(named, "node"), "node")
 
     def pairs(table: pa.Table) -> pa.Table:
         token, node, label, mine, p, q = (table[c].to_numpy() for c in ("token", "node", "label", "mine", "p", "q"))
         n, maps, own = table["n"].to_numpy(), [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()], table["own"].to_numpy()
         apart = lambda x, y: (label[x] != label[y]) & (own[x] | own[y])
+        names, hosts = np.full((len(node), NAMED), np.iinfo(np.int64).max), np.zeros((len(node), NAMED), bool)
+        within = np.arange(NAMED) < table["named"].combine_chunks().value_lengths().to_numpy()[:, None]
+        names[within] = table["named"].combine_chunks().flatten().to_numpy()
+        hosts[within] = table["hosts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+        def first_here(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Whether no bucket before this one, of those named, has the pair with one as no guest."""
+            out = np.ones(len(x), bool)
+            for a in range(0, len(x), 16_384):
+                i, j = x[a : a + 16_384], y[a : a + 16_384]
+                common = (names[i][:, :, None] == names[j][:, None, :]) & (hosts[i][:, :, None] | hosts[j][:, None, :])
+                out[a : a + 16_384] = ~(common.any(2) & (names[i] < token[i][:, None])).any(1)
+            return out
 
         def meet(first: np.ndarray, second: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Pairs that may link, two guests excepted."""
@@ -540,6 +579,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
         left, right = [], []
         for x, y in every(order, cuts):
+            here = first_here(x, y)
+            x, y = x[here], y[here]
             left.append(np.minimum(node[x], node[y]))
             right.append(np.maximum(node[x], node[y]))
         join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces_of
+from .common import discard, materialize, pieces_of, release
 from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
@@ -322,6 +322,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     found = plain.mapInArrow(lambda batches: salted(find(batches)), kinds + ", salt int")
     dealt = found.repartition("anchor", "salt").drop("salt").sortWithinPartitions("anchor")
     active = materialize(dealt.mapInArrow(in_company, kinds), "regions")
+    release(spark)
     distinct = active.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "last")).alias("r"))
     distinct = materialize(distinct.select("anchor", "region", "copies", "r.*"), "distinct-regions")
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
@@ -391,6 +392,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     spans = materialize(spans, "spans")
     discard(distinct)
     discard(regions)
+    release(spark)
     placed = active.join(spans, ["anchor", "region"]).select("key", F.transform("spans", lambda s: s + F.col("first")).alias("own"))
     by_doc = placed.groupBy("key").agg(F.flatten(F.collect_list("own")).alias("__spans")).withColumnRenamed("key", "__key")
 
