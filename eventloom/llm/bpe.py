@@ -25,14 +25,18 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
+from .common import pieces_of
+
 #: The byte-level split of the public vocabulary (a fixed value of its file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Two white-space characters side by side.
 DOUBLE = re.compile(r"\s\s")
 #: Entries of each of a cache's two generations, and the longest string kept, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 #: Letters before this one are told by str.isalpha as by the split; beyond, versions of Unicode may differ.
 LATIN_END = "\u0250"
+#: Marks that end a word often; a piece of their own after letters.
+STOPS = frozenset(".,;:!?")
 #: Tokens handed to the decoder's state machine at a time.
 DECODE_TOKENS = 8192
 
@@ -184,11 +188,37 @@ class Transducer:
             out.append(t)
         return out[::-1]
 
+    def window(self, piece: bytes) -> list[int]:
+        """As stream, for a piece within the window: nothing has to be emitted before its end."""
+        pairs, stands, done = self.pairs.get, self.stands, 0
+        last, start_of = [-2] * (len(piece) + 1), [0] * (len(piece) + 1)
+        last[0] = -1
+        for at, (size, t) in self.endings.iter(piece.decode("latin-1")):
+            if at < done:
+                continue  # a longer token ends here
+            start = at + 1 - size
+            if start:
+                u = last[start]
+                if u < 0:
+                    continue
+                known = pairs((u, t))
+                if known is False or known is None and not stands(u, t):
+                    continue
+            done = at + 1
+            last[done], start_of[done] = t, start
+        out, to = [], len(piece)
+        while to:
+            out.append(last[to])
+            to = start_of[to]
+        return out[::-1]
+
     def packed(self, piece: str) -> bytes:
         """A piece's ids as little-endian 32-bit integers."""
         raw = piece.encode("utf-8", "replace")
         whole = self.usable.get(raw)
-        return struct.pack("<I", whole) if whole is not None else array("I", self.stream(raw)).tobytes()
+        if whole is not None:
+            return struct.pack("<I", whole)
+        return array("I", self.window(raw) if len(raw) < 4 * self.lookahead else self.stream(raw)).tobytes()
 
     def spaced(self, word: str) -> bytes:
         """The ids of a space and the word after it, which holds no space itself."""
@@ -196,6 +226,8 @@ class Transducer:
         if got is None:
             if word.isalpha() and max(word) < LATIN_END:  # one piece
                 got = self.packed(" " + word)
+            elif word[-1:] in STOPS and (rest := word[:-1]).isalpha() and max(rest) < LATIN_END:  # a piece and a mark
+                got = self.spaced(rest) + self.piece(word[-1])
             else:
                 got = b"".join([self.spaced(p[1:]) if len(p) > 1 and p[0] == " " and p != " " + word else self.piece(p) for p in self.split.findall(" " + word)])
             self.words.put(word, got)
@@ -264,7 +296,7 @@ def bpe_round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(spec.value)
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, 1)):
             counts, ids_sha, text_sha, kept = [], [], [], []
             for text in batch.column(1):
                 packed = t.encode(text.as_py() or "")
