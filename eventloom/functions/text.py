@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rule lists of this library's own demonstration vocabulary: (name, base materiality, any of these substrings).
-EVENT_RULES = [("action", 0.9, ("tion",)), ("thing", 0.7, ("thing", "ing ")), ("place", 0.5, ("ouan", "heit"))]
-POSITIVE, NEGATIVE = ("the", "ing"), ("tion", "heit")
-
-
 def tokens(text: Column, shortest: int = 3) -> Column:
     """Distinct lower-case alphanumeric tokens of some length, in order of appearance."""
     parts = F.split(F.regexp_replace(F.lower(text), "[^a-zа-яё0-9]+", " "), " ")
@@ -23,29 +16,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)))
 
 
-def event_type(text: Column) -> tuple[Column, Column]:
-    """The first rule that holds, and its base materiality; otherwise other and 0.35."""
-    lower = F.lower(text)
-    name, base = F.lit("other"), F.lit(0.35)
-    for rule, weight, marks in reversed(EVENT_RULES):
-        hit = reduce(lambda x, y: x | y, [lower.contains(m) for m in marks])
-        name, base = F.when(hit, rule).otherwise(name), F.when(hit, weight).otherwise(base)
-    return name, base
-
-
 def occurrences(text: Column, term: str) -> Column:
     """How often a term occurs without overlap."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def polarity(text: Column) -> Column:
-    """(positive - negative) / (positive + negative) by occurrences; 0 without any."""
-    lower = F.lower(text)
-    p = reduce(lambda x, y: x + y, [occurrences(lower, t) for t in POSITIVE])
-    n = reduce(lambda x, y: x + y, [occurrences(lower, t) for t in NEGATIVE])
-    return F.coalesce(F.try_divide((p - n).cast("double"), (p + n).cast("double")), F.lit(0.0))
-
-
 def plain_text(html: Column) -> Column:
     """Markup to text: scripts, styles and frames go, then tags, then doubled white space."""
     t = F.regexp_replace(html, r"(?is)<(script|style|iframe)[^>]*>.*?</(script|style|iframe)>", " ")

@@ -10,7 +10,7 @@ from ..operators.cluster import Components, Representatives, clusters, leader_cl
 from ..sources.fixtures import table
 from .registry import query
 from .split_ops import NB
-from .text_ops import TITLE, titled
+from .text_ops import titled
 
 
 def news(spark, d) -> DataFrame:
@@ -51,27 +51,6 @@ def audit_clusters(spark, d):
     return leader_clusters(news(spark, d), "source", "t", "doc_id", "w", window_s=259_200)
 
 
-#: Aliases by instrument, this library's own demonstration vocabulary.
-ALIASES = {"A": ("tion", "heit"), "B": ("thing",), "C": ("ouan", "the")}
-
-
-def _relevance_sql(names: tuple[str, ...]) -> str:
-    any_in = lambda x: " OR ".join(f"contains(lower({x}), '{n}')" for n in names)
-    return f"CASE WHEN {any_in(TITLE)} THEN 0.96 WHEN {any_in('text')} THEN 0.78 END"
-
-
-@query("instrument_mentions", "SELECT doc_id, instrument, relevance FROM (SELECT doc_id, unnest(['A', 'B', 'C']) AS instrument, CAST(unnest([" + ", ".join(_relevance_sql(v) for v in ALIASES.values()) + "]) AS DOUBLE) AS relevance FROM documents) WHERE relevance IS NOT NULL", base=False)
-def instrument_mentions(spark, d):
-    """Instruments by alias, more relevant in the title than in the body."""
-
-    def one(name: str, names: tuple[str, ...]):
-        found = lambda c: F.lower(c).rlike("|".join(names))
-        return F.struct(F.lit(name).alias("instrument"), F.when(found("title"), 0.96).when(found("text"), 0.78).alias("relevance"))
-
-    m = titled(spark, d).select("doc_id", F.explode(F.array(*[one(k, v) for k, v in ALIASES.items()])).alias("m"))
-    return m.select("doc_id", "m.*").where("relevance IS NOT NULL")
-
-
 @query("nb_score", NB.replace("SELECT term, round(", ", m AS (SELECT term, (").replace(", 6) AS weight FROM c, n", ") AS weight FROM c, n)") + " SELECT d.doc_id, round(sum(coalesce(m.weight, 0)), 4) AS score FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS term FROM documents) d LEFT JOIN m ON d.term = m.term GROUP BY d.doc_id", base=False)
 def nb_score(spark, d):
     """M4: the sum of the weights of a document's terms."""

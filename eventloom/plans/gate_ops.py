@@ -40,43 +40,6 @@ def gate_product_event(spark, d):
     return j.select("signal_id", ((F.col("direction") != "neutral") | (F.col("p.flag") == "true") | (F.coalesce("p.k", F.lit(0)) > 50)).alias("product"))
 
 
-GATES = {"company": "contains(lower(text), 'tion')", "event": "n_chars >= 300", "semantic": "contains(lower(text), 'ing')", "noise": "contains(text, '!!')"}
-
-
-@query("candidate_gates", "WITH g AS (SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in GATES.items()) + " FROM documents) SELECT doc_id, company AND NOT noise AS signal, event AND semantic AND NOT noise AS routed, company OR (event AND semantic) AS analysis FROM g", base=False)
-def candidate_gates(spark, d):
-    """gates composed of one another."""
-    g = table(spark, d, "documents").select("doc_id", *[F.expr(v).alias(k) for k, v in GATES.items()])
-    return g.selectExpr("doc_id", "company AND NOT noise AS signal", "event AND semantic AND NOT noise AS routed", "company OR (event AND semantic) AS analysis")
-
-
-@query("source_gates", f"SELECT doc_id, CASE source WHEN 'src1' THEN n_chars > 500 WHEN 'src2' THEN contains(text, 'tion') WHEN 'src3' THEN contains({TITLE}, 'a') ELSE true END AS passes FROM documents", base=False)
-def source_gates(spark, d):
-    """a predicate of its own for some sources."""
-    s = F.col("source")
-    passes = F.when(s == "src1", F.col("n_chars") > 500).when(s == "src2", F.col("text").contains("tion")).when(s == "src3", F.col("title").contains("a")).otherwise(True)
-    return titled(spark, d).select("doc_id", passes.alias("passes"))
-
-
-@query("event_scope", "SELECT doc_id, CASE WHEN contains(text, 'tion') AND contains(text, 'ing') THEN 'company' WHEN contains(text, '!!') THEN 'priority_market' WHEN n_chars % 2 = 0 THEN 'sector' ELSE 'market' END AS scope, concat_ws(',', CASE WHEN contains(text, 'tion') THEN 'A' END, CASE WHEN contains(text, 'ing') THEN 'B' END, CASE WHEN contains(text, 'heit') THEN 'C' END) AS tickers FROM documents", base=False)
-def event_scope(spark, d):
-    """company, then priority market, then sector, then market; with the tickers found."""
-    t = F.col("text")
-    a, b, c = t.contains("tion"), t.contains("ing"), t.contains("heit")
-    scope = F.when(a & b, "company").when(t.contains("!!"), "priority_market").when(F.col("n_chars") % 2 == 0, "sector").otherwise("market")
-    return table(spark, d, "documents").select("doc_id", scope.alias("scope"), F.concat_ws(",", F.when(a, "A"), F.when(b, "B"), F.when(c, "C")).alias("tickers"))
-
-
-SECTORS = {"tion": "metals", "ing": "banks", "heit": "energy"}
-
-
-@query("context_targets", "SELECT doc_id, sector, 'index_' || sector AS target FROM (SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN contains(text, '{k}') THEN '{v}' END" for k, v in SECTORS.items()) + "], lambda x: x IS NOT NULL)) AS sector FROM documents)", base=False)
-def context_targets(spark, d):
-    """one context target for each sector that a text names."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").contains(k), v) for k, v in SECTORS.items()]))
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("sector")).select("doc_id", "sector", F.concat(F.lit("index_"), "sector").alias("target"))
-
-
 @query("materiality_due", f""" SELECT s.signal_id FROM sig s LEFT JOIN labels p ON s.signal_id = p.doc_id
 WHERE decision_at <= {NOW} - INTERVAL 5 MINUTE AND decision_at >= {NOW} - INTERVAL 7 DAY AND (p.doc_id IS NULL OR (p.quality = 0 AND decision_at <= {NOW} - INTERVAL 1 HOUR))""")
 def materiality_due(spark, d):
@@ -160,24 +123,6 @@ def token_overlap(spark, d):
     return t.join(later, "item_id").select(F.col("item_id").alias("x"), (F.col("item_id") + 1).alias("y"), (share >= 0.6).alias("alike"))
 
 
-#: Ordered prefix rules: a token that begins so becomes the name.
-STEMS = [("inter", "between"), ("tion", "act"), ("ent", "being"), ("her", "her"), ("th", "the")]
-
-
-@query("canonical_tokens", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform({TOKENS.format(x=TITLE)}, lambda t: CASE " + " ".join(f"WHEN starts_with(t, '{a}') THEN '{b}'" for a, b in STEMS) + " ELSE t END))), ' ') AS tokens FROM documents", base=False)
-def canonical_tokens(spark, d):
-    """Tokens renamed by the first prefix rule that holds."""
-
-    def named(t):
-        out = t
-        for prefix, name in reversed(STEMS):
-            out = F.when(t.startswith(prefix), name).otherwise(out)
-        return out
-
-    w = F.array_sort(F.array_distinct(F.transform(tokens(F.col("title")), named)))
-    return titled(spark, d).select("doc_id", F.array_join(w, " ").alias("tokens"))
-
-
 @query("latest_model_signal", " SELECT user_id, ticker, arg_max(signal_id, (model, decision_at, signal_id)) AS signal_id, max(model) AS model FROM sig GROUP BY user_id, ticker")
 def latest_model_signal(spark, d):
     """Of each news and ticker, the signal of the latest model."""

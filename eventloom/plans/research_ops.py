@@ -383,16 +383,6 @@ def reconcile_polarity(spark, d):
     return signals(spark, d).select("signal_id", F.round(F.when(keep, rule).otherwise((rule + other) / 2), 6).alias("polarity"))
 
 
-@query("process_documents", """, t AS (SELECT signal_id, decision_at, unnest(['A', 'B', 'C']) AS instrument, unnest([k / CAST(100 AS DOUBLE), (100 - k) / CAST(100 AS DOUBLE), 0.95]) AS relevance FROM sig)
-SELECT signal_id, instrument, epoch_us(decision_at + INTERVAL 3 DAY) AS expires_us FROM t WHERE relevance >= 0.9""")
-def process_documents(spark, d):
-    """One signal for each instrument of relevance 0.9 at least, valid for three days."""
-    one = lambda n, r: F.struct(F.lit(n).alias("instrument"), r.alias("relevance"))
-    found = F.array(one("A", F.col("k") / 100.0), one("B", (100 - F.col("k")) / 100.0), one("C", F.lit(0.95)))
-    t = signals(spark, d).select("signal_id", "decision_at", F.explode(F.filter(found, lambda x: x["relevance"] >= 0.9)).alias("i"))
-    return t.select("signal_id", F.col("i.instrument").alias("instrument"), F.unix_micros((F.col("decision_at") + F.expr("INTERVAL '3' DAY")).cast("timestamp")).alias("expires_us"))
-
-
 @query("materiality_outcomes", H4 + f", r AS (SELECT *, CASE WHEN entry IS NULL THEN 'no_entry' WHEN target IS NULL AND entry_at + INTERVAL 4 HOUR + INTERVAL 20 MINUTE > {NOW} THEN 'pending' WHEN target IS NULL THEN 'missed' ELSE 'evaluated' END AS status FROM h) SELECT signal_id, status, CASE WHEN status = 'evaluated' THEN (confidence >= 0.5) = (abs(target / entry - 1) * 100 >= 1) END AS verdict FROM r")
 def materiality_outcomes(spark, d):
     """Pending, unavailable or evaluated; the verdict is whether prediction and outcome agree."""

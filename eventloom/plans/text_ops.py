@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import event_type, plain_text, polarity, text_hash, tokens
+from ..functions.text import plain_text, text_hash, tokens
 from ..sources.fixtures import table
 from .registry import query
 
@@ -23,55 +23,6 @@ def tokenize_title(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-EVENT = "CASE WHEN contains(lower(text), 'tion') THEN {a} WHEN contains(lower(text), 'thing') OR contains(lower(text), 'ing ') THEN {b} WHEN contains(lower(text), 'ouan') OR contains(lower(text), 'heit') THEN {c} ELSE {e} END"
-
-
-@query("event_type", f"SELECT doc_id, {EVENT.format(a=chr(39)+'action'+chr(39), b=chr(39)+'thing'+chr(39), c=chr(39)+'place'+chr(39), e=chr(39)+'other'+chr(39))} AS kind, CAST({EVENT.format(a=0.9, b=0.7, c=0.5, e=0.35)} AS DOUBLE) AS base FROM documents", base=False)
-def event_type_query(spark, d):
-    """X7."""
-    kind, base = event_type(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", kind.alias("kind"), base.alias("base"))
-
-
-COUNT = "(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {n}"
-POL = f"({COUNT.format(t='the', n=3)} + {COUNT.format(t='ing', n=3)})"
-NEG = f"({COUNT.format(t='tion', n=4)} + {COUNT.format(t='heit', n=4)})"
-
-
-@query("lexical_polarity", f"SELECT doc_id, round(coalesce(({POL} - {NEG}) / CAST(nullif({POL} + {NEG}, 0) AS DOUBLE), 0), 6) AS polarity FROM documents", base=False)
-def lexical_polarity(spark, d):
-    """X8."""
-    return table(spark, d, "documents").select("doc_id", F.round(polarity(F.col("text")), 6).alias("polarity"))
-
-
-@query("news_features", f"""WITH f AS (SELECT doc_id, CAST({EVENT.format(a=0.9, b=0.7, c=0.5, e=0.35)} AS DOUBLE) AS base, coalesce(({POL} - {NEG}) / CAST(nullif({POL} + {NEG}, 0) AS DOUBLE), 0) AS pol, len(regexp_extract_all(text, '[0-9]+')) AS facts FROM documents)
-SELECT doc_id, round(least(1.0, base + CASE WHEN facts > 0 THEN 0.05 ELSE 0 END + CASE WHEN abs(pol) >= 0.75 THEN 0.05 ELSE 0 END), 6) AS materiality FROM f""", base=False)
-def news_features(spark, d):
-    """Materiality from the rule's base, facts and strong polarity."""
-    _, base = event_type(F.col("text"))
-    facts = F.regexp_count("text", F.lit("[0-9]+"))
-    m = base + F.when(facts > 0, 0.05).otherwise(0.0) + F.when(F.abs(polarity(F.col("text"))) >= 0.75, 0.05).otherwise(0.0)
-    return table(spark, d, "documents").select("doc_id", F.round(F.least(F.lit(1.0), m), 6).alias("materiality"))
-
-
-@query("score_signals", f"""WITH f AS (SELECT doc_id, CAST({EVENT.format(a=0.9, b=0.7, c=0.5, e=0.35)} AS DOUBLE) AS base, coalesce(({POL} - {NEG}) / CAST(nullif({POL} + {NEG}, 0) AS DOUBLE), 0) AS pol FROM documents),
-s AS (SELECT doc_id, round(greatest(-100, least(100, (0.55 * pol + 0.20 * sign(pol) * base) * 100)), 1) AS score, least(0.95, 0.5 + abs(pol) / 2) AS conf FROM f)
-SELECT doc_id, score, CASE WHEN score >= 18 THEN 'up' WHEN score <= -30 AND conf >= 0.8 THEN 'down' ELSE 'neutral' END AS direction FROM s""", base=False)
-def score_signals(spark, d):
-    """Weighted score, capped confidence and direction thresholds."""
-    _, base = event_type(F.col("text"))
-    f = table(spark, d, "documents").select("doc_id", base.alias("base"), polarity(F.col("text")).alias("pol"))
-    score = F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (0.55 * F.col("pol") + 0.20 * F.signum("pol") * F.col("base")) * 100)), 1)
-    s = f.select("doc_id", score.alias("score"), F.least(F.lit(0.95), 0.5 + F.abs("pol") / 2).alias("conf"))
-    return s.select("doc_id", "score", F.when(F.col("score") >= 18, "up").when((F.col("score") <= -30) & (F.col("conf") >= 0.8), "down").otherwise("neutral").alias("direction"))
-
-
-@query("extract_facts", "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS fact FROM documents", base=False)
-def extract_facts(spark, d):
-    """Every number in the text."""
-    return table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).alias("fact"))
-
-
 @query("text_hash", "SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS digest FROM documents", base=False)
 def text_hash_query(spark, d):
     """X24."""
@@ -87,26 +38,6 @@ def txt_html_plain(spark, d):
     return table(spark, d, "pages").select("page_id", plain_text(F.col("html")).alias("plain"))
 
 
-@query("noise_filter", "SELECT doc_id, regexp_matches(text, '[!]{2}') AS shouted, len(regexp_extract_all(text, '%')) >= 3 AS percents FROM documents", base=False)
-def noise_filter(spark, d):
-    """F8: noise predicates by pattern and count."""
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike("[!]{2}").alias("shouted"), (F.regexp_count("text", F.lit("%")) >= 3).alias("percents"))
-
-
-@query("exclusion_reason", "SELECT doc_id, CASE WHEN n_chars < 100 THEN 'short' WHEN contains(text, '!!') THEN 'shouting' WHEN source = 'src0' THEN 'context_only' END AS reason FROM documents", base=False)
-def exclusion_reason(spark, d):
-    """The first reason that holds."""
-    reason = F.when(F.col("n_chars") < 100, "short").when(F.col("text").contains("!!"), "shouting").when(F.col("source") == "src0", "context_only")
-    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
-
-
-@query("candidate_priority", "SELECT doc_id, CASE WHEN contains(text, 'tion') AND n_chars > 2000 THEN 3 WHEN contains(text, 'tion') THEN 2 WHEN n_chars > 2000 THEN 1 ELSE 0 END AS priority FROM documents", base=False)
-def candidate_priority(spark, d):
-    """F9, F11."""
-    a, b = F.col("text").contains("tion"), F.col("n_chars") > 2000
-    return table(spark, d, "documents").select("doc_id", F.when(a & b, 3).when(a, 2).when(b, 1).otherwise(0).alias("priority"))
-
-
 @query("near_dup_pairs", f"""WITH t AS (SELECT doc_id, source, {TOKENS.format(x=TITLE)} AS w FROM documents), p AS (SELECT a.doc_id AS x, b.doc_id AS y, len(list_intersect(a.w, b.w)) / CAST(least(len(a.w), len(b.w)) AS DOUBLE) AS o FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 48 AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT x, y, round(o, 6) AS overlap FROM p WHERE o >= 0.6""", base=False)
 def near_dup_pairs(spark, d):
@@ -150,12 +81,3 @@ def baselines(spark, d):
     """The coin baseline from a digest's first byte."""
     first = F.conv(F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
     return table(spark, d, "events").select("event_id", F.when(first % 2 == 0, "up").otherwise("down").alias("coin"))
-
-
-@query("split_publisher", "SELECT doc_id, CASE WHEN regexp_matches(t, '^(.*) [|] (.+)$') THEN regexp_extract(t, '^(.*) [|] (.+)$', 2) END AS publisher FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)", base=False)
-def split_publisher(spark, d):
-    """What stands after the last separator."""
-    p = r"^(.*) [|] (.+)$"
-    return titled(spark, d).select("doc_id", F.when(F.col("title").rlike(p), F.regexp_extract("title", p, 2)).alias("publisher"))
-
-
