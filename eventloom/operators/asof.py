@@ -46,3 +46,20 @@ def asof_join(
         usable = usable & (lag <= int(tolerance_s * 1_000_000))
     kept = [c for c in left.columns if c != "__all"]
     return seen.select(*kept, F.when(usable, F.col("__hit.v")).alias(out), F.when(usable, F.col("__hit.t")).alias(f"{out}_at"))
+
+
+def asof_goals(
+    left: DataFrame, row_id: str, right: DataFrame, on: list[str], right_time: str, value: str, goals: dict[str, tuple[str, int]], forward: bool = True, strict: bool = False
+) -> DataFrame:
+    """left with a value and its time (`name`, `name`_at) for each goal: name -> (time column, tolerance in seconds).
+
+    All goals go through one as-of pass, so the bars are laid out once; row_id is unique in left.
+    """
+    each = F.array(*[F.struct(F.lit(name).alias("goal"), F.col(time).alias("t"), F.lit(tolerance).alias("tolerance")) for name, (time, tolerance) in goals.items()])
+    rows = left.select(row_id, *on, F.explode(each).alias("g")).select(row_id, *on, "g.*")
+    hit = asof_join(rows, right, on, "t", right_time, value, "v", forward, strict)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    near = F.abs(micros("v_at") - micros("t")) <= F.col("tolerance").cast("long") * 1_000_000
+    of = lambda name, c: F.max(F.when((F.col("goal") == name) & near, F.col(c)))
+    found = hit.groupBy(row_id).agg(*[a for name in goals for a in (of(name, "v").alias(name), of(name, "v_at").alias(f"{name}_at"))])
+    return left.join(found, row_id, "left")

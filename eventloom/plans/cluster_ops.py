@@ -63,15 +63,6 @@ def nb_score(spark, d):
     return t.join(m, "term", "left").groupBy("doc_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0))), 4).alias("score"))
 
 
-@query("event_pairs", "SELECT a.l_orderkey AS orderkey, a.l_linenumber AS x, b.l_linenumber AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND abs(epoch(a.l_shipdate) - epoch(b.l_shipdate)) <= 172800 AND a.l_returnflag = b.l_returnflag", base=False)
-def event_pairs(spark, d):
-    """Pairs of one scope and type within 48 hours."""
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")  # noqa: E741
-    b = l.select("l_orderkey", F.col("l_linenumber").alias("y"), F.col("l_shipdate").alias("other"), "l_returnflag")
-    near = l.join(b, ["l_orderkey", "l_returnflag"]).where("l_linenumber < y AND abs(unix_seconds(timestamp(l_shipdate)) - unix_seconds(timestamp(other))) <= 172800")
-    return near.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("x"), "y")
-
-
 @query("structured_features", "SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS roots, len(regexp_extract_all(text, '[0-9]+%')) AS percents, regexp_matches(text, '[0-9]+ (k|m|bn)') AS scaled, round(2 / (1 + exp(-2 * (len(regexp_extract_all(lower(text), 'tion')) / CAST(10 AS DOUBLE)))) - 1, 6) AS blend FROM documents", base=False)
 def structured_features(spark, d):
     """Root counts, percent changes, scaled amounts and a tanh blend."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,25 @@ def signal_history(spark, d):
     return w.withColumn("changed", F.col("direction") != F.col("prev_direction"))
 
 
-@query("quality_series", """, r AS (SELECT *, CASE WHEN k >= 66 THEN 1.0 ELSE 0.0 END AS hit FROM sig WHERE direction <> 'neutral')
-SELECT signal_id, ticker, round(avg(hit) OVER (PARTITION BY ticker ORDER BY decision_at, signal_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM r""")
+@query("quality_series", """, r AS (SELECT *, CASE WHEN k >= 66 THEN 1 ELSE 0 END AS hit, CASE WHEN direction = 'up' THEN k - 50 ELSE 50 - k END AS signed FROM sig WHERE direction <> 'neutral'),
+w AS (SELECT signal_id, ticker, sum(hit) OVER o AS hits, count(*) OVER o AS n, sum(signed) OVER o AS total FROM r WINDOW o AS (PARTITION BY ticker ORDER BY decision_at, signal_id ROWS UNBOUNDED PRECEDING))
+SELECT signal_id, ticker, CAST(hits AS BIGINT) AS hits, n, hits / CAST(n AS DOUBLE) AS running, total / CAST(n AS DOUBLE) AS mean_signed FROM w""")
 def quality_series(spark, d):
-    """Running hit rate by ticker."""
-    upto = Window.partitionBy("ticker").orderBy("decision_at", "signal_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = signals(spark, d).where("direction <> 'neutral'").withColumn("hit", F.when(F.col("k") >= 66, 1.0).otherwise(0.0))
-    return r.select("signal_id", "ticker", F.round(F.avg("hit").over(upto), 6).alias("running"))
+    """Running hits, number, hit rate and mean signed move by ticker.
+
+    Each day's totals are carried to the days after, and a running sum is taken within the day: a hot ticker is many tasks.
+    """
+    r = signals(spark, d).where("direction <> 'neutral'").select(
+        "signal_id", "ticker", "decision_at", F.to_date("decision_at").alias("day"), F.when(F.col("k") >= 66, 1).otherwise(0).alias("hit"), F.when(F.col("direction") == "up", F.col("k") - 50).otherwise(50 - F.col("k")).alias("signed")
+    )
+    sums = {"hits": F.sum("hit"), "n": F.count(F.lit(1)), "total": F.sum("signed")}
+    days = r.groupBy("ticker", "day").agg(*[v.alias(f"d_{c}") for c, v in sums.items()])
+    before = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("ticker", "day", *[F.coalesce(F.sum(f"d_{c}").over(before), F.lit(0)).alias(f"d_{c}") for c in sums])
+    upto = Window.partitionBy("ticker", "day").orderBy("decision_at", "signal_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = r.select("signal_id", "ticker", "day", *[v.over(upto).alias(c) for c, v in sums.items()]).join(days, ["ticker", "day"])
+    w = w.select("signal_id", "ticker", *[(F.col(c) + F.col(f"d_{c}")).alias(c) for c in sums])
+    return w.select("signal_id", "ticker", "hits", "n", (F.col("hits") / F.col("n")).alias("running"), (F.col("total") / F.col("n")).alias("mean_signed"))
 
 
 @query("rank_by_materiality", """, s AS (SELECT *, CAST(decision_at AS DATE) AS day, k % 4 <> 0 AS scored FROM sig),
@@ -164,13 +178,6 @@ def ingest_idempotent(spark, d):
     return incoming.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("ingest_conflicts", " SELECT source, md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1, 2 HAVING count(*) > 1", base=False)
-def ingest_conflicts(spark, d):
-    """One payload under several ids."""
-    h = F.md5(F.col("text").cast("binary")).alias("h")
-    return table(spark, d, "documents").groupBy("source", h).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-
-
 @query("snapshot_retention", " SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'", base=False)
 def snapshot_retention(spark, d):
     """Rows that a retention limit keeps."""
@@ -218,13 +225,19 @@ def count_by_model(spark, d):
     return signals(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_lanes", " SELECT source, crc32_mod AS lane, n FROM (SELECT source, CAST(sum(1) AS BIGINT) AS n, CAST(length(source) % 5 AS INTEGER) AS crc32_mod FROM documents GROUP BY source)", base=False)
+#: Checksums of source names for SQL, which has no crc32.
+_lanes = "(VALUES " + ", ".join(f"('src{n}', {crc32(f'src{n}'.encode())})" for n in range(100)) + ") c(name, sum)"
+
+
+@query("stream_lanes", f" SELECT source, CASE WHEN c.sum % 6 = 0 THEN 'fast' ELSE 'discovery_' || (c.sum % 5) END AS lane, count(*) AS n FROM documents LEFT JOIN {_lanes} ON source = c.name GROUP BY ALL", base=False)
 def stream_lanes(spark, d):
-    """ST1: sources dealt to stable lanes (here by the length of the name; source_bucket has the checksum)."""
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", (F.length("source") % 5).alias("lane"), "n")
+    """ST1: sources dealt to the fast lane or to one of five stable discovery lanes, by checksum."""
+    sum_ = F.crc32(F.col("source").cast("binary"))
+    lane = F.when(sum_ % 6 == 0, "fast").otherwise(F.concat(F.lit("discovery_"), (sum_ % 5).cast("string")))
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", lane.alias("lane"), "n")
 
 
-@query("source_bucket")
+@query("source_bucket", f" SELECT source, CAST(c.sum % 5 AS INTEGER) AS bucket, count(*) AS n FROM documents LEFT JOIN {_lanes} ON source = c.name GROUP BY ALL", base=False)
 def source_bucket(spark, d):
     """The stable bucket of a source, by crc32."""
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", (F.crc32(F.col("source").cast("binary")) % 5).cast("int").alias("bucket"), "n")

@@ -25,14 +25,24 @@ def temporal_split(spark, d):
     return s.join(g.select("ticker", "user_id", part.alias("part")), ["ticker", "user_id"]).select("signal_id", "part")
 
 
-@query("fraction_split", """, g AS (SELECT user_id, min(decision_at) AS a FROM sig GROUP BY user_id), r AS (SELECT user_id, row_number() OVER (ORDER BY a, user_id) AS rn, count(*) OVER () AS n FROM g)
-SELECT user_id, CASE WHEN rn <= n * 0.6 THEN 'train' WHEN rn <= n * 0.8 THEN 'validation' ELSE 'test' END AS part FROM r""")
+@query("fraction_split", """, g AS (SELECT user_id, min(decision_at) AS a, max(decision_at) AS b FROM sig WHERE ticker = 'purchase' AND direction = 'up' GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY a, user_id) AS rn, count(*) OVER () AS n FROM g),
+e AS (SELECT min(a) FILTER (rn > n * 0.6) AS e1, min(a) FILTER (rn > n * 0.8) AS e2 FROM r)
+SELECT user_id, CASE WHEN a < e1 AND b < e1 THEN 'train' WHEN a >= e1 AND a < e2 AND b < e2 THEN 'validation' WHEN a >= e2 THEN 'test' ELSE 'purged' END AS part FROM r, e""")
 def fraction_split(spark, d):
-    """60/20/20 of the groups in order of their start."""
-    g = signals(spark, d).groupBy("user_id").agg(F.min("decision_at").alias("a"))
+    """60/20/20 of the groups in order of their start; a group that reaches beyond its part's edge is purged.
+
+    Edges come from a count of groups by start, so that no task orders all groups.
+    """
+    g = signals(spark, d).where("ticker = 'purchase' AND direction = 'up'").groupBy("user_id").agg(F.min("decision_at").alias("a"), F.max("decision_at").alias("b"))
+    starts = g.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("day", F.to_date("a"))
+    days = starts.groupBy("day").agg(F.sum("c").alias("d"))  # one row a day
     one = Window.partitionBy(F.lit(1))
-    r = g.select("user_id", F.row_number().over(one.orderBy("a", "user_id")).alias("rn"), F.count(F.lit(1)).over(one).alias("n"))
-    return r.select("user_id", F.when(F.col("rn") <= F.col("n") * 0.6, "train").when(F.col("rn") <= F.col("n") * 0.8, "validation").otherwise("test").alias("part"))
+    days = days.select("day", F.coalesce(F.sum("d").over(one.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("d").over(one).alias("n"))
+    upto = starts.join(days, "day").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("day").orderBy("a")))
+    edge = lambda share: F.min(F.when(F.col("upto") > F.col("n") * share, F.col("a")))
+    x = g.join(F.broadcast(upto.agg(edge(0.6).alias("e1"), edge(0.8).alias("e2"))))  # one row
+    a, b, e1, e2 = (F.col(c) for c in ("a", "b", "e1", "e2"))
+    return x.select("user_id", F.when((a < e1) & (b < e1), "train").when((a >= e1) & (a < e2) & (b < e2), "validation").when(a >= e2, "test").otherwise("purged").alias("part"))
 
 
 @query("walk_forward_folds", """, w AS (SELECT CAST(v AS INTEGER) AS fold, TIMESTAMP '2024-01-08 00:00:00' + v * INTERVAL 7 DAY AS edge FROM (SELECT unnest([0, 1, 2]) AS v))

@@ -69,11 +69,15 @@ def json_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("num_guard", "SELECT doc_id, TRY_CAST(string_split(text, ' ')[1] AS DOUBLE) AS x FROM documents", base=False)
+_raw = "[split_part(text, ' ', 1), CAST(doc_id AS VARCHAR), 'Infinity', '-inf', 'NaN', 'true', '1e3', ''][1 + doc_id % 8]"
+
+
+@query("num_guard", f"SELECT doc_id, CASE WHEN isfinite(TRY_CAST({_raw} AS DOUBLE)) THEN TRY_CAST({_raw} AS DOUBLE) END AS x FROM documents", base=False)
 def num_guard(spark, d):
-    """Strings that are not finite numbers are null."""
-    x = F.expr("try_cast(split(text, ' ')[0] AS double)")
-    return table(spark, d, "documents").select("doc_id", F.when(~F.isnan(x), x).alias("x"))
+    """Strings that are not finite numbers are null; words for infinity, NaN and truth are no numbers."""
+    raw = F.element_at(F.array(F.split("text", " ")[0], F.col("doc_id").cast("string"), *map(F.lit, ("Infinity", "-inf", "NaN", "true", "1e3", ""))), (F.col("doc_id") % 8 + 1).cast("int"))
+    x = table(spark, d, "documents").select("doc_id", raw.alias("s")).select("doc_id", F.expr("try_cast(s AS double)").alias("x"))
+    return x.select("doc_id", F.when(F.abs("x") < float("inf"), F.col("x")).alias("x"))
 
 
 @query("baselines", "SELECT event_id, CASE WHEN CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 2) AS INTEGER) % 2 = 0 THEN 'up' ELSE 'down' END AS coin FROM events", base=False)
