@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -118,16 +118,22 @@ def clusters(
         state, now = None, None
         for pdf in batches:
             out: list[tuple] = []
-            for b, t, n, w, m, x in pdf.itertuples(index=False, name=None):
-                if state is None or b != now:
+            for b, t, n, w, m, x, part in pdf.itertuples(index=False, name=None):
+                if state is None or (b, part) != now:
                     out += state.end() if state else ()
-                    state, now = kind(window_s, least), b
+                    state, now = kind(window_s, least), (b, part)
                 out += state.add(n, t, set(w), set(m), x)
             yield pd.DataFrame(out, columns=[row_id, "leader_id"])
         if state:
             yield pd.DataFrame(list(state.end()), columns=[row_id, "leader_id"])
 
-    return rows.repartition("b").sortWithinPartitions("b", "t", "n").mapInPandas(run, f"{row_id} long, leader_id long")
+    # Nothing reaches across a gap longer than the window: a block is cut where a bucket of that length is empty.
+    bucket = F.floor(F.col("t") / window_s)
+    used = rows.select("b", bucket.alias("u")).distinct()
+    before = Window.partitionBy("b").orderBy("u")
+    runs = used.withColumn("new", F.when(F.col("u") - F.lag("u").over(before) > 1, 1).otherwise(0)).select("b", "u", F.sum("new").over(before).alias("run"))
+    cut = rows.withColumn("u", bucket).join(runs, ["b", "u"]).select("b", "t", "n", "w", "m", "x", "run")
+    return cut.repartition("b", "run").sortWithinPartitions("b", "run", "t", "n").mapInPandas(run, f"{row_id} long, leader_id long")
 
 
 def leader_clusters(df: DataFrame, block: str, time: str, row_id: str, tokens: str, window_s: float = 172_800, least: float = 0.6) -> DataFrame:

@@ -34,3 +34,17 @@ def upsert_to(path: str, keys: list[str], order: list[str]):
         best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest]).select(*batch.columns).write.mode("overwrite").parquet(now)
 
     return write
+
+
+def delayed_evaluation(
+    signals: DataFrame, bars: DataFrame, hours: int = 4, tolerance: str = "20 minutes", delay: str = "10 minutes", key: str = "ticker", decided: str = "decision_at", bar_time: str = "at"
+) -> DataFrame:
+    """ST5: each signal with the bars from its target on, for so long as the tolerance; one without any once that time is past.
+
+    Both are streams with watermarks. State holds a signal until its target plus tolerance, and bars no longer than signals
+    may still ask for them. A signal's earliest bar is its outcome; a null price means missed_window.
+    """
+    own = signals.withColumn("target_at", F.col(decided) + F.expr(f"INTERVAL '{hours}' HOUR")).withWatermark("target_at", delay)
+    prices = bars.withColumnsRenamed({key: "__key", bar_time: "__bar_at"}).withWatermark("__bar_at", delay)
+    near = (F.col(key) == F.col("__key")) & (F.col("__bar_at") >= F.col("target_at")) & (F.col("__bar_at") <= F.col("target_at") + F.expr(f"INTERVAL {tolerance}"))
+    return own.join(prices, near, "leftOuter").drop("__key").withColumnRenamed("__bar_at", "observed_at")
