@@ -6,7 +6,7 @@ nearness through a heap, until the cells read hold the share of rows that gave t
 and all entries of those cells are reranked by the exact inner product in double precision.
 
 Cells are packed, in order, to blocks of about BLOCK rows; a cell beyond that is dealt to several blocks, so no
-task holds a hot cell whole. Rows that are null, zero, or hold null or non-finite components take no part. Queries
+task holds a hot cell whole. Vectors that are null, zero, hold null or non-finite components or have no id take no part. Queries
 repeated under one id count once (the least vector); other rows are candidates each, but for rows that carry the
 query's own id. Empty tables give empty tables.
 """
@@ -94,7 +94,7 @@ def approximate_top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", v
 
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    own = own.where(finite(F.col("v")) & F.exists("v", lambda x: x != 0))
+    own = own.where(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
     sample = own.orderBy(F.xxhash64("v"), "vec_id").limit(FIT_ROWS).toArrow()  # FIT_ROWS rows at most
     dim = max([1, *sample["v"].combine_chunks().value_lengths().to_pylist()]) if len(sample) else 1
     dim = max(dim, own.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0], 2)
@@ -148,7 +148,7 @@ def approximate_top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", v
         base, many = np.array(own_first), np.array(own_parts)
         for batch in batches:
             cells = batch.column(2).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype("int64") if not batch.column(0).null_count else np.arange(len(batch))
+            ids = batch.column(0).to_numpy()
             blocks = base[cells] + ((ids * 2654435761) >> 7) % many[cells]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int32())], names=["vec_id", "v", "cell", "block"])
 

@@ -1,14 +1,17 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries and data are dealt to blocks of bounded size, and every pair of a query block and a data block is one
-task. It indexes both in cover trees (a node's children are centres far apart, chosen farthest first until
-they cover it at half its radius; each node keeps its covering radius) and walks both trees together: a pair
-of nodes is left out when even their closest corners, |q.c| + |q| rc + |c| rq + rq rc, stay below the worst kth
-score of the query node's group. Components are floor(64 x) of double x, products are whole numbers.
-
-Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
-zeros. Queries repeated under one id count once (the least vector); other rows are candidates each, but for rows
-that carry the query's own id. Empty tables give empty tables.
+The top level of the cover tree is shared: its centres are picked farthest first from a bounded sample, every vector
+goes to the cell of its nearest centre, and each cell's covering radius is measured over all its rows. Queries are
+grouped by the same cells. A query first searches its own cell, which gives each query group a worst kth score; pairs of
+a query group and a cell whose closest corners, |q.c| + |q| rc + |c| rq + rq rc, stay below it never meet, and only the
+rest is shuffled. A task indexes its queries and its data in cover trees (a node's children are centres far apart,
+chosen farthest first until they cover it at half its radius; each node keeps its covering radius) and walks both trees
+together under the same bound. Components are floor(64 x) of double x, products are whole numbers.
+
+Vectors that are null, hold null or non-finite components or have no id take no part; shorter vectors count as padded with
+zeros. Products are exact while the sum of their terms stays within 2^53. Queries
+repeated under one id count once (the least vector); other rows are candidates each, but for rows
+that carry the query's own id. Ties go to the smaller id. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .vectors import best_of, every_twentieth, finite, matrix, merge_best
 
 DATA_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rows of the sample that the cells' centres come from, rows a cell is meant for, and the most cells.
+CELL_SAMPLE, CELL_ROWS, MOST_CELLS = 16_384, 8_192, 2_048
 LEAF, FANOUT = 64, 16
 
 
@@ -125,19 +131,52 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
     return out
 
 
-def exact_top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, is_query=every_twentieth) -> DataFrame:
+def far_apart(points: np.ndarray, n: int) -> np.ndarray:
+    """Up to n of the points, farthest first."""
+    picked = [0]
+    near = ((points - points[0]) ** 2).sum(1)
+    while len(picked) < n and near.max() > 0:
+        picked.append(int(near.argmax()))
+        near = np.minimum(near, ((points - points[picked[-1]]) ** 2).sum(1))
+    return points[picked]
+
+
+def exact_top_k(
+    vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, is_query=every_twentieth, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id and whole-number score of each query's k best rows."""
     import pyarrow as pa
 
+    spark = vectors.sparkSession
     vector = F.col(vector_col).cast("array<double>")
-    whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where(finite(F.col("v")))
+    whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & finite(F.col("v")))
     whole = whole.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    shape = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(is_query(F.col("vec_id")))).first()
-    rows, dim, asked = shape[0], max(1, shape[1]), shape[2]
-    data_blocks, query_blocks = max(1, -(-rows // DATA_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    ask = whole.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    ask = ask.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))))
-    data = whole.withColumn("db", F.pmod(F.xxhash64("vec_id", "v"), F.lit(data_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    shape = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    rows, dim = shape[0], max(1, shape[1])
+    kinds = "query_id long, vec_id long, score long"
+    if not rows:
+        return merge_best(spark.createDataFrame([], kinds), k)
+    sample = whole.orderBy(F.xxhash64("v", "vec_id")).select("v").limit(CELL_SAMPLE).toArrow()  # CELL_SAMPLE rows at most
+    centres = far_apart(matrix(sample["v"], dim), max(1, min(MOST_CELLS, -(-rows // cell_rows))))
+    shared = spark.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        half = (shared.value**2).sum(1) / 2
+        for batch in batches:
+            x = matrix(batch.column(1), dim)
+            cell = (x @ shared.value.T - half).argmax(1) if len(x) else np.zeros(0, int)
+            away = np.sqrt(((x - shared.value[cell]) ** 2).sum(1)) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away, pa.float64())], names=["vec_id", "v", "cell", "away"])
+
+    dealt = materialize(whole.mapInArrow(assign, "vec_id long, v array<double>, cell int, away double"), "cells")
+    asked = dealt.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "cell", "away")).alias("q")).select("vec_id", "q.*")
+    radius, parts, asked_radius, asked_parts = np.zeros(len(centres)), np.zeros(len(centres), int), np.zeros(len(centres)), np.zeros(len(centres), int)
+    for table, far, many, size in ((dealt, radius, parts, DATA_BLOCK), (asked, asked_radius, asked_parts, QUERY_BLOCK)):
+        for r in table.groupBy("cell").agg(F.max("away"), F.count(F.lit(1))).collect():  # MOST_CELLS rows at most
+            far[r[0]], many[r[0]] = r[1], -(-r[2] // size)
+    layout = spark.sparkContext.broadcast((radius, parts, asked_radius, asked_parts))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit([int(max(1, n)) for n in asked_parts]), F.col("cell") + 1)).cast("int"))
+    data = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.lit([int(max(1, n)) for n in parts]), F.col("cell") + 1)).cast("int"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
@@ -149,5 +188,32 @@ def exact_top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_
             "score": pa.array(np.concatenate([s for _, s in found]).astype("int64") if found else [], pa.int64()),
         })
 
-    parts = ask.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInArrow(search, "query_id long, vec_id long, score long")
-    return merge_best(parts, k)
+    def met(pairs: DataFrame) -> DataFrame:
+        """What the queries of (cell, group) find in (other, part) of these pairs."""
+        keys = ["cell", "group", "other", "part"]
+        left = asked.join(pairs, ["cell", "group"]).select(*keys, "vec_id", "v").toDF(*keys, "vec_id", "v").groupBy(*keys)
+        right = data.withColumnRenamed("cell", "other").join(pairs, ["other", "part"]).select(*keys, "vec_id", "v").toDF(*keys, "vec_id", "v").groupBy(*keys)
+        return left.cogroup(right).applyInArrow(search, kinds)
+
+    groups = spark.range(1).select(F.explode(F.lit([[c, g] for c, n in enumerate(asked_parts.tolist()) for g in range(n)] or [[-1, 0]])).alias("x")).select(F.col("x")[0].cast("int").alias("cell"), F.col("x")[1].cast("int").alias("group"))
+    # A query's own cell first, or a part of it where it is large: any k scores are a bound.
+    home = groups.where("cell >= 0").select("cell", "group", F.col("cell").alias("other"), F.lit(0).alias("part"))
+    at_home = materialize(met(home), "at-home")
+    kth = merge_best(at_home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    worst = asked.select("vec_id", "cell", "group").join(kth, "vec_id", "left").groupBy("cell", "group").agg(F.min("kth").alias("kth"), F.count(F.lit(1)).alias("n"), F.count("kth").alias("known"))
+
+    def open_cells(batches):
+        far, many, asked_far, _ = layout.value
+        size = np.sqrt((shared.value**2).sum(1))
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for cell, group, least, n, known in zip(*(c.to_pylist() for c in batch.columns)):
+                c, r = shared.value[cell], asked_far[cell]
+                top = shared.value @ c + np.sqrt(c @ c) * far + size * r + r * far
+                top += 1e-6 * (1 + np.abs(top))
+                hit = np.flatnonzero((many > 0) & ((top >= least) if known == n else True))
+                out += [(cell, group, int(o), p) for o in hit for p in range(many[o]) if (o, p) != (cell, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in range(4)], names=["cell", "group", "other", "part"])
+
+    pairs = materialize(worst.select("cell", "group", "kth", "n", "known").mapInArrow(open_cells, "cell int, group int, other int, part int"), "open-cells")
+    return merge_best(at_home.unionByName(met(pairs)), k)

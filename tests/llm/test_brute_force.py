@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from eventloom.llm.ann_multi_index import approximate_top_k
 from eventloom.llm.html_extract import Weights, best_region, learn_weights, main_text
 from eventloom.llm.mixing import in_mixed_order, pfair_mix
 from eventloom.llm.quality_rules import compile_rules, fit_rules
@@ -139,7 +140,7 @@ def test_clashing_names(spark):
 
 def test_vectors_that_take_no_part(spark):
     bad = spark.createDataFrame([(0, None), (20, [float("nan")]), (40, [None])], "vec_id long, embedding array<double>")
-    assert exact_top_k(bad).count() == 0
+    assert exact_top_k(bad).count() == 0 and approximate_top_k(bad).count() == 0
     ids = spark.createDataFrame([(None, [1.0]), (20, [2.0]), (3, [2.0]), (5, [2.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id) for r in exact_top_k(ids).where("vec_id is not null").orderBy("rank").collect()] == [(1, 3), (2, 5)]
 
@@ -200,3 +201,22 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert sorted(r.mix_position for r in kept["tokens"].values()) == list(range(len(cut)))
     rows = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
     assert rows == {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in kept["tokens"].items()}
+
+
+def test_cells_that_cannot_win_never_meet(spark):
+    """Clustered vectors in many cells: exact all the same, ties and copies included."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 6)) * 3
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6) * 0.1]) for i in range(900)]
+    rows += [(2000 + i, rows[5][1]) for i in range(60)] + [(3000, rows[0][1]), (3000, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    asked = {}
+    for i, v in whole:
+        if i % 20 == 0:
+            asked[i] = min([v, asked[i]], key=lambda x: list(x)) if i in asked else v
+    expected = []
+    for q, x in asked.items():
+        best = sorted((-int(x @ y), i) for i, y in whole if i != q)[:20]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, exact_top_k(df, cell_rows=60).collect())) == sorted(expected)
