@@ -25,14 +25,14 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces_of
+from .common import give_back, pieces_of
 
 #: The byte-level split of the public vocabulary (a fixed value of its file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Two white-space characters side by side.
 DOUBLE = re.compile(r"\s\s")
-#: Entries of each of a cache's two generations, and the longest string kept, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+#: Entries of each of a cache's two generations, pairs of tokens kept, and the longest string kept, in characters.
+CACHE_ENTRIES, CACHE_PAIRS, CACHE_CHARS = 180_000, 250_000, 48
 #: Letters before this one are told by str.isalpha as by the split; beyond, versions of Unicode may differ.
 LATIN_END = "\u0250"
 #: Marks that end a word often; a piece of their own after letters.
@@ -137,7 +137,7 @@ class Transducer:
         """Whether u, t is the encoding of its own bytes: no merge across the border comes before those that hide it."""
         known = self.pairs.get((u, t))
         if known is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             known, rank = True, self.rank
             for x, over in self.spine(u, True):
@@ -278,7 +278,9 @@ def transducer(spec: str) -> Transducer:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
+        give_back()
         _loaded[key] = Transducer(spec)
+        give_back()
     return _loaded[key]
 
 

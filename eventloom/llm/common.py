@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -52,6 +54,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers live on from stage to stage, what they keep adds up."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces_of(batch, column: int, most: int = 2_000_000) -> Iterator:
     """An Arrow batch in slices whose values of a string or binary column have about so many bytes, a longer value alone."""
     import pyarrow.compute as pc

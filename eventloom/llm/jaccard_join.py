@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces_of, release
+from .common import discard, give_back, materialize, pieces_of, release
 
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 16_384, 200_000
@@ -352,6 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                  pa.array(heads, pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
                 names=["doc_id", "key", "node", "n", "head", "bits"],
             )
+        give_back()
 
     described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary, bits binary"), "shingles")
     heads = described.where("n > 0").select("node", "head", "n")
@@ -585,6 +586,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             right.append(np.maximum(node[x], node[y]))
         join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
         out = pa.table({"x": join(left), "y": join(right)})
+        give_back()
         return out.group_by(["x", "y"]).aggregate([]) if len(out) else out
 
     spread_out = crossing.withColumn("pack", F.pmod(F.xxhash64("token", "p", "q"), F.lit(packs)))

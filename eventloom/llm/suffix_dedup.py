@@ -28,12 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces_of, release
+from .common import discard, give_back, materialize, pieces_of, release
 from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
 SAMPLE_DOCS, HOT_ANCHORS, HOT_SALTS = 8_192, 10_000, 64
-GROUP_REGIONS, SHARD_BYTES = 4_096, 1_500_000
+GROUP_REGIONS, SHARD_BYTES = 4_096, 600_000
 PIECE = 1 << 19
 U64 = np.uint64
 _letters = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -291,6 +291,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
                     for begin in range(0, len(texts[at]) - length + 1, PIECE):
                         yield some([texts[at][begin : begin + PIECE + length - 1]], keys[at : at + 1], begin)
                     at += 1
+        give_back()
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of anchor: those whose anchor a neighbour has too. Keeps one row from batch to batch."""
@@ -356,6 +357,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
         keep = order[np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(region[order]) != 0)])] if len(order) else order
         texts = table["bytes"].take(pa.array(keep)).to_pylist()
         starts = repeated_starts(texts, table["copies"].to_numpy()[keep], length) if texts else []
+        give_back()
         return pa.table({"anchor": pa.array(anchor[keep], pa.int64()), "region": pa.array(region[keep], pa.int64()), "spans": pa.array([spans_of(s, length) for s in starts], pa.list_(pa.int32()))})
 
     few = regions.where(F.col("kinds") <= group_regions).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
