@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_text, text_hash, tokens
@@ -80,8 +81,10 @@ def num_guard(spark, d):
     return x.select("doc_id", F.when(F.abs("x") < float("inf"), F.col("x")).alias("x"))
 
 
-@query("baselines", "SELECT event_id, CASE WHEN CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 2) AS INTEGER) % 2 = 0 THEN 'up' ELSE 'down' END AS coin FROM events", base=False)
+@query("baselines", "SELECT event_id, CASE WHEN CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 2) AS INTEGER) % 2 = 0 THEN 'up' ELSE 'down' END AS coin, 'up' AS always, CASE WHEN value > lag(value) OVER w THEN 'up' WHEN value < lag(value) OVER w THEN 'down' ELSE 'flat' END AS momentum FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", base=False)
 def baselines(spark, d):
-    """The coin baseline from a digest's first byte."""
+    """The coin of a digest's first byte, always up, and the sign of the last move (flat where there is none)."""
     first = F.conv(F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
-    return table(spark, d, "events").select("event_id", F.when(first % 2 == 0, "up").otherwise("down").alias("coin"))
+    last = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").withColumn("last", last)
+    return e.select("event_id", F.when(first % 2 == 0, "up").otherwise("down").alias("coin"), F.lit("up").alias("always"), F.when(F.col("value") > F.col("last"), "up").when(F.col("value") < F.col("last"), "down").otherwise("flat").alias("momentum"))

@@ -65,3 +65,28 @@ def test_streams(spark, tmp_path):
     sink(rows.limit(0), 1)
     sink(rows.limit(0), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).select("k", "v").collect()) == [(1, 6), (2, 7)]
+
+
+def test_logistic_sums_equal_plain_newton(spark):
+    import numpy as np
+
+    from eventloom.operators.models import fit_logistic, seal, unseal
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -2.0])))).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+    w, one = np.zeros(3), np.column_stack([np.ones(300), x])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-one @ w))
+        r = np.diag([0.0, 1.0, 1.0])
+        w = w + np.linalg.solve(one.T @ (one * (p * (1 - p))[:, None]) + r, one.T @ (y - p) - r @ w)
+    assert np.allclose(fit_logistic(df, ["a", "b"], "y"), w, atol=1e-7)
+    assert np.isfinite(fit_logistic(df.limit(0), ["a", "b"], "y")).all() and fit_logistic(df.where("y = 1"), ["a"], "y")[1] == 0
+    text = seal({"features": ["a"], "weights": [0.0, 1.5], "trained_through": 3})
+    assert unseal(text, ["a"])["weights"] == [0.0, 1.5]
+    for broken in (text.replace("1.5", "1.6"), text.replace("linear-model/1", "x"), text.replace('"features"', '"feature"')):
+        with pytest.raises(ValueError):
+            unseal(broken)
+    with pytest.raises(ValueError):
+        unseal(text, ["b"])
