@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 Z95 = 1.959963984540054
 
 
@@ -20,8 +22,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
     """Area by mid-ranks of distinct scores: counts per score first, so the ordered part is small; null for one class."""
     by = by or []
     points = df.groupBy(*by, score).agg(F.sum(label).cast("double").alias("__p"), F.count(F.lit(1)).cast("double").alias("__n"))
-    below = Window.partitionBy(*(by or [F.lit(1)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = points.withColumn("before", F.coalesce(F.sum("__n").over(below), F.lit(0.0)))
+    ranked = running_sums(points, score, {"before": "__n"}, by, inclusive=False)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("__p") * (F.col("before") + (F.col("__n") + 1) / 2)).alias("r"), F.sum("__p").alias("p"), F.sum("__n").alias("n"))
     area = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
     return sums.select(*by, area.alias("auc"))
@@ -30,9 +31,8 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over distinct scores, high to low, of precision times the step in recall."""
     points = df.groupBy(score).agg(F.sum(label).cast("double").alias("__p"), F.count(F.lit(1)).cast("double").alias("__n"))
-    upto = Window.partitionBy(F.lit(1)).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = points.select(F.col("__p").alias("p"), F.sum("__p").over(upto).alias("tp"), F.sum("__n").over(upto).alias("m"))
-    return run.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("m")), F.sum("p")).alias("pr_auc"))
+    run = running_sums(points, score, {"tp": "__p", "m": "__n"}, descending=True)
+    return run.agg(F.try_divide(F.sum(F.col("__p") * F.col("tp") / F.col("m")), F.sum("__p")).alias("pr_auc"))
 
 
 def bootstrap_means(df: DataFrame, cluster: str, total: Column, count: Column, replicates: int) -> DataFrame:

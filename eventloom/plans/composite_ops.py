@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.asof import asof_goals
 from ..operators.metrics import wilson
+from ..operators.running import running_sums
 from ..sources.fixtures import bars, benchmark_bars, signals, table
 from .gate_ops import hours, minutes
 from .market import ENTRY, TARGET, change, entries, horizon
@@ -184,8 +185,7 @@ SELECT t.coverage, CAST(r.m AS BIGINT) AS selected, round(r.m / CAST(r.total AS
 def coverage_lift(spark, d):
     """At each coverage (ties in), the share selected, its precision and the lift over prevalence."""
     c = scored(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"))  # one row a distinct score
-    run, whole = Window.partitionBy(F.lit(1)).orderBy(F.desc("p")), Window.partitionBy(F.lit(1))
-    r = c.select(F.sum("n").over(run).alias("m"), F.sum("hits").over(run).alias("h"), F.sum("n").over(whole).alias("total"), F.sum("hits").over(whole).alias("pos"))
+    r = running_sums(c, "p", {"m": "n", "h": "hits"}, descending=True, totals=True).withColumnsRenamed({"m_total": "total", "h_total": "pos"})
     g = r.withColumn("coverage", F.explode(F.array(*map(F.lit, (5, 10, 25, 50, 100))))).where("m >= greatest(1, ceil(total * coverage / 100.0))")
     t = g.groupBy("coverage").agg(F.min_by(F.struct("m", "h", "total", "pos"), "m").alias("x")).select("coverage", "x.*")
     precision = F.col("h") / F.col("m")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import average_precision, bootstrap_means, roc_auc, wilson
+from ..operators.running import running_sums
 from ..sources.fixtures import signals, table
 from .registry import query
 
@@ -144,8 +145,7 @@ def eval_relationships(spark, d):
 def coverage_threshold(spark, d):
     """The k-th largest score by coverage, and what ties make of it; over counts per score."""
     g = scored(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("p"))
-    r = g.withColumns({"m": F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy(F.lit(1)))})
+    r = running_sums(g, "p", {"m": "n"}, descending=True, totals=True).withColumnRenamed("m_total", "total")
     c = r.withColumn("coverage", F.explode(F.array(*map(F.lit, (5, 10, 25, 50)))))
     k = F.greatest(F.lit(1), F.ceil(F.col("total") * F.col("coverage") / 100))
     return c.where((F.col("m") >= k) & (F.col("m") - F.col("n") < k)).select("coverage", F.col("p").alias("threshold"), F.col("m").alias("selected"))
@@ -156,9 +156,7 @@ SELECT p AS threshold, round(2 * tp / CAST(m + t AS DOUBLE), 6) AS f1 FROM r ORD
 def best_f1_threshold(spark, d):
     """The threshold of best F1, ties to the nearest to one half."""
     g = scored(spark, d).groupBy("p").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy(F.lit(1))
-    down = one.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    r = g.select("p", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("m"), F.sum("pos").over(one).alias("t"))
+    r = running_sums(g, "p", {"tp": "pos", "m": "n"}, descending=True, totals=True).withColumnRenamed("tp_total", "t")
     r = r.withColumn("f", 2 * F.col("tp") / (F.col("m") + F.col("t")).cast("double"))
     return r.orderBy(F.desc("f"), F.abs(F.col("p") - 0.5), "p").limit(1).select(F.col("p").alias("threshold"), F.round("f", 6).alias("f1"))
 
@@ -197,8 +195,11 @@ def router_quality(spark, d):
 @query("delivery_lag_stats", " SELECT ticker, CAST(max(k) FILTER (rn = CAST(round((n - 1) * 0.9) AS BIGINT) + 1) AS INTEGER) AS p90, median(k) AS p50 FROM (SELECT ticker, k, row_number() OVER (PARTITION BY ticker ORDER BY k) AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM sig) GROUP BY ticker")
 def delivery_lag_stats(spark, d):
     """Nearest-rank percentile beside the median."""
-    s = signals(spark, d).select("ticker", "k", F.row_number().over(Window.partitionBy("ticker").orderBy("k")).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("n"))
-    return s.groupBy("ticker").agg(F.max(F.when(F.col("rn") == F.round((F.col("n") - 1) * 0.9).cast("long") + 1, F.col("k"))).alias("p90"), F.median("k").alias("p50"))
+    values = signals(spark, d).groupBy("ticker", "k").agg(F.count(F.lit(1)).alias("c"))  # counts by value, which ranks are read from
+    s = running_sums(values, "k", {"upto": "c"}, ["ticker"], totals=True)
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("k")))
+    n = F.col("upto_total")
+    return s.groupBy("ticker").agg(at(F.round((n - 1) * 0.9).cast("long") + 1).alias("p90"), ((at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2).alias("p50"))
 
 
 @query("split_overlap_audit", " SELECT user_id, count(DISTINCT ticker) AS parts FROM sig GROUP BY user_id HAVING count(DISTINCT ticker) > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
 from ..operators.metrics import roc_auc, wilson
+from ..operators.running import running_sums
 from ..sources.fixtures import bars, benchmark_bars, signals, table
 from .gate_ops import hours, minutes, now
 from .market import ENTRY, TARGET, change, entries, horizon, pct
@@ -289,9 +290,8 @@ t AS (SELECT p, (s / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(s / n * (
 def wilson_threshold(spark, d):
     """The threshold of the best lower bound; counts per score first, so the ordered part is small."""
     g = scored(spark, d).groupBy("p").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(F.lit(1)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    r = g.select("p", F.sum("s").over(upto).alias("s"), F.sum("n").over(upto).alias("n"))
-    return r.select(F.col("p").alias("threshold"), F.round(wilson(F.col("s"), F.col("n"))[0], 6).alias("low")).orderBy(F.desc("low"), "threshold").limit(1)
+    r = running_sums(g, "p", {"hits": "s", "m": "n"}, descending=True)
+    return r.select(F.col("p").alias("threshold"), F.round(wilson(F.col("hits"), F.col("m"))[0], 6).alias("low")).orderBy(F.desc("low"), "threshold").limit(1)
 
 
 @query("asymmetric_policy", SCORED + """, u AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS up), w AS (SELECT unnest([0.1, 0.2, 0.3, 0.4]) AS down),

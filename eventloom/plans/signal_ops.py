@@ -7,6 +7,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import previous
 from ..sources.fixtures import signals, table
 from .registry import query
 
@@ -60,9 +61,8 @@ def active_by_ticker(spark, d):
 FROM sig WINDOW o AS (PARTITION BY ticker ORDER BY decision_at, signal_id)) SELECT *, direction <> prev_direction AS changed FROM w""")
 def signal_history(spark, d):
     """Each signal against the one before on its ticker."""
-    before = Window.partitionBy("ticker").orderBy("decision_at", "signal_id")
-    lag = lambda c: F.lag(c).over(before)
-    w = signals(spark, d).select("signal_id", "ticker", "direction", lag("direction").alias("prev_direction"), (F.col("score") - lag("score")).alias("score_delta"), F.round(F.col("confidence") - lag("confidence"), 6).alias("confidence_delta"))
+    s = previous(signals(spark, d), "ticker", F.to_date("decision_at"), ["decision_at", "signal_id"], {"prev_direction": "direction", "s0": "score", "c0": "confidence"})
+    w = s.select("signal_id", "ticker", "direction", "prev_direction", (F.col("score") - F.col("s0")).alias("score_delta"), F.round(F.col("confidence") - F.col("c0"), 6).alias("confidence_delta"))
     return w.withColumn("changed", F.col("direction") != F.col("prev_direction"))
 
 

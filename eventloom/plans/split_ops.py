@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.cluster import leader_clusters
+from ..operators.running import previous
 from ..sources.fixtures import bars, signals, table
 from .registry import query
 
@@ -78,8 +79,7 @@ def check_leakage(spark, d):
 @query("check_returns", " SELECT bar_id FROM (SELECT bar_id, open, lag(open) OVER (PARTITION BY ticker ORDER BY bars.at, bar_id) AS prev FROM bars) WHERE abs((open / prev - 1) * 100) > 100")
 def check_returns(spark, d):
     """V2: returns beyond a bound."""
-    prev = F.lag("open").over(Window.partitionBy("ticker").orderBy("at", "bar_id"))
-    return bars(spark, d).withColumn("prev", prev).where(F.abs((F.try_divide(F.col("open"), F.col("prev")) - 1) * 100) > 100).select("bar_id")
+    return previous(bars(spark, d), "ticker", F.to_date("at"), ["at", "bar_id"], {"prev": "open"}).where(F.abs((F.try_divide(F.col("open"), F.col("prev")) - 1) * 100) > 100).select("bar_id")
 
 
 @query("dedup_eval_events")
