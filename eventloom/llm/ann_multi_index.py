@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Each half of a vector is quantised on its own to one of `centroids` (k-means on a bounded sample, FIT_ROWS); a
+Each half of a vector is quantised on its own to one of CENTROIDS, of more where there are more rows (k-means on a
+bounded sample by id, FIT_ROWS, so that copies count in it as often as they are); a
 pair of them is a cell, and every row is listed in its cell. A query walks the pairs of centroids by summed
 nearness through a heap, until the cells read hold the share of rows that gave the wanted recall on the sample,
 and all entries of those cells are reranked by the exact inner product in double precision.
@@ -14,6 +15,7 @@ query's own id. Empty tables give empty tables.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, every_twentieth, finite, matrix, merge_best
 
-FIT_ROWS, CENTROIDS, BLOCK = 16_384, 64, 8_192
+FIT_ROWS, CENTROIDS, MOST_CENTROIDS, BLOCK = 16_384, 64, 256, 8_192
 RECALL = 0.95
 
 
@@ -95,10 +97,12 @@ def approximate_top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", v
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     own = own.where(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
-    sample = own.orderBy(F.xxhash64("v"), "vec_id").limit(FIT_ROWS).toArrow()  # FIT_ROWS rows at most
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT_ROWS).toArrow()  # FIT_ROWS rows at most
     dim = max([1, *sample["v"].combine_chunks().value_lengths().to_pylist()]) if len(sample) else 1
-    dim = max(dim, own.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0], 2)
-    index = MultiIndex(matrix(sample["v"], dim), k, recall=recall) if len(sample) else None
+    longest, rows = own.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count(F.lit(1))).first()
+    dim = max(dim, longest, 2)
+    centroids = min(MOST_CENTROIDS, max(CENTROIDS, math.isqrt(rows // CENTROIDS)))  # cells grow with the rows
+    index = MultiIndex(matrix(sample["v"], dim), k, centroids, recall) if len(sample) else None
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)

@@ -18,11 +18,13 @@ HELD_OUT_REMAINDER = 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = context_dir.get() if context_dir.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="eventloom-")
         spark.sparkContext.setCheckpointDir(named)

@@ -5,7 +5,9 @@ Statistics of the whole text are Spark columns. Small trees are grown on a bound
 them; and the rules left are compiled to one Spark column expression, so scoring runs inside the JVM.
 
 Nulls: a null text counts as empty, and an empty text is scored like any other. With no labelled row, or
-labels of one kind only, the score is the smoothed share of label 1. Empty tables give empty tables.
+labels of one kind only, the score is the smoothed share of label 1. Empty tables give empty tables. A repeated row gets
+its score each time; an id with several texts or labels teaches with each pair of them. Ties don't arise: a score
+depends on the text alone.
 """
 
 from __future__ import annotations
