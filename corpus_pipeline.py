@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written and read back as the
 next stage's docs. All but the last return the columns of documents.
+
+In every stage: a null text is an empty one; an empty table gives an empty table; extra columns pass through, whatever
+their names, up to the last stage. Toxicity keeps rows of every repeat of a clean text. Near duplicates keep the least doc_id
+of a group; rows repeated whole count as one; documents without words are no one's copies. Repeated passages cut both
+sides of a repeat, the same document's included, and may leave an empty text; n_chars follows. The mix takes a null source
+for the source ''. Ties between equal rows fall either way.
 """
 
 from __future__ import annotations
