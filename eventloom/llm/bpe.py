@@ -32,7 +32,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Two white-space characters side by side.
 DOUBLE = re.compile(r"\s\s")
 #: Entries of each of a cache's two generations, pairs of tokens kept, and the longest string kept, in characters.
-CACHE_ENTRIES, CACHE_PAIRS, CACHE_CHARS = 180_000, 250_000, 48
+CACHE_ENTRIES, CACHE_PAIRS, CACHE_CHARS = 120_000, 250_000, 48
 #: Letters before this one are told by str.isalpha as by the split; beyond, versions of Unicode may differ.
 LATIN_END = "\u0250"
 #: Marks that end a word often; a piece of their own after letters.
@@ -320,6 +320,8 @@ def bpe_round_trip(
                 columns.append(batch.column(2))
                 names.append(position_col)
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        t.words.old, t.pieces.old = {}, {}
+        give_back()
 
     passed = [f"cast(`{position_col}` as long) `{position_col}`"] if position_col else []
     narrow = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text", *passed)

@@ -33,7 +33,8 @@ from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
 SAMPLE_DOCS, HOT_ANCHORS, HOT_SALTS = 8_192, 10_000, 64
-GROUP_REGIONS, SHARD_BYTES = 4_096, 600_000
+#: Bytes of a shard, and the distinct regions (of some 400 bytes) that about fill it: a larger group can't be one shard.
+SHARD_BYTES, GROUP_REGIONS = 600_000, 1_500
 PIECE = 1 << 19
 U64 = np.uint64
 _letters = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -418,6 +419,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
             rest = [c for name, c in zip(batch.schema.names, batch.columns) if name not in ("__raw", "__spans", "__key")]
             names = [name for name in batch.schema.names if name not in ("__raw", "__spans", "__key")]
+            del raws, own
             yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=[*names, "__removed", "__kept"])
 
     joined = keyed.drop(text_col).join(by_doc, "__key", "left")

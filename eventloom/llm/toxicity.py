@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces_of
+from .common import give_back, held_out, pieces_of
 
 EXAMPLES, EXAMPLE_CHARS, NEAREST, BLOCK = 2_500, 100_000, 15, 64
 #: A term is kept if it is so many times as frequent with the label, and no chance finding (a log-likelihood ratio).
@@ -228,6 +228,7 @@ def toxicity_scores(docs: DataFrame, model: Examples, id_col: str = "doc_id", te
                  pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_cosines"],
             )
+        give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
@@ -243,5 +244,6 @@ def without_toxic(docs: DataFrame, model: Examples, text_col: str = "text", thre
         for batch in (x for b in batches for x in pieces_of(b, at)):
             keep = [shared.value.score(x.as_py() or "")[0] < threshold for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
