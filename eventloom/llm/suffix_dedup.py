@@ -259,8 +259,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return out.select(*own, F.col("__removed").alias("removed_spans"), F.col("__kept").alias("kept"))
 
 
-def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_regions: int) -> DataFrame:
-    """The columns of docs, but for the text, with __removed and __kept."""
+def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_regions: int, as_text: bool = False) -> DataFrame:
+    """The columns of docs, but for the text, with __removed and __kept: bytes, or a text without the rest of cut characters."""
     import pyarrow as pa
 
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -420,25 +420,18 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
             rest = [c for name, c in zip(batch.schema.names, batch.columns) if name not in ("__raw", "__spans", "__key")]
             names = [name for name in batch.schema.names if name not in ("__raw", "__spans", "__key")]
             del raws, own
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=[*names, "__removed", "__kept"])
+            shown = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), shown], names=[*names, "__removed", "__kept"])
 
     joined = keyed.drop(text_col).join(by_doc, "__key", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return joined.mapInArrow(merge, (fields + ", " if fields else "") + "__removed array<int>, __kept binary")
+    return joined.mapInArrow(merge, (fields + ", " if fields else "") + "__removed array<int>, __kept " + ("string" if as_text else "binary"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns, the text without what repeats; of a character that is cut, what is left goes too."""
-    import pyarrow as pa
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces_of(b, b.num_columns - 1)):
-            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], text_col])
-
-    left = cut_repeats(docs, length, id_col, text_col, GROUP_REGIONS).drop("__removed")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{text_col}` string"]
-    return left.mapInArrow(whole, ", ".join(fields)).select(*docs.columns)
+    left = cut_repeats(docs, length, id_col, text_col, GROUP_REGIONS, as_text=True)
+    return left.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
