@@ -33,8 +33,8 @@ from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
 SAMPLE_DOCS, HOT_ANCHORS, HOT_SALTS = 8_192, 10_000, 64
-#: Bytes of a shard, and the distinct regions (of some 400 bytes) that about fill it: a larger group can't be one shard.
-SHARD_BYTES, GROUP_REGIONS = 600_000, 1_500
+#: Bytes of a shard, and the most distinct regions of a group (of some 300 bytes) that one task sorts.
+SHARD_BYTES, GROUP_REGIONS = 600_000, 4_096
 PIECE = 1 << 19
 U64 = np.uint64
 _letters = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
