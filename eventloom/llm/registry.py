@@ -13,8 +13,12 @@ from .mixing import pfair_mix
 from .quality_rules import quality_scores
 from .sharding import lpt_shards
 from .suffix_dedup import repeat_digest
+from .token_files import token_digests
 from .topk_cover_tree import exact_top_k
 from .toxicity import fit_examples, toxicity_scores
+from .vector_codes import vector_codes
+from .vector_sql import vector_codes_sql, yinyang_sql
+from .yinyang import yinyang_clusters
 
 
 def default_vocabulary() -> str:
@@ -66,12 +70,26 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang_clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_table(spark, sf_dir, "documents"), default_vocabulary())
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_yinyang": yinyang_sql(),
+        "op12_vector_codes": vector_codes_sql(),
         "op2_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

@@ -46,3 +46,24 @@ def merge_best(parts: DataFrame, k: int) -> DataFrame:
 def every_twentieth(vec_id: Column) -> Column:
     """The stated query set."""
     return F.coalesce(vec_id % 20 == 0, F.lit(False))
+
+
+#: Whole-number components beyond this would let exact squared distances of long vectors leave 64 bits.
+MOST_WHOLE = 2**27
+
+
+def whole_numbers(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of each double component as longs; an error, not a wrong number, beyond MOST_WHOLE."""
+    one = lambda x: F.when(F.abs(scale * x) < MOST_WHOLE, F.floor(x * scale)).otherwise(F.raise_error(F.lit(f"a component is too large for exact sums: {MOST_WHOLE} / {scale} at most")).cast("long"))
+    return F.transform(vector.cast("array<double>"), one)
+
+
+def whole_matrix(column, dim: int) -> np.ndarray:
+    """An Arrow list column of longs, all of `dim` or fewer, as rows; shorter ones are padded with zeros."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    if len(flat) == dim * len(column):
+        return flat.reshape(-1, dim)
+    sizes = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    out = np.zeros((len(sizes), dim), np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
