@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, pieces_of, shared_dir
 from .wavelet import WaveletFile, pack
 
-#: Ids of a file, after which it is closed; words of the small and of the large cache, and their characters; characters encoded at a time.
-SHARD_TOKENS, HOT_WORDS, CACHE_WORDS, CACHE_CHARS, CHUNK = 1 << 22, 300_000, 300_000, 40, 1 << 18
+#: Ids of a file, after which it is closed; words of a cache, and their characters; characters encoded at a time;
+#: bytes from which a text is encoded alone; bytes of texts whose words are numbered together.
+SHARD_TOKENS, CACHE_WORDS, CACHE_CHARS, CHUNK, LONG, SLICE = 1 << 22, 300_000, 40, 1 << 18, 1 << 23, 1 << 23
 READ_TASKS = 10_000
 DOUBLE = re.compile(r"\s\s")
 BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -45,10 +47,11 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 class LibraryEncoder:
     """A text's ids as the library gives them, packed; words are encoded once while they stay in a cache.
 
-    A small cache holds the words of late; behind it a large one, in two generations, holds stems: words without their marks.
+    A cache in two generations holds stems, words without their marks. Each lookup costs a miss of the processor's caches, so
+    there is one a word.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, end: int = 0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
@@ -62,11 +65,12 @@ class LibraryEncoder:
         # Added tokens that neither reach over a space nor hide in letters with marks behind them.
         added = all(re.fullmatch(r"\S*[^\W\d_]\S*", t["content"]) and re.search(rf"[^{LETTERS}][{LETTERS}]", t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in d.get("added_tokens") or [])
         self.by_words = plain and added and not d.get("normalizer") and after["type"] == "ByteLevel" and not d["model"].get("dropout")
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.kind, self.code = (np.dtype("<u2"), "H") if self.library.get_vocab_size(True) <= 1 << 16 else (np.dtype("<u4"), "I")
         shown = [n for n in range(256) if 33 <= n <= 126 or 161 <= n <= 172 or 174 <= n <= 255]  # bytes that stand for themselves
         hidden = [n for n in range(256) if n not in set(shown)]
         self.letters = {n: n for n in shown} | {n: 256 + i for i, n in enumerate(hidden)}  # the file format's letter for each byte
-        self.words: dict[str, bytes] = {}
+        self.end = end
+        self.marks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line_end = self.pieces(["\n"])[0]
@@ -83,58 +87,105 @@ class LibraryEncoder:
         while at < len(text):
             border = BORDER.search(text, at + CHUNK) if len(text) - at > CHUNK else None
             to = border.start() if border else len(text)
-            yield self.part(text[at:to])
+            first, *words = BORDER.split(text[at:to])
+            yield b"".join([*self.pieces([first] if first else []), *map(self.known, words)])
             at = to
 
-    def part(self, text: str) -> bytes:
-        """Of a text that ends at a border: the first piece has no space before it but its own."""
-        first, *words = BORDER.split(text) if DOUBLE.search(text) else text.split(" ")
-        got = list(map(self.words.get, words))
-        if None in got:
-            if len(self.words) > HOT_WORDS:
-                self.words.clear()
-            for n, g in enumerate(got):
-                if g is None:
-                    word = words[n]
-                    got[n] = g = self.spaced(word)
-                    if len(word) <= CACHE_CHARS:
-                        self.words[word] = g
-        return b"".join([*self.pieces([first] if first else []), *got])
+    def encode_all(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts one after another, the end id behind each, and how many each has.
+
+        Arrow splits the texts at spaces and numbers the distinct words, so that each is looked up once a slice; texts in
+        which white space meets a space, and long ones, are encoded alone.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        alone: dict[int, bytes] = {}
+        if not self.by_words:
+            alone = {n: b"".join(self.encode(t.as_py())) for n, t in enumerate(texts)}
+        else:
+            for n in np.flatnonzero(pc.binary_length(texts).to_numpy() > LONG).tolist():
+                alone[n] = b"".join(self.encode(texts[n].as_py()))
+        while True:
+            rest = texts if not alone else pc.if_else(pa.array([n not in alone for n in range(len(texts))]), texts, "")
+            split = pc.split_pattern(rest, " ")
+            begins = split.offsets.to_numpy().astype(np.int64)
+            coded = split.flatten().dictionary_encode()
+            which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            begins = begins - begins[0]
+            space_first = np.array([not w or w[0].isspace() for w in distinct], bool)
+            space_last = np.array([not w or w[-1].isspace() for w in distinct], bool)
+            odd_first, odd_last = space_first[which], space_last[which]
+            odd_first[begins[:-1]], odd_last[begins[1:] - 1] = False, False  # a text's own beginning and end are borders
+            if not (odd := np.flatnonzero(odd_first | odd_last)).size:
+                break
+            for n in np.unique(np.searchsorted(begins, odd, side="right") - 1).tolist():
+                alone[n] = b"".join(self.encode(texts[n].as_py()))
+        first = [alone[n] if n in alone else self.spaced(w, "") if w else b"" for n, w in enumerate(map(distinct.__getitem__, which[begins[:-1]].tolist()))]
+        used = np.ones(len(which), bool)
+        used[begins[:-1]] = False
+        after_space = np.zeros(len(distinct), bool)
+        after_space[which[used]] = True
+        packed = [self.known(w) if u else b"" for w, u in zip(distinct, after_space.tolist())]
+        entries = [*packed, *first, np.array([self.end], self.kind).tobytes()]
+        which[begins[:-1]] = len(packed) + np.arange(len(texts))
+        which = np.insert(which, begins[1:], len(entries) - 1)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(entries), self.kind)
+        own = sizes[which]
+        upto = np.cumsum(own)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - own), own)
+        at += np.arange(len(at))
+        last = begins[1:] + np.arange(len(texts))
+        return flat[at], np.diff(np.concatenate([[0], upto[last]]))
+
+    def known(self, word: str) -> bytes:
+        """The ids of a space and the word after it: of letters with marks behind them, those of both."""
+        if word.isalpha():
+            return self.stems.get(word) or self.spaced(word)
+        marked = MARKED.fullmatch(word)
+        if marked:
+            stem, marks = marked.groups()
+            return (self.stems.get(stem) or self.spaced(stem)) + (self.marks.get(marks) or self.after_letters(marks))
+        return self.stems.get(word) or self.spaced(word)
+
+    def after_letters(self, marks: str) -> bytes:
+        got = self.pieces([marks])[0]
+        if len(marks) <= CACHE_CHARS:
+            if len(self.marks) >= CACHE_WORDS:
+                self.marks.clear()
+            self.marks[marks] = got
+        return got
 
     def spaced(self, word: str, space: str = " ") -> bytes:
-        """The ids of a space and the word after it, or of a word after a line's end."""
-        key = word if space else "\n" + word  # no word begins with a line's end
-        got = self.stems.get(key)
-        if got is not None:
-            return got
-        got = self.older.get(key)
+        """The same of a word that isn't in the newer cache; without a space, of a word after a line's end, not kept."""
+        got = self.older.get(word) if space else None
         if got is None:
-            if word.isalpha():
-                if LATIN.fullmatch(word):  # one piece for the merges, without the split
-                    mapped = (space + word).encode().decode("latin-1").translate(self.letters)
-                    got = np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
-            elif marked := MARKED.fullmatch(word):
-                return self.spaced(marked[1], space) + self.spaced(marked[2], "")
+            if word.isalpha() and LATIN.fullmatch(word):  # one piece for the merges, without the split
+                mapped = (space + word).encode().decode("latin-1").translate(self.letters)
+                got = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
             elif "\n" in word and not DOUBLE.search(word):
                 first, *rest = word.split("\n")
-                return self.spaced(first, space) + b"".join([self.line_end + self.spaced(x, "") for x in rest])
-            if got is None:
-                got = self.pieces([space + word])[0]
-        if len(word) <= CACHE_CHARS:
+                parts = [self.known(first) if space else self.spaced(first, ""), *(self.line_end + self.spaced(x, "") for x in rest)]
+                return b"".join(parts)
+            else:
+                got = self.pieces([space + word])[0] if space or word else b""
+        if space and len(word) <= CACHE_CHARS:
             if len(self.stems) >= CACHE_WORDS:
                 self.older, self.stems = self.stems, {}
-            self.stems[key] = got
+            self.stems[word] = got
         return got
 
 
 _encoders: dict[int, LibraryEncoder] = {}
 
 
-def encoder(spec: str) -> LibraryEncoder:
+def encoder(spec: str, end: int) -> LibraryEncoder:
     """One a worker and vocabulary."""
     if (key := hash(spec)) not in _encoders:
         _encoders.clear()
         _encoders[key] = LibraryEncoder(spec)
+    _encoders[key].end = end
     return _encoders[key]
 
 
@@ -165,35 +216,36 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(spec.value)
+        encode = encoder(spec.value, end)
         system, path = _open(folder)
-        part, run_id = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        last = np.array([end], encode.kind).tobytes()
-        held, size, doc_ids, sizes, seq = [], 0, [], [], 0
+        part, run_id, seq = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # of each slice: document ids, lengths, ids
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), encode.kind)
-            null = np.array([d is None for d in doc_ids])
+            nonlocal held, seq
+            doc_ids, sizes, ids = (np.concatenate([h[i] for h in held]) if i else pa.concat_arrays([h[0] for h in held]) for i in range(3))
+            held, seq = [], seq + 1
             name = f"part-{part:06d}-{seq:05d}-{run_id}.wtok"
             system.create_dir(path, recursive=True)
             with system.open_output_stream(f"{path}/{name}") as out:
-                out.write(pack(ids, np.array([d or 0 for d in doc_ids], np.int64), null, np.array(sizes, np.int64)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(sizes)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["part", "seq", "file", "n_docs", "n_tokens"]
-            )
-
-        for batch in (x for b in batches for x in pieces_of(b, 1)):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                before = size
-                for ids in (*encode.encode(text.as_py() or ""), last):
-                    held.append(ids)
-                    size += len(ids) // encode.kind.itemsize
-                doc_ids.append(doc_id)
-                sizes.append(size - before)
-                if size >= shard_tokens:
+                out.write(pack(ids, doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), sizes))
+            values = ([part], [seq], [f"{folder}/{name}"], [len(sizes)], [len(ids)])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "seq", "file", "n_docs", "n_tokens"])
+
+        for batch in (x for b in batches for x in pieces_of(b, 1, SLICE)):
+            if not len(batch):
+                continue
+            ids, sizes = encode.encode_all(batch.column(1))
+            upto, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                room = shard_tokens - sum(len(h[2]) for h in held)
+                before = upto[at] - sizes[at]
+                to = min(int(np.searchsorted(upto, before + room)) + 1, len(sizes))
+                held.append((batch.column(0).slice(at, to - at), sizes[at:to], ids[before : upto[to - 1]]))
+                if upto[to - 1] - before >= room:
                     yield close()
-                    held, size, doc_ids, sizes, seq = [], 0, [], [], seq + 1
-        if sizes:
+                at = to
+        if held:
             yield close()
         encode.older = {}
         give_back()

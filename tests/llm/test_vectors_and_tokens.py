@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -147,6 +148,10 @@ def test_encoder_gives_what_the_library_gives():
     assert e.by_words
     for text in odd_texts():
         assert np.frombuffer(b"".join(e.encode(text)), e.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
+    for some in (odd_texts(), odd_texts()[:280], ["a b", "c  d", "e f"], [""]):
+        ids, sizes = e.encode_all(pa.array(some))
+        expected = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in some]
+        assert ids.tolist() == sum(expected, []) and sizes.tolist() == list(map(len, expected))
 
 
 def test_token_files(spark):
