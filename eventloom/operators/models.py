@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 
 def _linear(weights: np.ndarray, features: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for w, f in zip(weights[1:], features)], F.lit(float(weights[0])))
@@ -21,6 +23,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, ridge: float =
     The intercept isn't penalized; null features count as 0. Without rows, or with one label only, the answer is a
     smoothed base rate.
     """
+    df = kept(df.select(*dict.fromkeys([*features, label, *([weight] if weight else [])])), "model-rows")  # features are worked out once, not in each step
     x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
     size, own = len(x), F.col(weight) if weight else F.lit(1.0)
     y = F.col(label).cast("double")

@@ -71,23 +71,6 @@ def structured_features(spark, d):
     return table(spark, d, "documents").select("doc_id", roots.cast("long").alias("roots"), F.regexp_count("text", F.lit("[0-9]+%")).cast("long").alias("percents"), F.col("text").rlike("[0-9]+ (k|m|bn)").alias("scaled"), F.round(blend, 6).alias("blend"))
 
 
-@query("model_fit")
-def model_fit(spark, d):
-    """M2: L2 logistic weights of scaled text statistics, with group weights."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    sizes = x.groupBy("source").agg((1.0 / F.count(F.lit(1))).alias("w"))
-    names = ["n_chars", "digits", "words"]
-    x = x.join(sizes, "source").select(F.col("quality").cast("double").alias("y"), "w", "n_chars", F.regexp_count("text", F.lit("[0-9]")).alias("digits"), F.size(F.split("text", " ")).alias("words"))
-    v = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="skip").transform(x)
-    scaler = StandardScaler(withMean=False, withStd=True, inputCol="raw", outputCol="v").fit(v)
-    fit = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", regParam=0.1, standardization=False).fit(scaler.transform(v))
-    rows = [("intercept", float(fit.intercept), 1.0)] + [(n, float(c), float(s)) for n, c, s in zip(names, fit.coefficients, scaler.std)]
-    return spark.createDataFrame(rows, "feature string, coefficient double, scale double")
-
-
 @query("export_verify", "SELECT source, count(*) AS n, min(sha256(text)) AS low, max(sha256(text)) AS high, bit_xor(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)) AS fingerprint FROM documents GROUP BY source", base=False)
 def export_verify(spark, d):
     """Row counts and order-free digests that an export and its copy must share."""

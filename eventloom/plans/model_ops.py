@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import roc_auc
 from ..operators.models import check_partitions, fit_logistic, score_logistic, seal, unseal, walk_forward
+from ..operators.sparse_models import RowEncoder, TextEncoder, fit_sparse, group_weights, score_sparse
+from ..operators.trees import fit_trees
 from ..sources.fixtures import signals, table
+from ..sources.shared import kept as kept_table
 from .metric_ops import SCORED
 from .registry import query
 
@@ -80,3 +83,46 @@ def overlap_identities(spark, d):
     each = p.select("part", F.explode(F.map_from_arrays(F.array(*map(F.lit, ids)), F.array(*ids.values()))).alias("identity", "v"))
     found = each.groupBy("identity", "v").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     return found.groupBy("identity").agg(F.count_if(F.col("a") != F.col("b")).alias("shared"))
+
+
+def labelled(spark, d):
+    """Labelled documents with numbers (some missing), categories and a ternary label: 0 or 1 by quality, 2 where toxic."""
+    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    digits = F.regexp_count("text", F.lit("[0-9]"))
+    return x.select(
+        "doc_id", "text", "lang", "source", F.col("quality").alias("y"), F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("three"),
+        (F.col("n_chars") / 1000).alias("length"), F.when(digits > 0, digits).alias("digits"), F.regexp_count("text", F.lit("[!?]")).alias("marks"),
+    )
+
+
+@query("model_fit")
+def model_fit(spark, d):
+    """M2: coefficient and scale of every learned feature; groups (sources) count as one each, the intercept is penalized."""
+    x = kept_table(labelled(spark, d).drop("text"), "labelled")
+    encoder = RowEncoder(["length", "digits", "marks"], ["lang", "source"]).fit(x)
+    weights = fit_sparse(encoder.transform(group_weights(x, "source")), len(encoder.names), c=0.1, penalize_intercept=True, weight="w")[0]
+    scales = [*encoder.scales, *[1.0] * (len(encoder.names) - len(encoder.scales)), 1.0]
+    rows = [(n, round(float(w), 6), round(s, 6)) for n, w, s in zip([*encoder.names, "intercept"], weights, scales)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, scale double")
+
+
+@query("text_model")
+def text_model(spark, d):
+    """M6: every document's probabilities of three classes, from hashed words and pairs of words of the labelled ones."""
+    x = labelled(spark, d).select("doc_id", "text", "three")
+    encoder = TextEncoder(dims=1 << 14).fit(x, "text")
+    weights = fit_sparse(encoder.transform(x, "text"), encoder.dims, classes=3, c=1.0, label="three", tolerance=1e-3, rounds=40)
+    scored = score_sparse(encoder.transform(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text"), weights)
+    p = lambda k: F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}")
+    best = F.array_position("p", F.array_max("p")) - 1
+    return scored.select("doc_id", p(0), p(1), p(2), best.cast("int").alias("predicted"))
+
+
+@query("tree_model")
+def tree_model(spark, d):
+    """M6: every document's probability by boosted trees over numbers with gaps."""
+    x = labelled(spark, d)
+    model = fit_trees(x, ["length", "digits", "marks"], "y", trees=8, depth=3, rate=0.3, bins=16)
+    digits = F.regexp_count("text", F.lit("[0-9]"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("length"), F.when(digits > 0, digits).alias("digits"), F.regexp_count("text", F.lit("[!?]")).alias("marks"))
+    return docs.select("doc_id", F.round(model.probability(), 6).alias("p"))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import quote, unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,6 +18,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='eventloom-')).rstrip('/')}/eventloom/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as written to the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str):
     """The file system of a URI, as tasks see it, and the path in it."""
     from pyarrow import fs
