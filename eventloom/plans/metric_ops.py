@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.metrics import average_precision, bootstrap_means, roc_auc, wilson
+from ..operators.metrics import average_precision, bootstrap_means, rank_bootstrap, roc_auc, wilson
 from ..operators.running import running_sums
 from ..sources.fixtures import signals, table
 from .registry import query
@@ -185,6 +185,27 @@ def bootstrap_ci(spark, d):
     return r.agg(F.round(F.percentile("ratio", 0.025), 6).alias("low"), F.round(F.percentile("ratio", 0.975), 6).alias("high"), F.count("ratio").alias("n"))
 
 
+_M = " + ".join(f"(u >= {x})::INT" for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+
+
+@query("paired_rank_bootstrap", f"""WITH x AS (SELECT coalesce(d.source, '') AS c, l.quality AS y, (d.n_chars % 101) / CAST(100 AS DOUBLE) AS a, (d.n_chars % 89) / CAST(88 AS DOUBLE) AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+k AS (SELECT 'a' AS model, c, a AS s, sum(y) AS pos, count(*) AS n FROM x GROUP BY c, a UNION ALL SELECT 'b', c, b, sum(y), count(*) FROM x GROUP BY c, b),
+u AS (SELECT c, rep, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || '|' || c), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM (SELECT DISTINCT c FROM x), (SELECT unnest(range(200)) AS rep)),
+w AS (SELECT model, rep, s, sum(m * pos) AS pos, sum(m * n) AS n FROM k JOIN (SELECT c, rep, {_M} AS m FROM u) USING (c) WHERE m > 0 GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER (PARTITION BY model, rep ORDER BY s DESC) AS top, sum(pos) OVER (PARTITION BY model, rep ORDER BY s DESC) AS tp FROM w),
+q AS (SELECT rep, model, sum(pos) AS p, sum(n) AS n, (sum(pos * (below + (n + 1) / 2)) - sum(pos) * (sum(pos) + 1) / 2) / CAST(nullif(sum(pos) * (sum(n) - sum(pos)), 0) AS DOUBLE) AS auc, CASE WHEN sum(pos) BETWEEN 1 AND sum(n) - 1 THEN sum(pos * tp / CAST(top AS DOUBLE)) / sum(pos) END AS ap FROM r GROUP BY rep, model),
+d AS (SELECT a.auc - b.auc AS auc, a.ap - b.ap AS ap FROM q a JOIN q b ON a.rep = b.rep AND a.model = 'a' AND b.model = 'b')
+SELECT round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(quantile_cont(ap, 0.025), 6) AS ap_low, round(quantile_cont(ap, 0.975), 6) AS ap_high, count(auc) AS valid, 200 - count(auc) AS skipped FROM d""", base=False)
+def paired_rank_bootstrap(spark, d):
+    """Percentile intervals of the differences of two models' AUC and average precision over 200 draws of whole clusters."""
+    x = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    x = x.select("source", "quality", ((F.col("n_chars") % 101) / 100).alias("a"), ((F.col("n_chars") % 89) / 88).alias("b"))
+    r = rank_bootstrap(x, "source", "quality", ["a", "b"], 200)
+    r = r.select((F.col("auc_a") - F.col("auc_b")).alias("auc"), (F.col("ap_a") - F.col("ap_b")).alias("ap"))
+    ends = [F.round(F.percentile(c, share), 6).alias(f"{c}_{name}") for c in ("auc", "ap") for name, share in (("low", 0.025), ("high", 0.975))]
+    return r.agg(*ends, F.count("auc").alias("valid"), (200 - F.count("auc")).alias("skipped"))
+
+
 @query("router_quality", SCORED + " SELECT round(count(*) FILTER (p >= 0.5 AND y = 1) / CAST(nullif(count(*) FILTER (p >= 0.5), 0) AS DOUBLE), 6) AS precision, round(count(*) FILTER (p >= 0.5 AND y = 1) / CAST(nullif(count(*) FILTER (y = 1), 0) AS DOUBLE), 6) AS recall FROM x", base=False)
 def router_quality(spark, d):
     """A23."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.cluster import leader_clusters
 from ..operators.running import previous
+from ..operators.folds import monthly_folds
 from ..sources.fixtures import bars, signals, table
 from .registry import query
 
@@ -56,6 +57,23 @@ def walk_forward_folds(spark, d):
     return w.groupBy("fold").agg(F.count_if(t < F.col("edge") - F.expr("INTERVAL '72' HOUR")).alias("train"), F.count_if((t >= F.col("edge")) & (t < F.col("edge") + F.expr("INTERVAL '7' DAY"))).alias("test"))
 
 
+_MONTHS = ["2000-03", "2000-06", "2000-09", "2000-12"]
+
+
+@query("monthly_folds", f"""WITH f AS (SELECT m AS fold, CAST(m || '-01' AS TIMESTAMP) AS b FROM (SELECT unnest({_MONTHS}) AS m)),
+p AS (SELECT fold, o_orderkey, o_custkey, CASE WHEN o_orderdate >= b AND o_orderdate < b + INTERVAL 1 MONTH THEN 'test'
+  WHEN o_orderdate >= b - INTERVAL 2 MONTH AND o_orderdate < b - INTERVAL 72 HOUR AND o_orderdate + INTERVAL 10 DAY <= b - INTERVAL 72 HOUR THEN 'validation'
+  WHEN o_orderdate < b - INTERVAL 2 MONTH - INTERVAL 72 HOUR AND o_orderdate + INTERVAL 10 DAY <= b - INTERVAL 2 MONTH - INTERVAL 72 HOUR THEN 'train' END AS part FROM orders, f),
+v AS (SELECT * FROM p WHERE part = 'validation' AND NOT EXISTS (SELECT 1 FROM p t WHERE t.part = 'test' AND t.fold = p.fold AND t.o_custkey = p.o_custkey)),
+late AS (SELECT fold, o_custkey FROM p WHERE part = 'test' UNION SELECT fold, o_custkey FROM v)
+SELECT fold, part, o_orderkey FROM p WHERE part = 'test' UNION ALL SELECT fold, part, o_orderkey FROM v UNION ALL
+SELECT fold, part, o_orderkey FROM p WHERE part = 'train' AND NOT EXISTS (SELECT 1 FROM late WHERE late.fold = p.fold AND late.o_custkey = p.o_custkey)""", base=False)
+def monthly_folds_query(spark, d):
+    """Four monthly folds of orders with two months of validation; a customer is in one partition of a fold."""
+    o = table(spark, d, "orders").withColumn("known", F.col("o_orderdate") + F.expr("INTERVAL '10' DAY"))
+    return monthly_folds(o, "o_orderdate", "known", "o_custkey", _MONTHS).select("fold", "part", "o_orderkey")
+
+
 @query("check_unique", " SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", base=False)
 def check_unique(spark, d):
     """V3: keys that occur twice."""
