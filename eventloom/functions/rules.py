@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +27,11 @@ def alias_pattern(alias: str) -> str:
     return " ".join(form(w) for w in alias.lower().split())
 
 
-def named_in(text: Column, aliases: tuple[str, ...]) -> Column:
-    """Whether any alias stands in the text as whole words."""
-    return F.lower(text).rlike(f"(?:^|[^{LETTER}])(?:{'|'.join(map(alias_pattern, aliases))})(?:$|[^{LETTER}])")
+def named_in(lower: Column, aliases: tuple[str, ...]) -> Column:
+    """Whether any alias stands in a lower-case text as whole words; the pattern is only tried where its beginning is found."""
+    patterns = [alias_pattern(a) for a in aliases]
+    begins = reduce(lambda a, b: a | b, [lower.contains(p.partition("(?:")[0].replace("\\", "")) for p in patterns])
+    return begins & lower.rlike(f"(?:^|[^{LETTER}])(?:{'|'.join(patterns)})(?:$|[^{LETTER}])")
 
 
 @dataclass(frozen=True)
@@ -49,19 +50,27 @@ def mentions(title: Column, body: Column, instruments: list[Instrument], most: i
 
     A parent goes where its child is found as relevant; at most `most` stay.
     """
-    found = {}
-    for i in instruments:
-        hinted = reduce(lambda a, b: a | b, [F.lower(title).contains(h) for h in i.hints], F.lit(False))
-        inside = named_in(body, i.aliases)
-        found[i.ticker] = F.when(named_in(title, i.aliases), 0.96).when(hinted & inside, 0.84).when(inside, 0.78)
-    kept = []
-    for i in instruments:
-        own = found[i.ticker]
-        for child in (c for c in instruments if c.parent == i.ticker):
-            own = F.when(~F.coalesce(found[child.ticker] >= found[i.ticker], F.lit(False)), own)
-        kept.append(F.struct((-own).alias("order"), F.lit(i.ticker).alias("ticker"), own.alias("relevance")))
-    listed = F.filter(F.array(*kept), lambda x: x["relevance"].isNotNull())
-    return F.transform(F.slice(F.array_sort(listed), 1, most), lambda x: F.struct(x["ticker"].alias("ticker"), x["relevance"].alias("relevance")))
+    def hits(x: Column) -> Column:
+        """Of the two lower-case texts: for each instrument its relevance."""
+        out = []
+        for i in instruments:
+            hinted = reduce(lambda a, b: a | b, [x["title"].contains(h) for h in i.hints], F.lit(False))
+            out.append(F.when(named_in(x["title"], i.aliases), 0.96).when(named_in(x["body"], i.aliases), F.when(hinted, 0.84).otherwise(0.78)).alias(i.ticker))
+        return F.struct(*out)
+
+    def ranked(found: Column) -> Column:
+        kept = []
+        for i in instruments:
+            own = found[i.ticker]
+            for child in (c for c in instruments if c.parent == i.ticker):
+                own = F.when(~F.coalesce(found[child.ticker] >= found[i.ticker], F.lit(False)), own)
+            kept.append(F.struct((-own).alias("order"), F.lit(i.ticker).alias("ticker"), own.alias("relevance")))
+        listed = F.filter(F.array(*kept), lambda x: x["relevance"].isNotNull())
+        return F.transform(F.slice(F.array_sort(listed), 1, most), lambda x: F.struct(x["ticker"].alias("ticker"), x["relevance"].alias("relevance")))
+
+    # Bound variables, so that a text is put into lower case once and each name is looked for once.
+    texts = F.array(F.struct(F.lower(title).alias("title"), F.lower(body).alias("body")))
+    return F.get(F.transform(F.transform(texts, hits), ranked), F.lit(0))
 
 
 def first_rule(text: Column, rules: list[tuple[str, float, tuple[str, ...]]], other: tuple[str, float] = ("other", 0.35)) -> tuple[Column, Column]:
@@ -101,92 +110,82 @@ def facts(text: Column, most: int = 20) -> Column:
 
 
 @dataclass(frozen=True)
-class ClauseGrammar:
-    """What a clause may say of a financial metric. Words are stems or patterns of whole lower-case words."""
-
-    metrics: dict[str, int] = field(default_factory=lambda: {"profit": 1, "revenue": 1, "ebitda": 1, "margin": 1, "loss": -1, "cost": -1, "expense": -1, "debt": -1})
-    rises: str = r"gr[eo]w\w*|rose|ris(?:e|es|en|ing)|increas\w*|doubl\w*|higher|widened"
-    falls: str = r"fell|fall\w*|declin\w*|decreas\w*|shr[aiu]nk\w*|narrow\w*|lower|dropp?\w*"
-    nouns: tuple[str, ...] = ("growth", "fall", "decline", "increase", "decrease")
-    unsure: str = r"\b(?:not|no|if|may|might|could|expect\w*|forecast\w*|plan\w*|intend\w*|den(?:y|ies|ied)|without)\b"
-    opens_past: str = r"^(?:a year earlier|earlier|last year|in the previous)\b"
-    past: str = r"\b(?:last year|a year earlier|in the previous year)\b"
-    compares: str = r"\b(?:compared|against|than|from)\b"
-    amount: str = r"\d+(?:[.,]\d+)?\s*(?:%|k\b|mln\b|bln\b|usd\b|eur\b|times\b)"
-    clause_end: str = r"(?<!\d),(?!\d)|;|\b(?:and|but|however|while)\b"
-    barriers: tuple[str, ...] = ("with", "after", "amid", "thanks", "due")
-    pronouns: tuple[str, ...] = ("it", "they", "result", "figure")
-    booked: tuple[str, ...] = ("posted", "recorded", "suffered")
-    others_debt: str = r"\b(?:client\w*|borrower\w*|debtor\w*|wrote)\b"
-    surprise: str = r"\b(below|worse|above|better)\s+(?:\w+\s+){0,2}(?:expectation|forecast|consensus)\w*"
-    reach: int = 10
-
-
-def clause_effects(clause: str, g: ClauseGrammar) -> tuple[str, set[int]]:
-    """What one clause says: ("stop", _) for ambiguity, ("refused", effects) where a relation was no good, or ("", effects)."""
-    words = re.findall(r"[a-zа-яё]+|\d+(?:[.,]\d+)?", clause)
-    sign_at = {n: sign for n, w in enumerate(words) for stem, sign in g.metrics.items() if w.startswith(stem)}
-    moves = {n: 1 if re.fullmatch(g.rises, w) else -1 for n, w in enumerate(words) if re.fullmatch(f"{g.rises}|{g.falls}", w)}
-    amount = re.search(g.amount, clause)
-    if not sign_at:  # a pronoun may stand for a metric of another clause: unclear
-        return ("stop" if amount and moves and set(g.pronouns) & set(words) else ""), set()
-    if re.search(g.unsure, clause):
-        return "stop", set()
-    if not amount:
-        return "", set()
-    if any(words[n].startswith("debt") for n in sign_at) and re.search(g.others_debt, clause):
-        return "stop", set()
-    state, effects = "", set()
-    for at, sign in sign_at.items():
-        said = set()
-        for move, direction in moves.items():
-            between = range(min(at, move) + 1, max(at, move))
-            if len(between) >= g.reach or any(n in sign_at for n in between):
-                continue
-            if any(words[n] in g.barriers for n in between) or move > at and words[move].startswith(g.nouns):
-                state = "refused"  # another subject's change
-            else:
-                said.add(direction)
-        if len(said) > 1:
-            return "stop", set()
-        if said:
-            effects.add(sign * said.pop())
-        elif words[at].startswith("loss") and set(words[max(0, at - 6) : at]) & set(g.booked):
-            effects.add(-1)
-    return state, effects
-
-
-def financial_polarity(text: str, g: ClauseGrammar = ClauseGrammar()) -> float | None:
-    """1 or -1 where all clauses with a metric agree, 0 where they don't or can't be told, None where nothing is said."""
-    text = re.sub(r"\b(usd|eur|mln|bln)\.(?=\s)", r"\1", text.lower())
-    if not any(w.startswith(tuple(g.metrics)) for w in re.findall("[a-zа-яё]+", text)):
-        return None
-    hopes = {-1 if m in ("below", "worse") else 1 for m in re.findall(g.surprise, text)}
-    effects, refused = set(), False
-    for sentence in re.split(r"[.!?]+\s+|\n+", text):
-        sentence = sentence.strip()
-        if re.search(g.opens_past, sentence):
-            continue
-        if re.search(g.past, sentence) and not re.search(g.compares, sentence):
-            return 0.0
-        for clause in re.split(g.clause_end, sentence):
-            state, found = clause_effects(clause, g)
-            if state == "stop":
-                return 0.0
-            refused |= state == "refused"
-            effects |= found
-    if len(effects) > 1 or hopes and effects and effects != hopes or refused and not effects:
-        return 0.0
-    return float(effects.pop()) if effects else None
-
-
-def financial_polarity_column(text: Column, grammar: ClauseGrammar = ClauseGrammar()) -> Column:
-    """financial_polarity of a column, batch by batch."""
-    @F.pandas_udf("double")
-    def polarity(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: financial_polarity(t or "", grammar)).astype("float64")
-
-    return F.nanvl(polarity(text), F.lit(None).cast("double"))
+class ClauseTable:
+    """What clauses say of financial metrics, read from one letter a word.
+
+    Each word of a clause becomes the letter of the first class that it matches whole, others a dot; VERDICTS are then
+    patterns over these letters, tried in order. Both are plain regular expressions, so that any engine can repeat them.
+    """
+
+    #: Phrases that stand for an earlier year, joined to one word first.
+    year_ago: str = "a year earlier|last year|in the previous year"
+    clause_end: str = r"[.!?;]+[ \n]+|\n+|, | (?:and|but|however|while) "
+    word: str = r"[0-9]+(?:[.,][0-9]+)? ?(?:%|(?:k|mln|bln|usd|eur|times)(?:[^a-z]|$))|[0-9]+(?:[.,][0-9]+)?|[a-z]+"
+    classes: tuple[tuple[str, str], ...] = (
+        ("a", "[0-9].*[%a-z].*"), ("g", "(?:profit|revenue|ebitda|margin)[a-z]*"), ("l", "loss(?:es)?"), ("b", "(?:cost|expense)s?"), ("o", "client[a-z]*|borrower[a-z]*|debtor[a-z]*|wrote"), ("d", "debts?"),
+        ("n", "growth|increase"), ("u", "fall|decline|decrease|drop"), ("p", "grew|grown?|grows|growing|rose|risen?|rises|rising|increased|increases|increasing|doubled|doubles|higher|widen(?:ed|s)"),
+        ("m", "fell|falls|fallen|falling|declined|declines|declining|decreased|decreases|shrank|shrunk|shrinks|narrow(?:ed|s)|lower|dropped|drops"),
+        ("h", "not|no|if|may|might|could|expect[a-z]*|forecast[a-z]*|plan(?:s|ned)?|intend[a-z]*|den(?:y|ies|ied)|without"), ("r", "with|after|amid|thanks|due"), ("i", "it|they|result|figure"),
+        ("k", "posted|recorded|suffered"), ("q", "compared|against|than|from"), ("y", "yearago"),
+    )
+    surprise: tuple[tuple[str, str], ...] = (("+", "(?:above|better)"), ("-", "(?:below|worse)"))
+    expected: str = "(?: [a-z]+){0,3} (?:expectation|forecast|consensus)"
+
+    #: A clause that has none of these words' beginnings says nothing.
+    hint: str = "profit|revenue|ebitda|margin|loss|cost|expense|debt|(?:^|[^a-z])(?:it|they|result|figure)(?:[^a-z]|$)"
+
+
+#: A metric and a change that nothing but other words parts: metrics g (good), l, b, d (bad); changes p, m, and n, u as nouns before a metric.
+_PART = "[^glbdrpmnu]"
+_RISES = "(?:{0}" + _PART + "{{0,9}}p|p" + _PART + "{{0,9}}{0}|n" + _PART + "{{0,3}}{0})"
+_FALLS = "(?:{0}" + _PART + "{{0,9}}m|m" + _PART + "{{0,9}}{0}|u" + _PART + "{{0,3}}{0})"
+_GOOD, _BAD = (f"{_RISES.format('g')}|{_FALLS.format('[lbd]')}", f"{_FALLS.format('g')}|{_RISES.format('[lbd]')}")
+#: (letter, patterns that have to be found, patterns that must not be): the first row that holds is the clause's verdict; ? is unclear.
+VERDICTS = (
+    ("?", ("i", "[pm]", "a"), ("[glbd]",)),  # a pronoun may stand for a metric
+    ("", (), ("[glbd]",)),
+    ("", ("^y",), ()),  # history
+    ("?", ("h",), ()),
+    ("", (), ("a",)),
+    ("?", ("o", "d"), ()),  # someone else's debt
+    ("?", ("y",), ("q",)),  # a past change that nothing is compared with
+    ("=", (_GOOD,), (_BAD,)),
+    ("~", (_BAD,), (_GOOD,)),
+    ("?", (_GOOD,), ()),
+    ("~", ("k[^glbdr]{0,6}l",), ()),  # a loss that was booked
+    ("?", ("[glbd][^glbd]*[pmnu]",), ()),  # a change behind a barrier, or another subject's
+)
+
+
+def verdict(code: Column) -> Column:
+    """= for good, ~ for bad, ? for unclear, else nothing."""
+    out = F.lit("")
+    for letter, needs, lacks in reversed(VERDICTS):
+        out = F.when(reduce(lambda x, y: x & y, [*(code.rlike(n) for n in needs), *(~code.rlike(n) for n in lacks)]), letter).otherwise(out)
+    return out
+
+
+def financial_polarity(text: Column, table: ClauseTable = ClauseTable()) -> Column:
+    """1.0 or -1.0 where all clauses with a verdict agree, 0.0 where they don't or one is unclear, null where none has one."""
+
+    def letter(word: Column) -> Column:
+        out = F.lit(".")
+        for name, pattern in reversed(table.classes):
+            out = F.when(word.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+        return out
+
+    lower = F.regexp_replace(F.lower(text), table.year_ago, "yearago")
+    clauses = F.filter(F.split(lower, table.clause_end), lambda c: c.rlike(table.hint))
+    codes = F.transform(clauses, lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(table.word), F.lit(0)), letter), ""))
+    said = F.array_join(F.transform(codes, verdict), "")
+    hopes = F.concat(*[F.when(lower.rlike(f"{word}{table.expected}"), sign).otherwise("") for sign, word in table.surprise])
+
+    def weigh(x: Column) -> Column:
+        s, hoped = x["said"], x["hopes"]
+        clash = s.contains("?") | (s.contains("=") & (s.contains("~") | hoped.contains("-"))) | (s.contains("~") & hoped.contains("+"))
+        return F.when(clash, 0.0).when(s.contains("="), 1.0).when(s.contains("~"), -1.0)
+
+    return F.get(F.transform(F.array(F.struct(said.alias("said"), hopes.alias("hopes"))), weigh), F.lit(0))  # a bound variable: worked out once
 
 
 def canonical(token: Column, prefixes: list[tuple[str, str]]) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import MONEY, PERCENT, SENTENCE_END, Instrument, alias_pattern, canonical, facts, financial_polarity_column, first_rule, headline_and_publisher, mentions, tense, term_polarity
+from ..functions.rules import MONEY, PERCENT, SENTENCE_END, VERDICTS, ClauseTable, Instrument, alias_pattern, canonical, facts, financial_polarity as clause_polarity, first_rule, headline_and_publisher, mentions, tense, term_polarity
 from ..functions.text import tokens
 from ..sources.fixtures import table
 from .registry import query
@@ -19,7 +19,7 @@ TITLES = [
     "Alfa Steel: quarterly results — Newswire", "Steelmaker of the north reports", "Borneo Gas — update — markets.example.com", "Доля Северстали растёт", "Weekly market review",
     "Delta Retail Logistics opens a plant", "Regulator fines brokers - unknown voice", "Trading halt on the exchange!!", "Alfa Energo and Borneo Gas sign a merger deal",
 ]
-#: Bodies and what the clause grammar reads in them.
+#: Bodies and what the clause table reads in them alone.
 BODIES = [
     ("Net profit grew 12% to 3.4 bln usd.", 1), ("Net loss narrowed 30%.", 1), ("Costs rose 8% and revenue fell 5%.", -1), ("Profit grew 10% but debt rose 20%.", 0), ("Profit did not grow 5%.", 0),
     ("The group expects revenue growth of 15%.", 0), ("A year earlier profit fell 40%.", None), ("The board approves a 7% dividend.", None), ("The company posted a loss of 2,1 mln usd.", -1),
@@ -69,15 +69,27 @@ _facts_sql = "flatten(list_transform(regexp_split_to_array(text, '" + SENTENCE_E
     f"list_transform(regexp_extract_all(s, '{p}', 1), lambda v: {{kind: '{k}', value: replace(v, ',', '.'), quote: substring(trim(s), 1, 500)}})" for k, p in (("percentage", PERCENT), ("money", MONEY))
 ) + ")))[1:20]"
 
+_table = ClauseTable()
+_word = " ".join(f"WHEN regexp_matches(w, '^(?:{pattern})$') THEN '{name}'" for name, pattern in _table.classes)
+_verdict = " ".join(f"WHEN {' AND '.join([*(f'regexp_matches(k, {chr(39)}{n}{chr(39)})' for n in needs), *(f'NOT regexp_matches(k, {chr(39)}{n}{chr(39)})' for n in lacks)])} THEN '{letter}'" for letter, needs, lacks in VERDICTS)
+_clauses = f"list_filter(regexp_split_to_array(ly, '{_table.clause_end}'), lambda c: regexp_matches(c, '{_table.hint}'))"
+_codes = f"list_transform({_clauses}, lambda c: array_to_string(list_transform(regexp_extract_all(c, '{_table.word}'), lambda w: CASE {_word} ELSE '.' END), ''))"
+_hopes = " || ".join(f"CASE WHEN regexp_matches(ly, '{word}{_table.expected}') THEN '{sign}' ELSE '' END" for sign, word in _table.surprise)
+#: The clause table over whole texts, worked out again.
+_polarity_sql = f"""q0 AS (SELECT news_id, regexp_replace(lt, '{_table.year_ago}', 'yearago', 'g') AS ly FROM n1),
+q1 AS (SELECT news_id, {_hopes} AS hopes, array_to_string(list_transform({_codes}, lambda k: CASE {_verdict} ELSE '' END), '') AS said FROM q0),
+q2 AS (SELECT news_id, CASE WHEN contains(said, '?') OR contains(said, '=') AND (contains(said, '~') OR contains(hopes, '-')) OR contains(said, '~') AND contains(hopes, '+') THEN 0.0 WHEN contains(said, '=') THEN 1.0 WHEN contains(said, '~') THEN -1.0 END AS fp FROM q1)"""
+
 #: The analysed news for DuckDB.
 SQL = f"""WITH n0 AS (SELECT doc_id AS news_id, source, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 HOUR AS published_at, {_list(TITLES)}[1 + doc_id % {len(TITLES)}] AS title,
-  {_list([b for b, _ in BODIES])}[1 + (doc_id // 5) % {len(BODIES)}] || ' ' || {_list(NAMED)}[1 + (doc_id // 3) % {len(NAMED)}] AS body, [{', '.join('NULL' if p is None else f'{p}.0' for _, p in BODIES)}][1 + (doc_id // 5) % {len(BODIES)}] AS fp,
+  {_list([b for b, _ in BODIES])}[1 + (doc_id // 5) % {len(BODIES)}] || ' ' || {_list(NAMED)}[1 + (doc_id // 3) % {len(NAMED)}] AS body,
   coalesce(text, '') AS t FROM documents),
 n1 AS (SELECT *, title || '. ' || body || chr(10) || t AS text, lower(title) AS lti, lower(body || chr(10) || t) AS lb, lower(title || '. ' || body || chr(10) || t) AS lt FROM n0),
+{_polarity_sql},
 n2 AS (SELECT *, {', '.join(map(_found_sql, INSTRUMENTS))},
   CASE {' '.join(f"WHEN {_any('lt', terms)} THEN '{k}'" for k, _, terms in EVENTS)} ELSE 'other' END AS kind, CAST(CASE {' '.join(f"WHEN {_any('lt', terms)} THEN {w}" for _, w, terms in EVENTS)} ELSE 0.35 END AS DOUBLE) AS base,
   coalesce(({_count(POSITIVE)} - {_count(NEGATIVE)}) / CAST(nullif({_count(POSITIVE)} + {_count(NEGATIVE)}, 0) AS DOUBLE), 0) AS lexical,
-  CASE WHEN {_any('lt', FUTURE)} THEN 'future' WHEN {_any('lt', PAST)} THEN 'past' ELSE 'current' END AS tense, {_facts_sql} AS facts FROM n1),
+  CASE WHEN {_any('lt', FUTURE)} THEN 'future' WHEN {_any('lt', PAST)} THEN 'past' ELSE 'current' END AS tense, {_facts_sql} AS facts FROM n1 JOIN q2 USING (news_id)),
 an AS (SELECT *, list_sort(list_filter([{', '.join(map(_kept_sql, INSTRUMENTS))}], lambda x: x.relevance IS NOT NULL)) AS m, CAST(coalesce(fp, lexical) AS DOUBLE) AS pol,
   CAST(CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_QUALITY.items())} ELSE {QUALITY} END AS DOUBLE) AS srcq, 0.5 + 0.25 * (news_id % 3) AS novelty,
   contains(title, '!!') OR contains(lti, 'review') AS title_noise, len(regexp_extract_all(text, '%')) >= 5 AS recap FROM n2),
@@ -87,7 +99,7 @@ ax AS (SELECT *, least(CAST(1.0 AS DOUBLE), base + CASE WHEN len(facts) > 0 THEN
 
 
 def news(spark, d) -> DataFrame:
-    """news_id, source, published_at, title, body, lead (what the clause grammar reads) and text."""
+    """news_id, source, published_at, title, body, lead (the generated phrase) and text."""
     docs = table(spark, d, "documents")
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     n = F.col("doc_id")
@@ -97,55 +109,58 @@ def news(spark, d) -> DataFrame:
     return out.select("news_id", "source", "published_at", "title", "lead", "body", F.concat("title", F.lit(". "), "body").alias("text"))
 
 
-def analysed(spark, d) -> DataFrame:
-    """News with all that the rules say of them."""
+def analysed(spark, d, names: bool = True) -> DataFrame:
+    """News with all that the rules say of them; with names, also the instruments that they name (m).
+
+    Names come out of a generator of one row, which Spark doesn't inline, so that they are looked for once a text.
+    """
     x = news(spark, d)
+    if names:
+        x = x.select("*", F.explode(F.array(mentions(F.col("title"), F.col("body"), INSTRUMENTS))).alias("m"))
     lower = F.lower("text")
     kind, base = first_rule(lower, EVENTS)
     quality = F.lit(QUALITY)
     for source, q in SOURCE_QUALITY.items():
         quality = F.when(F.col("source") == source, q).otherwise(quality)
     x = x.select(
-        "*", mentions(F.col("title"), F.col("body"), INSTRUMENTS).alias("m"), kind.alias("kind"), base.alias("base"), term_polarity(lower, POSITIVE, NEGATIVE).alias("lexical"),
-        financial_polarity_column(F.concat("title", F.lit(". "), "lead")).alias("fp"), tense(lower, FUTURE, PAST).alias("tense"), facts(F.col("text")).alias("facts"), quality.alias("srcq"),
+        "*", kind.alias("kind"), base.alias("base"), term_polarity(lower, POSITIVE, NEGATIVE).alias("lexical"),
+        clause_polarity(F.col("text")).alias("fp"), tense(lower, FUTURE, PAST).alias("tense"), facts(F.col("text")).alias("facts"), quality.alias("srcq"),
         (0.5 + 0.25 * (F.col("news_id") % 3)).alias("novelty"), (F.col("title").contains("!!") | F.lower("title").contains("review")).alias("title_noise"), (F.regexp_count("text", F.lit("%")) >= 5).alias("recap"),
     ).withColumn("pol", F.coalesce("fp", "lexical"))
     extra = lambda c: F.when(c, 0.05).otherwise(0.0)
     materiality = F.least(F.lit(1.0), F.col("base") + extra(F.size("facts") > 0) + extra(F.abs("pol") >= 0.75))
-    return x.withColumns({
-        "materiality": materiality, "coverage": F.least(F.size("facts") / F.lit(3.0), F.lit(1.0)),
-        "named": (F.size("m") > 0) & (F.coalesce(F.get("m", F.lit(0))["relevance"], F.lit(0.0)) >= 0.9), "noise": F.col("title_noise") | F.col("recap"),
-    })
+    x = x.withColumns({"materiality": materiality, "coverage": F.least(F.size("facts") / F.lit(3.0), F.lit(1.0)), "noise": F.col("title_noise") | F.col("recap")})
+    return x.withColumn("named", (F.size("m") > 0) & (F.coalesce(F.get("m", F.lit(0))["relevance"], F.lit(0.0)) >= 0.9)) if names else x
 
 
 @query("event_type", SQL + "SELECT news_id, kind, base FROM an", base=False)
 def event_type(spark, d):
     """The first of ten ordered rules, with its base materiality."""
-    return analysed(spark, d).select("news_id", "kind", "base")
+    return analysed(spark, d, names=False).select("news_id", "kind", "base")
 
 
 @query("lexical_polarity", SQL + "SELECT news_id, round(lexical, 6) AS polarity FROM an", base=False)
 def lexical_polarity(spark, d):
     """X8."""
-    return analysed(spark, d).select("news_id", F.round("lexical", 6).alias("polarity"))
+    return analysed(spark, d, names=False).select("news_id", F.round("lexical", 6).alias("polarity"))
 
 
 @query("financial_polarity", SQL + "SELECT news_id, CAST(fp AS DOUBLE) AS polarity FROM an", base=False)
 def financial_polarity(spark, d):
-    """What clauses say of metrics; the SQL holds the known reading of each body."""
-    return analysed(spark, d).select("news_id", F.col("fp").alias("polarity"))
+    """What clauses say of metrics, over whole texts."""
+    return analysed(spark, d, names=False).select("news_id", F.col("fp").alias("polarity"))
 
 
 @query("temporal_status", SQL + "SELECT news_id, tense FROM an", base=False)
 def temporal_status(spark, d):
     """X11."""
-    return analysed(spark, d).select("news_id", "tense")
+    return analysed(spark, d, names=False).select("news_id", "tense")
 
 
 @query("extract_facts", SQL + "SELECT news_id, f.kind, f.value, f.quote FROM (SELECT news_id, unnest(facts) AS f FROM an)", base=False)
 def extract_facts(spark, d):
     """Percentages and money with their sentence, 20 at most (the rule's own bound)."""
-    return analysed(spark, d).select("news_id", F.explode("facts").alias("f")).select("news_id", "f.kind", "f.value", "f.quote")
+    return analysed(spark, d, names=False).select("news_id", F.explode("facts").alias("f")).select("news_id", "f.kind", "f.value", "f.quote")
 
 
 @query("instrument_mentions", SQL + "SELECT news_id, x.ticker AS instrument, x.relevance FROM (SELECT news_id, unnest(m) AS x FROM an)", base=False)
@@ -154,10 +169,10 @@ def instrument_mentions(spark, d):
     return analysed(spark, d).select("news_id", F.explode("m").alias("x")).select("news_id", F.col("x.ticker").alias("instrument"), "x.relevance")
 
 
-@query("canonical_tokens", SQL + f"SELECT news_id, array_to_string(list_sort(list_distinct(list_transform({TOKENS.format(x='title')}, lambda t: CASE {' '.join(f'WHEN starts_with(t, {chr(39)}{a}{chr(39)}) THEN {chr(39)}{b}{chr(39)}' for a, b in PREFIXES)} ELSE t END))), ' ') AS tokens FROM an", base=False)
+@query("canonical_tokens", SQL + f"SELECT news_id, array_to_string(list_sort(list_distinct(list_transform({TOKENS.format(x='text')}, lambda t: CASE {' '.join(f'WHEN starts_with(t, {chr(39)}{a}{chr(39)}) THEN {chr(39)}{b}{chr(39)}' for a, b in PREFIXES)} ELSE t END))), ' ') AS tokens FROM an", base=False)
 def canonical_tokens(spark, d):
-    """Title tokens under the names of the first prefix rule that holds."""
-    named = F.array_sort(F.array_distinct(F.transform(tokens(F.col("title")), lambda t: canonical(t, PREFIXES))))
+    """The tokens of title and text under the names of the first prefix rule that holds."""
+    named = F.array_sort(F.array_distinct(F.transform(tokens(F.col("text")), lambda t: canonical(t, PREFIXES))))
     return news(spark, d).select("news_id", F.array_join(named, " ").alias("tokens"))
 
 
@@ -175,7 +190,7 @@ def split_publisher(spark, d):
 @query("news_features", SQL + "SELECT news_id, kind, tense, len(facts) AS n_facts, round(pol, 6) AS polarity, round(materiality, 6) AS materiality FROM ax", base=False)
 def news_features(spark, d):
     """Type, tense, facts, polarity (of clauses, else of terms) and materiality."""
-    return analysed(spark, d).select("news_id", "kind", "tense", F.size("facts").cast("long").alias("n_facts"), F.round("pol", 6).alias("polarity"), F.round("materiality", 6).alias("materiality"))
+    return analysed(spark, d, names=False).select("news_id", "kind", "tense", F.size("facts").cast("long").alias("n_facts"), F.round("pol", 6).alias("polarity"), F.round("materiality", 6).alias("materiality"))
 
 
 WEIGHTS = {"semantic_effect": 0.55, "event_materiality": 0.20, "event_novelty": 0.10, "source_quality": 0.10, "fact_coverage": 0.05}
@@ -224,7 +239,7 @@ def exclusion_reason(spark, d):
 @query("noise_filter", SQL + "SELECT news_id, title_noise, recap, noise FROM ax", base=False)
 def noise_filter(spark, d):
     """F8: marks in the title, and bodies that are lists of percentages."""
-    return analysed(spark, d).select("news_id", "title_noise", "recap", "noise")
+    return analysed(spark, d, names=False).select("news_id", "title_noise", "recap", "noise")
 
 
 _gates = "len(m) > 0 AS company, kind <> 'other' AS event, abs(pol) >= 0.15 AS semantic"

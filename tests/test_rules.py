@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.rules import Instrument, alias_pattern, facts, financial_polarity, first_rule, headline_and_publisher, mentions, named_in, tense, term_polarity
 from eventloom.operators.asof import asof_goals
+from eventloom.plans.news_ops import BODIES
 
 
 @pytest.mark.parametrize(
@@ -17,13 +18,19 @@ from eventloom.operators.asof import asof_goals
         ("Profit stood at 5 mln usd, it rose 3%", 0), ("Profit rose 2,5 %; margin 3 usd.\nRevenue increased 4%", 1), ("", None), ("Nothing here", None), ("Profit rose 3% and fell 2%", 1),
     ],
 )
-def test_financial_polarity(text, answer):
-    assert financial_polarity(text) == answer
+def test_financial_polarity(spark, text, answer):
+    assert spark.createDataFrame([(text,)], "t string").select(financial_polarity(F.col("t"))).first()[0] == answer
+
+
+def test_readings_of_the_bodies(spark):
+    got = spark.createDataFrame([(n, b) for n, (b, _) in enumerate(BODIES)], "n int, t string").select("n", financial_polarity(F.col("t")).alias("p")).collect()
+    assert {r.n: r.p for r in got} == {n: p for n, (_, p) in enumerate(BODIES)}
+    assert spark.range(1).select(financial_polarity(F.lit(None).cast("string"))).first()[0] is None
 
 
 def test_names_in_their_cases(spark):
     rows = [("доля северстали растёт", True), ("о северсталью.", True), ("СЕВЕРСТАЛЬ", True), ("северсталькомплект", False), ("несеверсталь", False), ("", False)]
-    got = spark.createDataFrame(rows, "t string, y boolean").select("y", named_in(F.col("t"), ("Северсталь",)).alias("x")).collect()
+    got = spark.createDataFrame(rows, "t string, y boolean").select("y", named_in(F.lower("t"), ("Северсталь",)).alias("x")).collect()
     assert [r.x for r in got] == [r.y for r in got]
     assert alias_pattern("банк") == "банк"  # short words take no endings
 
