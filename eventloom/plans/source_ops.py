@@ -1,9 +1,7 @@
-"""Feeds, channel pages, rebuild graphs and file lineage as queries."""
+"""Feeds, channel pages and rebuild graphs as queries."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +56,6 @@ def rebuild(spark, d):
     return down.join(up, "node", "left_semi").where("node <> 1").select(F.col("node").alias("step"))
 
 
-@query("lineage_check")
-def lineage_check(spark, d):
-    """Each file of the folder with its length, its sha256 and the rows that a scan finds in it, as a manifest declares them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
-    names = [r.name for r in files.select("name").orderBy("name").collect()]  # one row a file of the folder
-    counts = [spark.read.parquet(f"{d}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
-    return files.join(reduce(DataFrame.unionByName, counts), "name")
-
-
 @query("src_jsonl", "SELECT event_id, user_id, value FROM events", base=False)
 def src_jsonl(spark, d):
     """Rows of JSON lines; a malformed line would fail the query."""
