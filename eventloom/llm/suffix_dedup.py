@@ -12,8 +12,12 @@ Equal strings have equal anchors at equal offsets, so all copies of a string mee
 3. Groups with several distinct regions are packed to shards. A shard's suffix array is built by induced sorting
    (suffix classes, leftmost-smaller substrings sorted recursively, then induced), its permuted common prefixes are
    computed, and starts whose common prefix with a neighbour reaches `length`, or whose region has copies, are repeated.
-4. A group of over GROUP_REGIONS distinct regions (a frequent short passage in ever new company) is not sent to one
-   shard: its strings are counted by content in a distributed aggregate instead, which finds the same starts.
+4. A group of over GROUP_REGIONS distinct regions (a frequent short passage in ever new company) is split before it is
+   sorted: the strings of its regions are dealt to ranges of the anchor's place in them, and those of a range meet by all
+   the bytes that they have in common around the anchor, so that they share almost a whole string instead of GRAM bytes.
+   What is too large still is split again, at most until strings meet by all their bytes; so no task holds a large group.
+
+Rows repeated whole count as one with a number of copies before all this, and share what is found.
 
 Induced sorting runs in whole-array steps: a scan stops only where a slot is still to be filled by what it has not
 read yet, so everything up to there is induced at once. Nulls: a null text is empty. Rows repeated whole repeat each
@@ -22,13 +26,14 @@ other. An empty table gives an empty table. Regions and rows are told apart by 6
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, materialize, pieces_of, release
+from .common import discard, free_names, give_back, materialize, pieces_of, release
 from .jaccard_join import mix, powers
 
 LENGTH, GRAM = 200, 32
@@ -36,6 +41,8 @@ SAMPLE_DOCS, HOT_ANCHORS, HOT_SALTS = 8_192, 10_000, 64
 #: Bytes of a shard, and the most distinct regions of a group (of some 300 bytes) that one task sorts.
 SHARD_BYTES, GROUP_REGIONS = 600_000, 4_096
 PIECE = 1 << 19
+#: Into how many ranges of the anchor's place a large group's strings are dealt.
+RANGES = 8
 U64 = np.uint64
 _letters = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -218,11 +225,11 @@ def spans_of(starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchored(text: bytes | np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Regions of joined documents: (document, first start, last start, anchor hash, region hash)."""
+    """Regions of joined documents: (document, first start, last start, anchor's place behind the first start, anchor hash, region hash)."""
     data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     n, width = len(data), length - GRAM + 1
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, U64)
     np.cumsum(_letters[data] * up[:n], out=sums[1:])
@@ -240,13 +247,13 @@ def anchored(text: bytes | np.ndarray, lengths: np.ndarray, length: int) -> tupl
     valid = doc[:starts] == doc[length - 1 :]
     at = np.flatnonzero(valid)
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     new = np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (doc[at][1:] != doc[at][:-1]) | (at[1:] != at[:-1] + 1)])
     first = at[new]
     last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     owner = doc[first]
     whole = mix((sums[last + length] - sums[first]) * down[first] + (last - first).astype(U64) * U64(0x9E3779B97F4A7C15) + (anchor[first] - first).astype(U64))
-    return owner, first - begins[owner], last - begins[owner], grams[anchor[first]].view(np.int64), whole.view(np.int64)
+    return owner, first - begins[owner], last - begins[owner], anchor[first] - first, grams[anchor[first]].view(np.int64), whole.view(np.int64)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group_regions: int = GROUP_REGIONS) -> DataFrame:
@@ -254,31 +261,98 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     A column of docs that is named like one of these two gives way to it.
     """
-    out = cut_repeats(docs, length, id_col, text_col, group_regions)
+    out, removed, kept = cut_repeats(docs, length, id_col, text_col, group_regions)
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "removed_spans", "kept")]
-    return out.select(*own, F.col("__removed").alias("removed_spans"), F.col("__kept").alias("kept"))
+    return out.select(*own, F.col(f"`{removed}`").alias("removed_spans"), F.col(f"`{kept}`").alias("kept"))
+
+
+def sorted_groups(groups: DataFrame, length: int) -> DataFrame:
+    """anchor, region and the spans of repeated strings of distinct regions (anchor, region, copies, bytes), sorted in shards of about SHARD_BYTES."""
+    import pyarrow as pa
+
+    total = groups.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_BYTES))
+
+    def sort_shard(table: pa.Table) -> pa.Table:
+        starts = repeated_starts(table["bytes"].to_pylist(), table["copies"].to_numpy(), length) if len(table) else []
+        give_back()
+        return pa.table({"anchor": table["anchor"], "region": table["region"], "spans": pa.array([spans_of(s, length) for s in starts], pa.list_(pa.int32()))})
+
+    dealt = groups.select("anchor", "region", "copies", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(sort_shard, "anchor long, region long, spans array<int>").where(F.size("spans") > 0)
 
 
-def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_regions: int, as_text: bool = False) -> DataFrame:
-    """The columns of docs, but for the text, with __removed and __kept: bytes, or a text without the rest of cut characters."""
+def repeated_in_groups(regions: DataFrame, length: int, group_regions: int, width: int | None = None) -> DataFrame:
+    """anchor, region and spans of distinct regions (anchor, region, copies, kinds, place, bytes) of groups of several.
+
+    width: how many places of the anchor the strings of a group may have; large groups are split to fewer.
+    """
     import pyarrow as pa
 
+    width = width or length - GRAM + 1
+    found = sorted_groups(regions.where(F.col("kinds") <= group_regions), length)
+    large = regions.where(F.col("kinds") > group_regions)
+    if large.isEmpty():
+        return found
+    step = -(-width // RANGES)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, region, copies, _, place, data in zip(*(c.to_pylist() for c in batch.columns)):
+                starts = len(data) - length + 1
+                # The string that starts at s has the anchor at place - s: ranges of that are ranges of s.
+                for low in range((place - starts + 1) // step * step, place + 1, step):
+                    first, last = max(0, place - low - step + 1), min(starts - 1, place - low)
+                    if first <= last:
+                        common = data[place - low : place - low - step + 1 + length]
+                        piece = data[first : last + length]
+                        group, kind = (int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=low.to_bytes(4, "little", signed=True)).digest(), "little", signed=True) for x in (common, piece + (place - first).to_bytes(4, "little", signed=True)))
+                        out.append((anchor, region, first, copies, group, kind, place - first, piece))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["anchor", "region", "shift", "copies", "part", "piece", "place", "bytes"])
+
+    pieces = materialize(
+        large.select("anchor", "region", "copies", "kinds", "place", "bytes").mapInArrow(split, "anchor long, region long, shift int, copies long, part long, piece long, place long, bytes binary"), "pieces"
+    )
+    distinct = pieces.groupBy(F.col("part").alias("anchor"), F.col("piece").alias("region")).agg(F.sum("copies").alias("copies"), F.any_value("place").alias("place"), F.any_value("bytes").alias("bytes"))
+    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    sized = materialize(distinct.join(groups, "anchor").select("anchor", "region", "copies", "kinds", "place", "bytes"), "parts")
+    alone = sized.where("kinds = 1 and copies > 1").select("anchor", "region", F.array(F.lit(0), F.octet_length("bytes")).alias("spans"))
+    rest = repeated_in_groups(sized.where("kinds > 1"), length, group_regions, step)
+    again = alone.unionByName(rest).select(F.col("anchor").alias("part"), F.col("region").alias("piece"), "spans")
+    moved = pieces.select("anchor", "region", "shift", "part", "piece").join(again, ["part", "piece"]).select("anchor", "region", F.transform("spans", lambda s: s + F.col("shift")).alias("own"))
+    return found.unionByName(moved.groupBy("anchor", "region").agg(F.flatten(F.collect_list("own")).alias("spans")))  # RANGES + 1 pieces a region
+
+
+def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_regions: int, as_text: bool = False) -> tuple[DataFrame, str, str]:
+    """The columns of docs, but for the text, with removed spans and what is kept (bytes, or a text without the rest of cut characters), and the names of these two."""
+    import pyarrow as pa
+
+    raw_name, key_name, spans_name, removed_name, kept_name, doc_key = free_names(docs.columns, "__raw", "__key", "__spans", "__removed", "__kept", "__doc_key")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__raw", raw.cast("binary")).withColumn("__key", F.xxhash64(F.col(id_col).cast("string"), "__raw"))
-    plain = keyed.select(F.col("__key").alias("key"), F.col("__raw").alias("text"))
-    kinds = "anchor long, region long, key long, first int, last int"
+    keyed = docs.withColumn(raw_name, raw.cast("binary")).withColumn(doc_key, F.xxhash64(F.col(id_col).cast("string"), raw_name))
+    plain = keyed.select(F.col(doc_key).alias("key"), F.col(raw_name).alias("text"), F.lit(1).cast("long").alias("n"))
+    kinds = "anchor long, region long, key long, first int, last int, place int, n long"
     spark = docs.sparkSession
+    # Rows repeated whole: one of each, with their number. Keys alone are counted; texts move only where there are such rows.
+    by_key = materialize(plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "rows-by-key")
+    rows, most = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > 1:
+        again = by_key.where("n > 1")
+        copies = plain.drop("n").join(again, "key").groupBy("key").agg(F.any_value("text").alias("text"), F.max("n").alias("n"))
+        plain = plain.join(again.select("key"), "key", "left_anti").select("key", "text", "n").unionByName(materialize(copies, "copied-rows"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some(texts: list[bytes], keys: np.ndarray, shift: int = 0) -> pa.RecordBatch:
-            owner, first, last, anchor, region = anchored(b"".join(texts), np.array([len(t) for t in texts]), length)
+        def some(texts: list[bytes], keys: np.ndarray, n: np.ndarray, shift: int = 0) -> pa.RecordBatch:
+            owner, first, last, place, anchor, region = anchored(b"".join(texts), np.array([len(t) for t in texts]), length)
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(region, pa.int64()), pa.array(keys[owner], pa.int64()), pa.array(first + shift, pa.int32()), pa.array(last + shift, pa.int32())],
-                names=["anchor", "region", "key", "first", "last"],
+                [pa.array(x, t) for x, t in ((anchor, pa.int64()), (region, pa.int64()), (keys[owner], pa.int64()), (first + shift, pa.int32()), (last + shift, pa.int32()), (place, pa.int32()), (n[owner], pa.int64()))],
+                names=["anchor", "region", "key", "first", "last", "place", "n"],
             )
 
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            keys, texts, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             at = 0
             while at < len(texts):
                 to, size = at, 0
@@ -286,11 +360,11 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
                     size += len(texts[to])
                     to += 1
                 if to > at:
-                    yield some(texts[at:to], keys[at:to])
+                    yield some(texts[at:to], keys[at:to], n[at:to])
                     at = to
                 else:  # a longer text, in pieces that overlap by all but one byte of a string
                     for begin in range(0, len(texts[at]) - length + 1, PIECE):
-                        yield some([texts[at][begin : begin + PIECE + length - 1]], keys[at : at + 1], begin)
+                        yield some([texts[at][begin : begin + PIECE + length - 1]], keys[at : at + 1], n[at : at + 1], begin)
                     at += 1
         give_back()
 
@@ -306,12 +380,11 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
                 alike[0] = True
                 if not held_used:
                     yield held
-            used = alike | np.concatenate([alike[1:], [False]]) | np.isin(anchor, frequent.value)
+            used = alike | np.concatenate([alike[1:], [False]]) | np.isin(anchor, frequent.value) | (batch.column(6).to_numpy() > 1)
             held, held_used = batch.slice(len(batch) - 1, 1), bool(used[-1])
             yield batch.filter(pa.array(used))
 
     # Anchors that are frequent in a bounded sample are in company, wherever their rows go: they are dealt to many tasks.
-    rows = plain.count()
     some = plain.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, rows // SAMPLE_DOCS))) == 0)
     often = some.mapInArrow(find, kinds).groupBy("anchor").count().where("count >= 8").orderBy(F.desc("count"), "anchor").limit(HOT_ANCHORS)
     frequent = spark.sparkContext.broadcast(np.array([r[0] for r in often.collect()], dtype=np.int64))  # HOT_ANCHORS at most
@@ -325,7 +398,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     dealt = found.repartition("anchor", "salt").drop("salt").sortWithinPartitions("anchor")
     active = materialize(dealt.mapInArrow(in_company, kinds), "regions")
     release(spark)
-    distinct = active.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "last")).alias("r"))
+    distinct = active.groupBy("anchor", "region").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "first", "last", "place")).alias("r"))
     distinct = materialize(distinct.select("anchor", "region", "copies", "r.*"), "distinct-regions")
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     sized = distinct.join(groups, "anchor")
@@ -334,7 +407,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     alone = sized.where("kinds = 1 and copies > 1").selectExpr("anchor", "region", f"array(0, last - first + {length}) spans")
 
     # 3. Groups of several: their texts, cut from the documents that hold them.
-    mixed = sized.where("kinds > 1").select("key", F.struct("anchor", "region", "copies", "first", "last", "kinds").alias("x"))
+    mixed = sized.where("kinds > 1").select("key", F.struct("anchor", "region", "copies", "first", "last", "place", "kinds").alias("x"))
     wanted = mixed.groupBy("key").agg(F.collect_list("x").alias("xs"))
     one = plain.join(wanted, "key")
 
@@ -343,66 +416,25 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
             rows, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             flat = [(x, t[x["first"] : x["last"] + length]) for xs, t in zip(rows, texts) for x in xs]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[c] for x, _ in flat], pa.int64()) for c in ("anchor", "region", "copies", "kinds")] + [pa.array([b for _, b in flat], pa.binary())],
-                names=["anchor", "region", "copies", "kinds", "bytes"],
+                [pa.array([x[c] for x, _ in flat], pa.int64()) for c in ("anchor", "region", "copies", "kinds", "place")] + [pa.array([b for _, b in flat], pa.binary())],
+                names=["anchor", "region", "copies", "kinds", "place", "bytes"],
             )
 
-    regions = one.select("text", "xs").mapInArrow(cut, "anchor long, region long, copies long, kinds long, bytes binary")
+    regions = one.select("text", "xs").mapInArrow(cut, "anchor long, region long, copies long, kinds long, place long, bytes binary")
     regions = materialize(regions, "region-bytes")
-    total = regions.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
-
-    def sort_shard(table: pa.Table) -> pa.Table:
-        anchor, region = table["anchor"].to_numpy(), table["region"].to_numpy()
-        order = np.lexsort([region, anchor])
-        keep = order[np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(region[order]) != 0)])] if len(order) else order
-        texts = table["bytes"].take(pa.array(keep)).to_pylist()
-        starts = repeated_starts(texts, table["copies"].to_numpy()[keep], length) if texts else []
-        give_back()
-        return pa.table({"anchor": pa.array(anchor[keep], pa.int64()), "region": pa.array(region[keep], pa.int64()), "spans": pa.array([spans_of(s, length) for s in starts], pa.list_(pa.int32()))})
-
-    few = regions.where(F.col("kinds") <= group_regions).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sorted_ = few.groupBy("shard").applyInArrow(sort_shard, "anchor long, region long, spans array<int>")
-
-    # 4. Groups too large for a shard: strings counted by content.
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            counts = np.array([len(t) - length + 1 for t in texts], np.int64)
-            if not len(texts):
-                continue
-            at = np.repeat(np.cumsum([0] + [len(t) for t in texts])[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            up, down = powers(len(data) + 1)
-            out = []
-            for letters in (_letters, mix(_letters)):
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(letters[data] * up[: len(data)])])
-                out.append(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))
-            repeat = lambda c: np.repeat(batch.column(c).to_numpy(), counts)
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(repeat(0)), pa.array(repeat(1)), pa.array(repeat(2)), pa.array(offset, pa.int32()), pa.array(out[0]), pa.array(out[1])],
-                names=["anchor", "region", "copies", "at", "s", "t"],
-            )
-
-    many = regions.where(F.col("kinds") > group_regions).select("anchor", "region", "copies", "bytes").dropDuplicates(["anchor", "region"])
-    listed = many.mapInArrow(strings, "anchor long, region long, copies long, at int, s long, t long")
-    twice = listed.groupBy("s", "t").agg(F.sum("copies").alias("c")).where("c > 1").select("s", "t")
-    hits = listed.join(twice, ["s", "t"]).groupBy("anchor", "region").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    counted = hits.select("anchor", "region", F.flatten(F.transform("ats", lambda a: F.array(a, a + length))).alias("spans"))
-
-    spans = alone.unionByName(sorted_.where(F.size("spans") > 0)).unionByName(counted)
+    found = repeated_in_groups(regions, length, group_regions)
+    spans = alone.unionByName(found)
     spans = materialize(spans, "spans")
     discard(distinct)
     discard(regions)
     release(spark)
     placed = active.join(spans, ["anchor", "region"]).select("key", F.transform("spans", lambda s: s + F.col("first")).alias("own"))
-    by_doc = placed.groupBy("key").agg(F.flatten(F.collect_list("own")).alias("__spans")).withColumnRenamed("key", "__key")
+    by_doc = placed.groupBy("key").agg(F.flatten(F.collect_list("own")).alias(spans_name)).withColumnRenamed("key", key_name)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces_of(b, b.schema.get_field_index("__raw"))):
+        for batch in (x for b in batches for x in pieces_of(b, b.schema.get_field_index(raw_name))):
             merged, kept = [], []
-            raws, own = batch.column(batch.schema.get_field_index("__raw")), batch.column(batch.schema.get_field_index("__spans"))
+            raws, own = batch.column(batch.schema.get_field_index(raw_name)), batch.column(batch.schema.get_field_index(spans_name))
             for n in range(len(batch)):
                 text, got = raws[n].as_py(), own[n].values
                 if got is None or not len(got):
@@ -417,21 +449,22 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
                 merged.append(np.stack([begin, end], 1).ravel().astype(np.int32))
                 edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            rest = [c for name, c in zip(batch.schema.names, batch.columns) if name not in ("__raw", "__spans", "__key")]
-            names = [name for name in batch.schema.names if name not in ("__raw", "__spans", "__key")]
+            rest = [c for name, c in zip(batch.schema.names, batch.columns) if name not in (raw_name, spans_name, key_name, doc_key)]
+            names = [name for name in batch.schema.names if name not in (raw_name, spans_name, key_name, doc_key)]
             del raws, own
             shown = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), shown], names=[*names, "__removed", "__kept"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(merged, pa.list_(pa.int32())), shown], names=[*names, removed_name, kept_name])
 
-    joined = keyed.drop(text_col).join(by_doc, "__key", "left")
+    joined = keyed.drop(text_col).join(by_doc, F.col(doc_key) == F.col(key_name), "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return joined.mapInArrow(merge, (fields + ", " if fields else "") + "__removed array<int>, __kept " + ("string" if as_text else "binary"))
+    out = joined.mapInArrow(merge, (fields + ", " if fields else "") + f"`{removed_name}` array<int>, `{kept_name}` " + ("string" if as_text else "binary"))
+    return out, removed_name, kept_name
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its columns, the text without what repeats; of a character that is cut, what is left goes too."""
-    left = cut_repeats(docs, length, id_col, text_col, GROUP_REGIONS, as_text=True)
-    return left.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    left, _, kept = cut_repeats(docs, length, id_col, text_col, GROUP_REGIONS, as_text=True)
+    return left.select(*[F.col(f"`{kept}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -220,3 +220,61 @@ def test_cells_that_cannot_win_never_meet(spark):
         best = sorted((-int(x @ y), i) for i, y in whole if i != q)[:20]
         expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert sorted(map(tuple, exact_top_k(df, cell_rows=60).collect())) == sorted(expected)
+
+
+def plain_removal(texts, length=200):
+    """Kept bytes of each text, by a table of all strings."""
+    from collections import defaultdict
+
+    seen = defaultdict(int)
+    for t in texts:
+        for s in range(len(t) - length + 1):
+            seen[t[s : s + length]] += 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - length + 1):
+            if seen[t[s : s + length]] > 1:
+                gone[s : s + length] = True
+        out.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
+    return out
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    """Passages of 40 to 230 bytes in ever new company: groups far over the limit, down to strings that meet by all their bytes."""
+    from eventloom.llm import suffix_dedup
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [word(n) for n in (40, 100, 150, 185, 198, 199, 200, 201, 230)]
+    texts = [word(rng.randint(0, 150)) + rng.choice(passages) + word(rng.randint(0, 150)) for _ in range(500)] + ["z" * 700, word(90) + "z" * 260]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = plain_removal([t.encode() for t in texts])
+    splits = []
+    inner = suffix_dedup.repeated_in_groups
+
+    def spied(regions, length, limit, width=None):
+        splits.append(width)
+        return inner(regions, length, limit, width)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_in_groups", spied)
+    got = {r.doc_id: bytes(r.kept) for r in remove_repeats(df, group_regions=3).select("doc_id", "kept").collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    assert len(splits) >= 4 and splits[-1] == 1
+
+
+def test_rows_repeated_whole(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, other, short = word(2500), word(600), "short"
+    base = spark.createDataFrame([(1, one), (2, other), (3, short), (4, word(20) + other[:300])], "doc_id long, text string")
+    many = base.where("doc_id <> 2 AND doc_id <> 4").crossJoin(spark.range(20_000).select()).unionByName(base.where("doc_id in (2, 4)")).repartition(5)
+    rows = remove_repeats(many).selectExpr("doc_id", "octet_length(kept) n").groupBy("doc_id", "n").count().collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 0, 20_000), (2, 300, 1), (3, 5, 20_000), (4, 20, 1)]
+
+
+@pytest.mark.parametrize("name", ["__raw", "__key", "__spans", "__removed", "__kept", "__doc_key", "__RAW"])
+def test_names_of_repeats_cannot_clash(spark, name):
+    df = spark.createDataFrame([(1, "x" * 500, 7), (2, "some text", 8)], f"doc_id long, text string, `{name}` int")
+    got = without_repeats(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "", 7), (2, "some text", 8)]
