@@ -44,6 +44,10 @@ MODIFIERS = {"has", "with", "no", "not", "is", "without", "hide", "show", "stick
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: How many features of what is around a word speak, the innermost; names of boilerplate parts always do. It bounds the work on pages nested without end.
+AROUND = 512
+#: What the words between two tags of a named part cost at most, in tags: they are removed, and the article may go on behind them.
+PART_TAGS = 4
 #: Weights of a tag; the first is used where no page is labelled.
 GRID = (-0.05, -0.2, -0.01, -0.5)
 #: Weight of a boilerplate feature before any page is seen, for how many pages that counts, and the bounds of a weight.
@@ -68,7 +72,7 @@ def prior(feature: str) -> float:
 
 def features_of(name: str, attributes: str) -> tuple[str, ...]:
     words = {w for m in ATTRIBUTE.finditer(attributes) for w in m[1].strip("\"'").lower().split()} if attributes else ()
-    return (f"tag:{name}", *(f"name:{w}" for w in sorted(words)[:8]))
+    return (f"tag:{name}", *(f"name:{w}" for w in sorted(words)))
 
 
 def segments(page: str) -> list[tuple[str, int, str, bool, tuple[tuple, tuple]]]:
@@ -130,14 +134,14 @@ def segments(page: str) -> list[tuple[str, int, str, bool, tuple[tuple, tuple]]]
             own = features_of("article-header" if name == "header" and inside else name, attributes)
             around, outer = stack[-1][1] if stack else ((), ())
             if name in ("article", "main"):
-                part, around, outer = None, (), (*outer, *around)[-24:]  # what holds the article says nothing of it
+                part, around, outer = None, (), (*outer, *around)[-AROUND:]  # what holds the article says nothing of it
             elif part is None and name not in ("html", "body"):
                 named = name in BOILERPLATE and not (name == "header" and inside) or any(is_name(f[5:]) for f in own[1:])
                 if named or attributes and HIDDEN.search(attributes):
                     part, part_at = len(parts), len(stack)
                     parts[part] = []
                     named_by[part] = own
-            stack.append((name, (around if name in ("html", "body") or set(own) <= set(around) else tuple(dict.fromkeys((*around, *own)))[-24:], outer)))
+            stack.append((name, (around if name in ("html", "body") or set(own) <= set(around) else tuple(dict.fromkeys((*around, *own)))[-AROUND:], outer)))
             held[name] = held.get(name, 0) + 1
             inside += name in ("article", "main")
     total = sum(n for _, n, _, _, _ in out)
@@ -180,11 +184,11 @@ class Weights:
 
 
 def score(line: list, weights: Weights) -> list[float]:
-    """Words of a named part score -1, or 0 within an <article> or <main>, which goes on after it."""
+    """Words of a named part score -1 each, but no more than PART_TAGS tags cost; 0 within an <article> or <main>, which goes on after it."""
     out = []
     for kind, n, _, _, around in line:
         if kind == "x":
-            out.append(0.0 if {"tag:article", "tag:main"} & set(around[0]) else -float(n))
+            out.append(0.0 if {"tag:article", "tag:main"} & set(around[0]) else max(-float(n), PART_TAGS * weights.tag))
         else:
             out.append(weights.tag if kind in "tb" else n * weights.word(around))
     return out

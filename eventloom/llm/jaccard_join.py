@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, materialize, pieces_of, release
+from .common import discard, free_names, give_back, materialize, pieces_of, release
 
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 16_384, 200_000
@@ -465,7 +465,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         out = pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(labels, pa.int64())})
         return out.group_by("node").aggregate([("label", "min")]).rename_columns(["node", "label"]) if len(out) else out
 
-    labelled = live.join(sets, "node").groupBy("pack").applyInArrow(label, "node long, label long")
+    labelled = live.join(sets.dropDuplicates(["node"]), "node").groupBy("pack").applyInArrow(label, "node long, label long")
     labelled = materialize(labelled, "labels")
     discard(live)
     discard(sets)
@@ -631,7 +631,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: that of least doc_id (rows repeated whole count as one)."""
-    first = jaccard_components(docs, id_col, text_col, words, percent).where("key = first_key").select(F.col("key").alias("__key"))
+    key, digest = free_names(docs.columns, "__key", "__sum")
+    first = jaccard_components(docs, id_col, text_col, words, percent).where("key = first_key").select(F.col("key").alias(key))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__sum", F.xxhash64(text.cast("binary"))).withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.col("__sum")))
-    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key", "__sum"]).drop("__key", "__sum")
+    keyed = docs.withColumn(digest, F.xxhash64(text.cast("binary"))).withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.col(digest)))
+    return keyed.join(first, key, "left_semi").dropDuplicates([key, digest]).drop(key, digest)

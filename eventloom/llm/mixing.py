@@ -62,14 +62,13 @@ def edf_period(parts: dict[str, int]) -> list[tuple[str, int, int, int]]:
 
 
 def phases(
-    blocks: dict[str, int], weights: dict[str, float], period: int = 0, place: Callable[[str, int, int, int, int], None] | None = None
+    blocks: dict[str, int], weights: dict[str, float], slot: int = 0, place: Callable[[str, int, int, int, int], None] | None = None
 ) -> list[dict]:
     """The phases, each up to the slot in which a source runs out: first slot, and by source its first block and parts.
 
-    Each block is handed to `place` as (source, block, slot, release, deadline). A phase is one cycle, however long:
-    `period` has no effect.
+    Each block is handed to `place` as (source, block, slot, release, deadline); slots count from `slot`.
     """
-    left, done, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    left, done, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
         first, at = {s: done[s] for s in left}, slot
         for s, k, release, deadline in edf({s: weights[s] for s in left}):
@@ -86,15 +85,17 @@ def phases(
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, block_rows: int | None, period: int) -> DataFrame:
-    """docs with the columns RESULTS under names of their own (__mix_...), which clash with none of the user's."""
+def placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, block_rows: int | None) -> DataFrame:
+    """__user, a struct of the columns of docs, with the columns RESULTS under names of their own (__mix_...): none can clash."""
     spark = docs.sparkSession
-    named = docs.withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__user"), F.col(id_col).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__mix_source"))
     counts = named.groupBy("__mix_source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a source
     rows = {r[0]: r[1] for r in counts}
     total = sum(rows.values())
     size = block_rows or max(BLOCK_ROWS, -(-total // PLAN_BLOCKS))
-    target = {s: float((weights or {}).get(s, 0) or (n**0.5 if not weights else n / max(1, total))) for s, n in rows.items()}
+    if bad := [s for s, w in (weights or {}).items() if not 0 <= w < float("inf")]:
+        raise ValueError(f"weights have to be finite and not negative: {bad}")
+    target = {s: float((weights or {}).get(s, n**0.5 if not weights else n / max(1, total))) for s, n in rows.items()}
     blocks = {s: -(-n // size) for s, n in rows.items()}
     # Literals, parsed by the JVM: nothing of the plan passes through Python workers.
     path, held = f"{shared_dir(spark)}/eventloom/mix-plan-{uuid.uuid4().hex}", []
@@ -110,14 +111,16 @@ def placed(docs: DataFrame, weights: dict[str, float] | None, source_col: str, i
         if len(held) >= PLAN_ROWS:
             write()
 
-    phases(blocks, target, period, place)
+    phases({s: n for s, n in blocks.items() if target[s]}, target, 0, place)
+    behind = {s: n for s, n in blocks.items() if not target[s]}  # a weight of 0: behind all others, in proportion to their rows
+    phases(behind, {s: float(rows[s]) for s in behind}, sum(blocks.values()) - sum(behind.values()), place)
     write()
     plan = spark.read.schema(kinds).parquet(path).toDF("__mix_s", "__mix_k", "__mix_slot", "__mix_release", "__mix_deadline")
     salts = spark.range(1).select(
         F.inline(F.from_json(F.lit(json.dumps([{"s": s, "c": n} for s, n in rows.items()])), "array<struct<s:string,c:long>>"))
     ).select(F.col("s").alias("__mix_source"), salts_for(F.col("c")).alias("__salts"))
     salted = named.join(F.broadcast(salts), "__mix_source")  # one row a source
-    indexed = gapless_index(salted, "__mix_source", "__salts", [id_col], "__mix_at").withColumn("__mix_block", F.floor(F.col("__mix_at") / F.lit(size)))
+    indexed = gapless_index(salted, "__mix_source", "__salts", ["__id"], "__mix_at").withColumn("__mix_block", F.floor(F.col("__mix_at") / F.lit(size)))
     met = indexed.join(plan, (F.col("__mix_source") == F.col("__mix_s")) & (F.col("__mix_block") == F.col("__mix_k")))
     return met.withColumn("__mix_position", F.col("__mix_slot") * F.lit(size) + F.col("__mix_at") % F.lit(size))
 
@@ -128,16 +131,16 @@ def pfair_mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int | None = None,
-    period: int = 1024,
 ) -> DataFrame:
     """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position.
 
     mix_slot is the slot of the row's block; mix_position sorts the rows. weights None: tempered, the square root of a
-    source's rows. block_rows None: BLOCK_ROWS, or as many more as keep the plan at PLAN_BLOCKS blocks. period has no
-    effect: a schedule doesn't repeat. A column of docs that is named like a result gives way to it.
+    source's rows. block_rows None: BLOCK_ROWS, or as many more as keep the plan at PLAN_BLOCKS blocks. A source that
+    weights don't name weighs its share of rows; one of weight 0 stands behind all others; a weight that is negative or not
+    finite is an error. A column of docs that is named like a result gives way to it.
     """
-    out = placed(docs, weights, source_col, id_col, block_rows, period)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    out = placed(docs, weights, source_col, id_col, block_rows)
+    own = [F.col(f"__user.`{c}`") for c in docs.columns if c not in RESULTS]
     return out.select(*own, *[F.col(f"__{c}").alias(c) for c in RESULTS])
 
 
@@ -145,8 +148,8 @@ def in_mixed_order(
     docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int | None = None
 ) -> DataFrame:
     """docs with its columns and all its rows, in the order of the mix: files and rows within them follow the position."""
-    mixed = placed(docs, weights, source_col, id_col, block_rows, 0)
-    return mixed.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = placed(docs, weights, source_col, id_col, block_rows)
+    return mixed.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select("__user.*")
 
 
 def with_file_position(docs: DataFrame, out: str = "mix_position") -> DataFrame:

@@ -140,7 +140,8 @@ def quality_scores(
     own = own.where(F.col("__y").isin(0, 1) & ~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__y").limit(fit_rows)
     source = (training_docs if training_docs is not None else docs).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     stats = statistics(F.col("__t"))
-    seen = source.join(F.broadcast(own), "__id").select("__y", *[c.alias(n) for n, c in stats.items()])  # at most fit_rows rows
+    seen = source.join(F.broadcast(own), "__id").select(F.xxhash64("__id").alias("__h"), "__y", *[c.alias(n) for n, c in stats.items()])
+    seen = seen.orderBy("__h", "__y", *stats).drop("__h").limit(fit_rows)  # ids may be repeated: at most fit_rows rows only now
     rows = np.array([tuple(r) for r in seen.collect()], dtype=float).reshape(-1, 1 + len(stats))
     rows = rows[np.lexsort(rows.T[::-1])]
     rules, intercept = fit_rules(rows[:, 1:], rows[:, 0].astype(int))

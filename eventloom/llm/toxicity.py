@@ -208,7 +208,9 @@ def fit_examples(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     lower = F.lower("__t")
     words = F.array_join(F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), F.lit(1)), " ")
     seen = text.where(F.char_length("__t") <= EXAMPLE_CHARS).join(small, "__id").select("__id", "__y", words.alias("w"))
-    rows = sorted((tuple(r) for r in seen.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
+    # Ids may be repeated: at most `examples` rows of a label only now.
+    bounded = [seen.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id", "w").limit(examples) for y in (0, 1)]
+    rows = sorted((tuple(r) for part in bounded for r in part.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
     return Examples([r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows], dtype=int))
 
 

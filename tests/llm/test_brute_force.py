@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from eventloom.llm.ann_multi_index import approximate_top_k
 from eventloom.llm.html_extract import Weights, best_region, learn_weights, main_text
+from eventloom.llm.jaccard_join import one_of_each_group
 from eventloom.llm.mixing import in_mixed_order, pfair_mix
-from eventloom.llm.quality_rules import compile_rules, fit_rules
+from eventloom.llm.quality_rules import compile_rules, fit_rules, quality_scores
 from eventloom.llm.sharding import lpt_shards
 from eventloom.llm.suffix_dedup import remove_repeats, without_repeats
 from eventloom.llm.topk_cover_tree import exact_top_k
-from eventloom.llm.toxicity import Examples, terms_of
+from eventloom.llm.toxicity import Examples, fit_examples, terms_of
 
 
 def test_nearest_examples_by_brute_cosine():
@@ -278,3 +279,46 @@ def test_names_of_repeats_cannot_clash(spark, name):
     df = spark.createDataFrame([(1, "x" * 500, 7), (2, "some text", 8)], f"doc_id long, text string, `{name}` int")
     got = without_repeats(df)
     assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "", 7), (2, "some text", 8)]
+
+
+@pytest.mark.parametrize("name", ["__start", "__rn", "__salt", "__salts", "__mix_at", "__mix_source", "__user", "__id", "__raw", "__key", "__spans", "__sum"])
+def test_names_cannot_clash_in_any_stage(spark, name):
+    df = spark.createDataFrame([(i, f"text number {i} with some words of its own {i * i}", "a" if i % 2 else "b", 7 * i) for i in range(9)], f"doc_id long, text string, source string, `{name}` int")
+    expected = sorted(map(tuple, df.collect()))
+    for stage in (in_mixed_order, without_repeats, one_of_each_group):
+        got = stage(df)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == expected, stage
+
+
+def test_weights_of_zero_and_worse(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(120)], "doc_id long, source string")
+    rows = pfair_mix(df, {"a": 1.0, "b": 0.0, "c": 3.0}, block_rows=4).collect()
+    assert len(rows) == 120 and sorted({r.mix_slot for r in rows}) == list(range(30))
+    assert min(r.mix_slot for r in rows if r.source == "b") == 20
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="not negative"):
+            pfair_mix(df, {"a": bad})
+
+
+def test_bounded_fits_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(3, f"some text {i}") for i in range(500)] + [(4, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3, 30)], "doc_id long, quality int, toxic int")
+    assert len(fit_examples(docs, labels, examples=2).ids) <= 4
+    assert quality_scores(docs, labels, fit_rows=1).count() == 501
+
+
+def page_of(middle):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    return f"<html><body><p>{words('a', 12)}</p>{middle}<p>{words('b', 11)}</p></body></html>", words("a", 12), words("b", 11)
+
+
+def test_article_goes_on_after_a_named_part():
+    html, first, last = page_of('<p class="notice">' + "note " * 11 + "</p>")
+    assert main_text(html, Weights()) == f"{first}\n{last}"
+    html, first, last = page_of('<div class="a b c d e f g h sidebar"><a href="x">' + "link " * 15 + "</a></div>")
+    assert "link" not in main_text(html, Weights())
+
+
+def test_deep_pages_end():
+    html = "<body>" + "".join(f'<div class="c{i}">' for i in range(3000)) + "<p>" + "word " * 40 + "</p>" + "</div>" * 3000
+    assert main_text(html, Weights()).split() == ["word"] * 40

@@ -179,9 +179,9 @@ def test_mixing_stays_within_a_block(docs, none):
             assert done[s] == k and release <= slot < deadline
             done[s] += 1
             assert all(abs(done[x] * total - (slot + 1) * parts[x]) < total for x in parts)
-    runs = phases({"a": 700, "b": 3, "c": 40}, {"a": 1.0, "b": 1.0, "c": 2.0}, 16)
+    runs = phases({"a": 700, "b": 3, "c": 40}, {"a": 1.0, "b": 1.0, "c": 2.0})
     assert sum(r["cycles"] * sum(r["parts"].values()) for r in runs) == 743
-    mixed = pfair_mix(docs, block_rows=2, period=16).collect()
+    mixed = pfair_mix(docs, block_rows=2).collect()
     assert len(mixed) == docs.count() and len({r.mix_position for r in mixed}) == len(mixed)
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in mixed)
     assert in_mixed_order(docs).columns == docs.columns and in_mixed_order(none).count() == 0
