@@ -113,9 +113,8 @@ class LibraryEncoder:
             coded = split.flatten().dictionary_encode()
             which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
             begins = begins - begins[0]
-            space_first = np.array([not w or w[0].isspace() for w in distinct], bool)
-            space_last = np.array([not w or w[-1].isspace() for w in distinct], bool)
-            odd_first, odd_last = space_first[which], space_last[which]
+            spaces = np.array([not w or w.strip() != w for w in distinct], bool)
+            odd_first, odd_last = spaces[which], spaces[which]
             odd_first[begins[:-1]], odd_last[begins[1:] - 1] = False, False  # a text's own beginning and end are borders
             if not (odd := np.flatnonzero(odd_first | odd_last)).size:
                 break
