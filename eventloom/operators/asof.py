@@ -56,7 +56,7 @@ def asof_goals(
     All goals go through one as-of pass, so the bars are laid out once; row_id is unique in left.
     """
     each = F.array(*[F.struct(F.lit(name).alias("goal"), F.col(time).alias("t"), F.lit(tolerance).alias("tolerance")) for name, (time, tolerance) in goals.items()])
-    rows = left.select(row_id, *on, F.explode(each).alias("g")).select(row_id, *on, "g.*")
+    rows = left.select(row_id, *on, F.explode(each).alias("g")).select(row_id, *on, "g.*").where("t IS NOT NULL")  # a goal without a time matches nothing
     hit = asof_join(rows, right, on, "t", right_time, value, "v", forward, strict)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     near = F.abs(micros("v_at") - micros("t")) <= F.col("tolerance").cast("long") * 1_000_000

@@ -106,33 +106,6 @@ def return_distribution(spark, d):
     return signals(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), p(0.5).alias("p50"), p(0.05).alias("p05"), p(0.95).alias("p95"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
-@query("cost_scenarios", ", c AS (SELECT unnest([0, 10, 25, 50]) AS bps) SELECT CAST(bps AS INTEGER) AS bps, round(avg(score - bps / CAST(100 AS DOUBLE)), 6) AS net, round(avg(score - bps / CAST(100 AS DOUBLE)) / stddev_samp(score - bps / CAST(100 AS DOUBLE)), 6) AS sharpe FROM sig, c GROUP BY bps")
-def cost_scenarios(spark, d):
-    """Net means and event Sharpe at four costs."""
-    c = signals(spark, d).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 25, 50))))).withColumn("net", F.col("score") - F.col("bps") / 100)
-    return c.groupBy("bps").agg(F.round(F.avg("net"), 6).alias("n"), F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")), 6).alias("sharpe")).withColumnRenamed("n", "net")
-
-
-@query("eval_summary", """, r AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'retrospective' ELSE 'live' END AS cohort FROM sig), e AS (SELECT r.* REPLACE (unnest([cohort, 'all']) AS cohort) FROM r)
-SELECT cohort, count(*) AS n, count(*) FILTER (direction = 'up') AS up, count(*) FILTER (direction = 'down') AS down, round(avg(score), 6) AS mean_score FROM e GROUP BY cohort""")
-def eval_summary(spark, d):
-    """A4: cohorts and all of them in one pass."""
-    r = signals(spark, d).withColumn("cohort", F.when(F.col("k") % 3 == 0, "retrospective").otherwise("live"))
-    e = r.withColumn("cohort", F.explode(F.array("cohort", F.lit("all"))))
-    return e.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("direction") == "up").alias("up"), F.count_if(F.col("direction") == "down").alias("down"), F.round(F.avg("score"), 6).alias("mean_score"))
-
-
-@query("eval_breakdowns", """, b AS (SELECT *, CASE WHEN confidence < 0.6 THEN '0.0' WHEN confidence < 0.7 THEN '0.6' WHEN confidence < 0.8 THEN '0.7' ELSE '0.8' END AS bucket FROM sig)
-SELECT 'direction' AS dimension, direction AS value, count(*) AS n, round(avg(score), 6) AS mean FROM b GROUP BY direction UNION ALL SELECT 'ticker', ticker, count(*), round(avg(score), 6) FROM b GROUP BY ticker
-UNION ALL SELECT 'confidence', bucket, count(*), round(avg(score), 6) FROM b GROUP BY bucket""")
-def eval_breakdowns(spark, d):
-    """A5: one pass over three dimensions."""
-    c = F.col("confidence")
-    bucket = F.when(c < 0.6, "0.0").when(c < 0.7, "0.6").when(c < 0.8, "0.7").otherwise("0.8")
-    dims = F.array(*[F.struct(F.lit(n).alias("dimension"), v.alias("value")) for n, v in (("direction", F.col("direction")), ("ticker", F.col("ticker")), ("confidence", bucket))])
-    return signals(spark, d).select("score", F.inline(dims)).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
-
-
 @query("eval_relationships", " SELECT ticker, CASE WHEN count(*) >= 3 AND count(DISTINCT k) >= 2 AND count(DISTINCT user_id) >= 2 THEN round(corr(k, user_id), 3) END AS r, CASE WHEN count(*) < 8 THEN 'insufficient' WHEN abs(corr(k, user_id)) < 0.2 THEN 'weak' WHEN abs(corr(k, user_id)) < 0.5 THEN 'moderate' ELSE 'strong' END AS strength FROM sig GROUP BY ticker")
 def eval_relationships(spark, d):
     """Guarded correlation and its reading."""

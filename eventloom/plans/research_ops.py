@@ -235,14 +235,6 @@ def signal_benchmark(spark, d):
     return hits(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), F.count_distinct("user_id").alias("groups"), F.round(F.avg("signed"), 6).alias("mean_signed"))
 
 
-@query("production_metrics", HITS + " SELECT arm, count(*) AS n, count(*) FILTER (ok) AS hits FROM (SELECT unnest(['model', 'always_up', 'always_down']) AS arm, unnest([hit, ret > 0, ret < 0]) AS ok FROM q) GROUP BY arm")
-def production_metrics(spark, d):
-    """The system beside its always-up and always-down controls, in one pass."""
-    arm = lambda name, ok: F.struct(F.lit(name).alias("arm"), ok.alias("ok"))
-    q = hits(spark, d).select(F.explode(F.array(arm("model", F.col("hit")), arm("always_up", F.col("ret") > 0), arm("always_down", F.col("ret") < 0))).alias("a"))
-    return q.groupBy("a.arm").agg(F.count(F.lit(1)).alias("n"), F.count_if("a.ok").alias("hits"))
-
-
 @query("rule_vs_model", HITS + " SELECT count(*) AS n, count(*) FILTER (hit AND (k >= 50) = (ret > 0)) AS both, count(*) FILTER (hit AND (k >= 50) <> (ret > 0)) AS model_only, count(*) FILTER (NOT hit AND (k >= 50) = (ret > 0)) AS rule_only FROM q")
 def rule_vs_model(spark, d):
     """Model and rule on the same rows."""

@@ -243,12 +243,6 @@ def source_bucket(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", (F.crc32(F.col("source").cast("binary")) % 5).cast("int").alias("bucket"), "n")
 
 
-@query("export_outcomes", " SELECT signal_id, ticker, direction, printf('%.1f', score) AS score_text FROM sig")
-def export_outcomes(spark, d):
-    """The flat projection that the CSV and JSON sinks write."""
-    return signals(spark, d).select("signal_id", "ticker", "direction", F.format_string("%.1f", "score").alias("score_text"))
-
-
 @query("stream_dedup", " SELECT DISTINCT user_id, event_type FROM events", base=False)
 def stream_dedup(spark, d):
     """ST3: the first row of each key (the streaming form is streaming.dedup)."""
