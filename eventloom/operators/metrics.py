@@ -15,7 +15,8 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     p, z2 = F.try_divide(successes.cast("double"), n.cast("double")), Z95 * Z95
     centre = (p + F.try_divide(F.lit(z2), 2 * n)) / (1 + F.try_divide(F.lit(z2), n))
     half = Z95 * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z2), 4 * n * n)) / (1 + F.try_divide(F.lit(z2), n))
-    return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
+    some = n > 0  # greatest and least would pass over a null
+    return F.when(some, F.greatest(centre - half, F.lit(0.0))), F.when(some, F.least(centre + half, F.lit(1.0)))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

@@ -61,8 +61,7 @@ def eligibility(signals: DataFrame, news: DataFrame, live_lag_s: int = 900) -> D
         "*", F.when(live, "live").otherwise("retrospective").alias("cohort"), F.greatest("known_at", "created_at").alias("live_decision_at"),
         F.when(replayed, F.greatest("known_at", "received_at")).otherwise(F.greatest("known_at", "created_at")).alias("decision_at"),
         F.when(replayed, "evidence_cutoff_replay").otherwise("live_decision").alias("evaluation_anchor"),
-        F.greatest(F.lit(0), _seconds("created_at", "known_at")).alias("processing_lag_seconds"),
-        F.greatest(F.lit(0), _seconds("received_at", "published_at")).alias("delivery_lag_seconds"),
+        *[F.when(lag.isNotNull(), F.greatest(F.lit(0), lag)).alias(f"{name}_lag_seconds") for name, lag in (("processing", _seconds("created_at", "known_at")), ("delivery", _seconds("received_at", "published_at")))],  # null of unknown times
     ).drop("found", "known_at")
 
 

@@ -117,9 +117,9 @@ _WIDE = [f"{_rfc(c)} AS {name}" for c, name in (("as_of", "signal_as_of"), ("cut
 _WIDE += [x for h in O.HORIZONS for x in (f"bp_{h} / CAST(100 AS DOUBLE) AS return_{h}_pct", f"{_rfc(f'seen_{h}_at')} AS observed_{h}_at", f"{_lag(f'seen_{h}_at', f'target_{h}')} AS observation_{h}_delay_seconds")]
 
 
-@query("export_outcomes", DONE + f""" SELECT signal_id, ticker, CASE WHEN reason IS NOT NULL AND news_id IS NOT NULL THEN 'evidence_cutoff_replay' ELSE 'live_decision' END AS evaluation_anchor, greatest(0, {_lag('created', 'known')}) AS processing_lag_seconds, '{METHOD}' AS evaluation_methodology,
+@query("export_outcomes", DONE + f""" SELECT signal_id, ticker, CASE WHEN reason IS NOT NULL AND news_id IS NOT NULL THEN 'evidence_cutoff_replay' ELSE 'live_decision' END AS evaluation_anchor, CASE WHEN created IS NOT NULL AND known IS NOT NULL THEN greatest(0, {_lag('created', 'known')}) END AS processing_lag_seconds, '{METHOD}' AS evaluation_methodology,
 reason IS NULL AS evaluation_eligible, reason AS exclusion_reason, cohort AS eligibility_cohort, direction, score, confidence, model_version, config_version, 'market' AS evaluation_benchmark, status, nid AS news_id, source_id AS news_source_id, url AS news_url,
-greatest(0, {_lag('received_at', 'published_at')}) AS delivery_lag_seconds, round(entry, 4) AS entry_price, {_lag('entry_at', 'decision_at')} AS entry_delay_seconds, round(latest, 4) AS latest_price, CAST(round((latest / entry - 1) * 10000) AS BIGINT) / CAST(100 AS DOUBLE) AS latest_return_pct,
+CASE WHEN news_id IS NOT NULL THEN greatest(0, {_lag('received_at', 'published_at')}) END AS delivery_lag_seconds, round(entry, 4) AS entry_price, {_lag('entry_at', 'decision_at')} AS entry_delay_seconds, round(latest, 4) AS latest_price, CAST(round((latest / entry - 1) * 10000) AS BIGINT) / CAST(100 AS DOUBLE) AS latest_return_pct,
 verdict, verdict_status, neutral_move_status, outcome_terminal, copies AS raw_observation_count, {', '.join(_WIDE)} FROM done""")
 def export_outcomes(spark, d):
     """The full flat row of an outcome, which the CSV and JSON sinks write."""

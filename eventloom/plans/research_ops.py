@@ -322,15 +322,6 @@ def window_stats(spark, d):
     return rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.round((F.try_divide(F.max("open"), F.min("open")) - 1) * 100, 6).alias("range_pct"))
 
 
-@query("assessments", " SELECT ticker, round(greatest(-40, least(40, (arg_max(open, (bars.at, bar_id)) / arg_min(open, (bars.at, bar_id)) - 1) * 100 * 0.55)), 4) AS price_factor, round(15 * greatest(-1, least(1, count(*) / CAST(2000 AS DOUBLE) - 1)), 4) AS volume_factor FROM bars GROUP BY ticker")
-def assessments(spark, d):
-    """Clipped price and volume factors by ticker."""
-    at = F.struct("at", "bar_id")
-    move = (F.try_divide(F.max_by("open", at), F.min_by("open", at)) - 1) * 100 * 0.55
-    clip = lambda x, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
-    return bars(spark, d).groupBy("ticker").agg(F.round(clip(move, -40, 40), 4).alias("price_factor"), F.round(15 * clip(F.count(F.lit(1)) / 2000 - 1, -1, 1), 4).alias("volume_factor"))
-
-
 @query("scenario_range", " SELECT signal_id, round(2.0 * sqrt(4 / CAST(24 AS DOUBLE)) * (1 - abs(score) / 200), 6) AS low, round(2.0 * sqrt(4 / CAST(24 AS DOUBLE)) * (1 + abs(score) / 200), 6) AS high FROM sig")
 def scenario_range(spark, d):
     """A range from volatility by the root of time and the strength of the score."""

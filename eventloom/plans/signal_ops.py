@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from zlib import crc32
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import previous
@@ -21,11 +21,21 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-@query("filter_signals", " SELECT signal_id, ticker, direction, confidence FROM sig WHERE ticker IN ('purchase', 'click') AND direction IN ('up', 'down') AND confidence >= 0.5 ORDER BY decision_at DESC, signal_id DESC LIMIT 1000")
+def expire(df: DataFrame, now: Column) -> DataFrame:
+    """df with active rows whose expires_at has come marked expired; other states, and rows without an expiry, stay."""
+    over = (F.col("status") == "active") & (F.col("expires_at") <= now)
+    return df.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
+
+
+@query("filter_signals", f""", f AS (SELECT *, CASE WHEN model = 2 THEN 'withdrawn' ELSE 'active' END AS stored, least(decision_at + k * INTERVAL 1 HOUR, decision_at + INTERVAL 3 DAY) AS expires_at FROM sig), e AS (SELECT *, CASE WHEN stored = 'active' AND expires_at <= {NOW} THEN 'expired' ELSE stored END AS status FROM f)
+SELECT signal_id, ticker, direction, confidence, status FROM e WHERE ticker IN ('purchase', 'click') AND direction IN ('up', 'down') AND confidence >= 0.5 AND status IN ('active', 'expired') ORDER BY decision_at DESC, signal_id DESC LIMIT 1000""")
 def filter_signals(spark, d):
-    """conjunctive filter, newest first, at most 1000."""
-    s = signals(spark, d).where(F.col("ticker").isin("purchase", "click") & F.col("direction").isin("up", "down") & (F.col("confidence") >= 0.5))
-    return s.orderBy(F.desc("decision_at"), F.desc("signal_id")).limit(1000).select("signal_id", "ticker", "direction", "confidence")
+    """expiry is rewritten first, then a conjunctive filter, newest first, at most 1000."""
+    s = signals(spark, d).withColumn("status", F.when(F.col("model") == 2, "withdrawn").otherwise("active"))
+    end = F.least(F.col("decision_at") + F.make_dt_interval(hours=F.col("k")), F.col("decision_at") + F.expr("INTERVAL '3' DAY"))
+    s = expire(s.withColumn("expires_at", end), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+    s = s.where(F.col("ticker").isin("purchase", "click") & F.col("direction").isin("up", "down") & (F.col("confidence") >= 0.5) & F.col("status").isin("active", "expired"))
+    return s.orderBy(F.desc("decision_at"), F.desc("signal_id")).limit(1000).select("signal_id", "ticker", "direction", "confidence", "status")
 
 
 @query("signal_freshness", f""", f AS (SELECT *, least(decision_at + k * INTERVAL 1 HOUR, decision_at + INTERVAL 3 DAY) AS expires_at FROM sig)

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import outcomes as O
+from eventloom.operators.metrics import wilson
+from eventloom.plans.signal_ops import expire
 
 T = dt.datetime(2024, 1, 1, 10)
 NOW = dt.datetime(2024, 1, 10)
@@ -67,6 +69,7 @@ def test_reasons_and_anchors(done):
     assert (done[7].decision_at, done[7].evaluation_anchor, done[7].entry_at) == (at(3), "evidence_cutoff_replay", at(minutes=245))
     assert (done[9].decision_at, done[9].evaluation_anchor, done[9].cohort) == (at(), "live_decision", "retrospective")
     assert (done[11].decision_at, done[11].live_decision_at, done[11].processing_lag_seconds) == (at(), at(minutes=16), 960)
+    assert (done[9].delivery_lag_seconds, done[9].processing_lag_seconds, done[12].processing_lag_seconds, done[17].processing_lag_seconds) == (None, 0, 0, None)
     assert (done[1].cohort, done[1].delivery_lag_seconds, done[10].raw_observation_count) == ("live", 1800, 1)
 
 
@@ -106,3 +109,15 @@ def test_reports(spark):
     lines = {(r.dimension, r.value): (r.signals, r.observations) for r in O.breakdowns(d).collect()}
     assert (lines["horizon", "4h"], lines["horizon", "1d"], lines["direction", "neutral"], lines["ticker", "B"], lines["confidence", "70-80%"]) == ((5, 3), (5, 0), (1, 0), (2, 1), (5, 3))
     assert len(O.export_columns(d, "market", "x").columns) == 48
+
+
+def test_interval_of_nothing_is_null(spark):
+    low, high = wilson(F.col("k"), F.col("n"))
+    got = spark.createDataFrame([(0, 0), (0, 4), (4, 4)], "k long, n long").select(low, high).collect()
+    assert [r[0] is None for r in got] == [True, False, False] and got[0][1] is None and got[1][0] == 0.0 and got[2][1] == 1.0
+
+
+def test_expiry_is_rewritten(spark):
+    rows = [(1, "active", at(1)), (2, "active", at(3)), (3, "withdrawn", at(1)), (4, "active", None), (5, "active", at(2)), (6, None, at(1))]
+    df = expire(spark.createDataFrame(rows, "id long, status string, expires_at timestamp_ntz"), F.lit(at(2)).cast("timestamp_ntz"))
+    assert {r.id: r.status for r in df.collect()} == {1: "expired", 2: "active", 3: "withdrawn", 4: "active", 5: "expired", 6: None}
