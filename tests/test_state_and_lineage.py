@@ -2,12 +2,14 @@
 
 import hashlib
 import os
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from eventloom.sources.lineage import describe_files, verify_files
-from eventloom.streaming.evaluation import ROCKS, evaluate_signals
+from eventloom.streaming.evaluation import ROCKS, Evaluation, evaluate_signals
 from eventloom.streaming.upserts import PART, merge_into, read_upserted, upsert_sink
 
 
@@ -51,6 +53,66 @@ def test_one_final_row_a_signal(spark, tmp_path):
     ]
 
 
+class Handle:
+    """State of one key, and how often it is called."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getMapState(self, name, *_):
+        return Held(self)
+
+    getValueState = getMapState
+
+
+class Held:
+    def __init__(self, handle):
+        self.handle, self.value, self.map = handle, None, {}
+
+    def call(self, do):
+        self.handle.calls += 1
+        return do()
+
+    def get(self):
+        return self.call(lambda: self.value)
+
+    def update(self, value):
+        self.call(lambda: setattr(self, "value", value))
+
+    def clear(self):
+        self.call(lambda: setattr(self, "value", None))
+
+    def iterator(self):
+        return self.call(lambda: iter(list(self.map.items())))
+
+    def updateValue(self, k, v):
+        self.call(lambda: self.map.__setitem__(k, v))
+
+    def removeKey(self, k):
+        self.call(lambda: self.map.pop(k, None))
+
+
+def test_calls_to_state_dont_grow_with_the_rows_of_a_key():
+    handle, e = Handle(), Evaluation(1_200_000_000)
+    e.init(handle)
+    minute = 60_000_000
+    rows = [Row(id=None, at=n * minute + 1, price=float(n)) for n in range(80)] + [Row(id=n, at=n * minute // 10, price=None) for n in range(600)]
+    list(e.handleInputRows(("a", 0), iter(rows[:300]), None))
+    list(e.handleInputRows(("a", 0), iter(rows[300:]), None))
+    out = []
+    for mark in (40 * minute // 1000, 200 * minute // 1000):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)  # noqa: B023
+        for t in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.remove(t)
+            out += e.handleExpiredTimer(("a", 0), now, SimpleNamespace(getExpiryTimeInMs=lambda: t))  # noqa: B023
+    assert sorted((r.signal_id, r.observed_us, r.price) for r in out) == [(n, -(-(n * minute // 10 - 1) // minute) * minute + 1 if n else 1, float(-(-(n * minute // 10 - 1) // minute)) if n else 0.0) for n in range(600)]
+    assert handle.calls < 40 and all(s.value is None for s in (e.signals, e.bars)) and not handle.timers
+
+
 def test_a_merge_touches_its_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")
