@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.asof import asof_join
 from ..operators.metrics import roc_auc, wilson
 from ..operators.running import running_sums
+from ..operators.windows import window_aggregates
 from ..sources.fixtures import bars, benchmark_bars, signals, table
 from .gate_ops import hours, minutes, now
 from .market import ENTRY, TARGET, change, entries, horizon, pct
@@ -315,11 +316,10 @@ def risk_beta(spark, d):
 
 @query("window_stats", " SELECT s.signal_id, count(*) AS n, round((max(b.open) / min(b.open) - 1) * 100, 6) AS range_pct FROM sig s JOIN bars b ON s.ticker = b.ticker AND b.at <= s.decision_at AND b.at > s.decision_at - INTERVAL 30 MINUTE GROUP BY s.signal_id")
 def window_stats(spark, d):
-    """Bars of the half hour before; both sides meet on ticker and half-hour slot, so fan-out stays near the window."""
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 1800)
-    s = signals(spark, d).select("signal_id", "ticker", "decision_at", F.explode(F.array(slot("decision_at"), slot("decision_at") - 1)).alias("slot"))
-    rows = s.join(bars(spark, d).withColumn("slot", slot("at")), ["ticker", "slot"]).where((F.col("at") <= F.col("decision_at")) & (F.col("at") > F.col("decision_at") - minutes(30)))
-    return rows.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.round((F.try_divide(F.max("open"), F.min("open")) - 1) * 100, 6).alias("range_pct"))
+    """Bars of the half hour before."""
+    s = signals(spark, d).select("signal_id", "ticker", (F.col("decision_at") - minutes(30)).alias("since"))
+    r = window_aggregates(s, "signal_id", bars(spark, d), ["ticker"], "since", 1800, "at", {"low": F.col("open")}, {"high": F.col("open")}, strict=True)
+    return r.select("signal_id", "n", F.round((F.try_divide(F.col("high"), F.col("low")) - 1) * 100, 6).alias("range_pct"))
 
 
 @query("scenario_range", " SELECT signal_id, round(2.0 * sqrt(4 / CAST(24 AS DOUBLE)) * (1 - abs(score) / 200), 6) AS low, round(2.0 * sqrt(4 / CAST(24 AS DOUBLE)) * (1 + abs(score) / 200), 6) AS high FROM sig")

@@ -37,3 +37,7 @@ def test_windows_hold_what_all_pairs_hold(spark, strict):
 
 def test_event_window_rows_meets_no_pairs(spark):
     assert joins(plans.queries()["event_window_rows"](spark, SF)) == joins(entries(spark, SF))
+
+
+def test_window_stats_meets_no_pairs(spark):
+    assert joins(plans.queries()["window_stats"](spark, SF)) == 0
