@@ -139,13 +139,10 @@ def check_benchmark_only(spark, d):
 @query("check_reconcile", H4 + """, g AS (SELECT h.signal_id, arg_min(b.open, b.at) AS again FROM h JOIN bars b ON h.ticker = b.ticker AND b.at >= h.entry_at + INTERVAL 4 HOUR AND b.at <= h.entry_at + INTERVAL 4 HOUR + INTERVAL 20 MINUTE GROUP BY 1)
 SELECT count(*) AS n, count(target) AS labelled, count(*) FILTER (target IS DISTINCT FROM again) AS differing FROM h LEFT JOIN g ON h.signal_id = g.signal_id""")
 def check_reconcile(spark, d):
-    """V9: labels built again by another way (all bars of the window, the first taken) against those of the as-of join."""
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 1200)
+    """V9: labels built again by another way (the first of all bars of the window) against those of the as-of join."""
     h = horizon(entries(spark, d), spark, d, 4, "target").select("signal_id", "ticker", "goal", "target")
-    goals = h.select("signal_id", "ticker", "goal", F.explode(F.array(slot("goal"), slot("goal") + 1)).alias("slot"))
-    rows = goals.join(bars(spark, d).withColumn("slot", slot("at")), ["ticker", "slot"]).where((F.col("at") >= F.col("goal")) & (F.col("at") <= F.col("goal") + minutes(20)))
-    again = rows.groupBy("signal_id").agg(F.min_by("open", "at").alias("again"))
-    both = h.join(again, "signal_id", "left")
+    first = window_aggregates(h, "signal_id", bars(spark, d), ["ticker"], "goal", 1200, "at", {"first": F.struct("at", "open")})
+    both = h.join(first.select("signal_id", F.col("first.open").alias("again")), "signal_id", "left")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"), F.count_if(~F.col("target").eqNullSafe(F.col("again"))).alias("differing"))
 
 

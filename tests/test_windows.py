@@ -41,3 +41,7 @@ def test_event_window_rows_meets_no_pairs(spark):
 
 def test_window_stats_meets_no_pairs(spark):
     assert joins(plans.queries()["window_stats"](spark, SF)) == 0
+
+
+def test_check_reconcile_meets_no_pairs(spark):
+    assert joins(plans.queries()["check_reconcile"](spark, SF)) == joins(horizon(entries(spark, SF), spark, SF, 4, "target")) + 1
