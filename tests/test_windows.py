@@ -44,4 +44,4 @@ def test_window_stats_meets_no_pairs(spark):
 
 
 def test_check_reconcile_meets_no_pairs(spark):
-    assert joins(plans.queries()["check_reconcile"](spark, SF)) == joins(horizon(entries(spark, SF), spark, SF, 4, "target")) + 1
+    assert joins(plans.queries()["check_reconcile"](spark, SF)) == 2 * joins(horizon(entries(spark, SF), spark, SF, 4, "target")) + 1  # the labels, those again for their windows, and both together
