@@ -90,3 +90,10 @@ def test_logistic_sums_equal_plain_newton(spark):
             unseal(broken)
     with pytest.raises(ValueError):
         unseal(text, ["b"])
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_asof_null_keys_match_nothing(spark, forward):
+    left = spark.createDataFrame([(1, None, T0), (2, "a", T0)], "id int, k string, t timestamp_ntz")
+    right = spark.createDataFrame([(None, T0, 1.0), ("a", T0, 2.0)], "k string, at timestamp_ntz, v double")
+    assert {r["id"]: r["hit"] for r in asof_join(left, right, ["k"], "t", "at", "v", "hit", forward).collect()} == {1: None, 2: 2.0}
