@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators.asof import asof_goals
+from ..operators.asof import asof_goals, goal_values
 from ..operators.metrics import wilson
 from ..operators.running import running_sums
 from ..sources.fixtures import bars, benchmark_bars, signals, table
+from ..sources.shared import kept
 from .gate_ops import hours, minutes
 from .market import ENTRY, TARGET, change, entries, horizon
 from .metric_ops import SCORED, scored
@@ -87,15 +88,20 @@ def daily_risk(spark, d) -> DataFrame:
 def feature_rows(spark, d) -> DataFrame:
     """C3 of every signal: momentum, benchmark, risk, time, and the first reaction."""
     x = signals(spark, d).withColumnRenamed("decision_at", "published_at").withColumn("cut", F.col("published_at") + minutes(5))
-    own, index = bars(spark, d), benchmark_bars(spark, d)
-    stock = lambda df, goals, **o: asof_goals(df, "signal_id", own, ["ticker"], "at", "open", goals, **o)
-    market = lambda df, goals, **o: asof_goals(df, "signal_id", index, [], "at", "open", goals, **o)
-    x = stock(x, {"cs": ("cut", 1200)}, forward=False, strict=True)
-    x = market(x, {"cb": ("cut", 1200)}, forward=False, strict=True)
-    x = x.withColumns({"t1": F.col("cs_at") - hours(1), "t2": F.col("cs_at") - F.expr("INTERVAL '1' DAY"), "t3": F.col("cs_at") - F.expr("INTERVAL '5' DAY"), "t4": F.col("cb_at") - hours(1)})
-    x = stock(x, {"h1": ("t1", 1200), "d1": ("t2", 345_600), "d5": ("t3", 345_600), "sl": ("cut", 1200)}, forward=False)
-    x = market(x, {"b1": ("t4", 1200), "bl": ("cut", 1200)}, forward=False)
-    x = market(stock(x, {"sf": ("published_at", 1200)}), {"bf": ("published_at", 1200)})
+    own, index = bars(spark, d), kept(benchmark_bars(spark, d), "benchmark")
+    stock = lambda df, goals, **o: goal_values(df, "signal_id", own, ["ticker"], "at", "open", goals, **o)
+    market = lambda df, goals, **o: goal_values(df, "signal_id", index, [], "at", "open", goals, **o)
+    # What later steps build on is written once; chained, each step would work out all those before it again, several times.
+    now = kept(stock(x, {"cs": ("cut", 1200, True), "sl": ("cut", 1200)}, forward=False), "stock-now")
+    then = kept(market(x, {"cb": ("cut", 1200, True), "bl": ("cut", 1200)}, forward=False), "market-now")
+    back = now.select("signal_id", "ticker", (F.col("cs_at") - hours(1)).alias("t1"), (F.col("cs_at") - F.expr("INTERVAL '1' DAY")).alias("t2"), (F.col("cs_at") - F.expr("INTERVAL '5' DAY")).alias("t3"))
+    parts = [
+        now, then, stock(back, {"h1": ("t1", 1200), "d1": ("t2", 345_600), "d5": ("t3", 345_600)}, forward=False),
+        market(then.select("signal_id", (F.col("cb_at") - hours(1)).alias("t4")), {"b1": ("t4", 1200)}, forward=False),
+        stock(x, {"sf": ("published_at", 1200)}), market(x, {"bf": ("published_at", 1200)}),
+    ]
+    for part in parts:
+        x = x.join(part.drop("ticker"), "signal_id", "left")
     x = x.withColumn("day", F.to_date("cut")).join(daily_risk(spark, d), ["ticker", "day"], "left")
     x = x.withColumns({
         "pre_1h": change("cs", "h1") * 100, "pre_1d": change("cs", "d1") * 100, "pre_5d": change("cs", "d5") * 100, "bench_1h": change("cb", "b1") * 100,

@@ -45,3 +45,8 @@ def test_window_stats_meets_no_pairs(spark):
 
 def test_check_reconcile_meets_no_pairs(spark):
     assert joins(plans.queries()["check_reconcile"](spark, SF)) == 2 * joins(horizon(entries(spark, SF), spark, SF, 4, "target")) + 1  # the labels, those again for their windows, and both together
+
+
+def test_steps_of_feature_rows_dont_work_out_those_before_them(spark):
+    plan = plans.queries()["materiality_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 24
