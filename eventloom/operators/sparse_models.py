@@ -20,6 +20,16 @@ from ..sources.shared import kept
 SPARSE = "i array<int>, v array<double>"
 
 
+def pieces(batch, column: int, most: int = 1 << 18):
+    """A batch in runs of rows of `most` entries of a list column at most, or one row: long texts would fill memory by their arrays."""
+    ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def group_weights(df: DataFrame, group: str, out: str = "w") -> DataFrame:
     """Each group counts as one, scaled so that weights are 1 on average; a null group is a group.
 
@@ -120,7 +130,7 @@ class TextEncoder:
 
         def run(batches):
             idf = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, whole.num_columns - 1)):
                 hashes = batch.column(batch.num_columns - 1)
                 sizes = hashes.value_lengths().fill_null(0).to_numpy()
                 key = np.repeat(np.arange(len(sizes)), sizes) * dims + hashes.flatten().to_numpy()
@@ -187,7 +197,7 @@ def fit_sparse(rows: DataFrame, dims: int, classes: int = 2, c: float = 1.0, pen
 
         def run(batches):
             weights, loss, slope = shared.value, 0.0, np.zeros((width, dims + 1))
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, 0)):
                 z, i, row, v = margins(batch.column(0), batch.column(1), weights)
                 y, w = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 if width == 1:
@@ -242,7 +252,7 @@ def score_sparse(rows: DataFrame, weights: np.ndarray, out: str = "p") -> DataFr
     many = max(2, len(weights))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, len(names))):
             z = margins(batch.column(len(names)), batch.column(len(names) + 1), shared.value)[0]
             if z.shape[1] == 1:
                 z = np.concatenate([np.zeros_like(z), z], 1)

@@ -114,3 +114,16 @@ def test_text_rows_are_tf_idf(spark):
 def test_too_many_values(table):
     with pytest.raises(ValueError, match="over 10 values"):
         RowEncoder([], ["id"]).fit(table[1], most=10)
+
+
+def test_batches_are_cut_by_entries():
+    import pyarrow as pa
+
+    from eventloom.operators.sparse_models import pieces
+
+    sizes = [3, 0, 4, 9, 0, 2, 1, 1, 5, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([[n] * n for n in sizes])], names=["id", "i"])
+    parts = list(pieces(batch, 1, 7))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [sum(p.column(1).value_lengths().to_pylist()) for p in parts] == [7, 9, 4, 5]
+    assert list(pieces(batch.slice(0, 0), 1)) == []
