@@ -27,7 +27,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " ")), r" ([.,;:!?])", "$1")
+    return F.regexp_replace(F.trim(F.regexp_replace(t, r"[\t\n\r][ \t\n\r]*| [ \t\n\r]+", " ")), r" ([.,;:!?])", "$1")  # single spaces stand already
 
 
 def text_hash(text: Column) -> Column:

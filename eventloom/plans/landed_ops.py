@@ -29,7 +29,7 @@ def archive_posts(spark, d):
     minute = F.expr("TIMESTAMP '2024-01-01 00:00:00'") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
     posts = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("channel"), (F.col("doc_id") + 1).alias("message_id"), minute.alias("published"), "text", (F.col("doc_id") % 4 == 0).alias("edited"))
     folder, out, check = scratch(spark, "archive"), scratch(spark, "posts"), scratch(spark, "posts-checkpoint")
-    land_archive(posts.where("text IS NOT NULL"), folder)
+    land_archive(posts.where("text IS NOT NULL"), folder, run_pages=16)
     for pages in (8, 64):  # the second run begins where the first one stopped
         stream = archived_posts(spark, folder, pages=pages).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).start()
         try:

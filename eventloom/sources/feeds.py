@@ -38,15 +38,17 @@ def channel_posts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Messages of public channel pages: id, time, text and whether it was edited. Columns of the pages stay."""
     own = [c for c in pages.columns if c != html]
     parts = F.slice(F.split(F.col(html), r'(?=<div class="[^"]*message[^"]*" data-post=)'), 2, 2_000_000)
-    part = pages.select(*own, F.explode(parts).alias("p"))
-    first = lambda pattern: F.nullif(F.regexp_extract("p", pattern, 1), F.lit(""))
-    out = part.select(
-        *own,
-        first(r'data-post="([^"]+)"').alias("post_id"),
-        F.try_to_timestamp(first(r'<time[^>]*datetime="([^"]+)"')).alias("published"),
-        plain_text(F.regexp_replace(first(r'(?s)<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>'), r"<br ?/?>", " ")).alias("text"),
-        F.col("p").rlike(r"(?s)message_meta[^>]*>\s*edited").alias("edited"),
-    )
+
+    def post(p: Column) -> Column:
+        first = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit(""))
+        return F.struct(
+            first(r'data-post="([^"]+)"').alias("post_id"),
+            F.try_to_timestamp(first(r'<time[^>]*datetime="([^"]+)"')).alias("published"),
+            plain_text(F.regexp_replace(first(r'(?s)<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>'), r"<br ?/?>", " ")).alias("text"),
+            p.rlike(r"(?s)message_meta[^>]*>\s*edited").alias("edited"),
+        )
+
+    out = pages.select(*own, F.inline(F.transform(parts, post)))  # what is filtered below is worked out once, not in the filter as well
     return out.where("post_id IS NOT NULL AND published IS NOT NULL AND text <> ''")
 
 
