@@ -36,6 +36,8 @@ from .wavelet import WaveletFile, pack
 #: bytes from which a text is encoded alone; bytes of texts whose words are numbered together.
 SHARD_TOKENS, CACHE_WORDS, CACHE_CHARS, CHUNK, LONG, SLICE = 1 << 22, 300_000, 40, 1 << 18, 1 << 23, 1 << 23
 READ_TASKS = 10_000
+#: Words that the library encodes as one text.
+TOGETHER = 4_000
 DOUBLE = re.compile(r"\s\s")
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that every version of Unicode holds for letters, and marks other than the apostrophe (contractions): where one ends, a piece ends.
@@ -53,7 +55,7 @@ class LibraryEncoder:
 
     def __init__(self, spec: str, end: int = 0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
@@ -69,6 +71,12 @@ class LibraryEncoder:
         shown = [n for n in range(256) if 33 <= n <= 126 or 161 <= n <= 172 or 174 <= n <= 255]  # bytes that stand for themselves
         hidden = [n for n in range(256) if n not in set(shown)]
         self.letters = {n: n for n in shown} | {n: 256 + i for i, n in enumerate(hidden)}  # the file format's letter for each byte
+        vocabulary = self.library.get_vocab(True)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[:1] == chr(self.letters[32])]] = True
+        self.by_lines = Tokenizer(self.model)
+        self.by_lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.line_letters = {b: c for b, c in self.letters.items() if b != 10}
         self.end = end
         self.marks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -125,7 +133,10 @@ class LibraryEncoder:
         used[begins[:-1]] = False
         after_space = np.zeros(len(distinct), bool)
         after_space[which[used]] = True
-        packed = [self.known(w) if u else b"" for w, u in zip(distinct, after_space.tolist())]
+        packed = [b""] * len(distinct)
+        behind = np.flatnonzero(after_space).tolist()
+        for n, got in zip(behind, self.all_known(list(map(distinct.__getitem__, behind)))):
+            packed[n] = got
         entries = [*packed, *first, np.array([self.end], self.kind).tobytes()]
         which[begins[:-1]] = len(packed) + np.arange(len(texts))
         which = np.insert(which, begins[1:], len(entries) - 1)
@@ -138,6 +149,65 @@ class LibraryEncoder:
         last = begins[1:] + np.arange(len(texts))
         return flat[at], np.diff(np.concatenate([[0], upto[last]]))
 
+    def all_known(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each word after it; what isn't in the cache goes to the library together."""
+        stems, older, marks_of, split = self.stems, self.older, self.marks, MARKED.fullmatch
+        out, missing, waiting = [], {}, []
+        for word in words:
+            tail = b""
+            if not word.isalpha() and (marked := split(word)):
+                word, marks = marked.groups()
+                tail = marks_of.get(marks) or self.after_letters(marks)
+            got = stems.get(word)
+            if got is None:
+                got = older.get(word)
+                if got is None:
+                    missing[word] = b""
+                    waiting.append((len(out), word, tail))
+                    out.append(b"")
+                    continue
+                missing[word] = got
+            out.append(got + tail if tail else got)
+        new = [w for w, got in missing.items() if not got]
+        missing.update(zip(new, self.together(new)))
+        for n, word, tail in waiting:
+            out[n] = missing[word] + tail
+        for word, got in missing.items():
+            if len(word) <= CACHE_CHARS:
+                if len(self.stems) >= CACHE_WORDS:
+                    self.older, self.stems = self.stems, {}
+                self.stems[word] = got
+        return out
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """The same, many words a text: each begins with a token that begins with a space, and holds no other.
+
+        Words of Latin letters are one piece each and go to the merges without the split.
+        """
+        plain = list(map(LATIN.fullmatch, words))
+        latin, rest = [w for w, p in zip(words, plain) if p], [w for w, p in zip(words, plain) if not p]
+        if not rest:
+            return self.joined(latin, self.by_lines)
+        one, two = iter(self.joined(latin, self.by_lines)), iter(self.joined(rest, self.library))
+        return [next(one if p else two) for p in plain]
+
+    def joined(self, words: list[str], library) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            if library is self.library:
+                text = " " + " ".join(own)
+            else:
+                text = (" " + "\n ".join(own)).encode().decode("latin-1").translate(self.line_letters)
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(own):
+                out += self.pieces([" " + w for w in own])
+                continue
+            raw, cuts = ids.tobytes(), (np.append(begins, len(ids)) * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
     def known(self, word: str) -> bytes:
         """The ids of a space and the word after it: of letters with marks behind them, those of both."""
         if word.isalpha():

@@ -22,6 +22,8 @@ import zstandard
 MAGIC = b"WTOK0001"
 #: Bytes of a plane's block before it is compressed, and the blocks a reader keeps.
 BLOCK, KEPT = 1 << 15, 64
+#: Ids of a plane that are dealt with at a time; whole bytes of it.
+STRETCH = 1 << 16
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -31,16 +33,21 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, sizes: np.n
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros, ones, stored, blocks = [], [], [], []
     for bit in range(bits - 1, -1, -1):
-        one = (x & x.dtype.type(1 << bit)).astype(bool)
-        plane = np.packbits(one, bitorder="little")
+        planes, low, high = [], [], []
+        for at in range(0, len(x), STRETCH):  # short enough for a processor's cache
+            own = x[at : at + STRETCH]
+            one = (own & x.dtype.type(1 << bit)).astype(bool)
+            planes.append(np.packbits(one, bitorder="little"))
+            low.append(own[np.flatnonzero(~one)])  # positions are taken faster than by a mask
+            high.append(own[np.flatnonzero(one)])
+        plane = np.concatenate([np.zeros(0, np.uint8), *planes])
         edges = range(0, len(plane), BLOCK)
         ones.append([int(n) for n in np.cumsum([0] + [int(np.bitwise_count(plane[a : a + BLOCK]).sum(dtype=np.int64)) for a in edges])])
         parts = [press(plane[a : a + BLOCK].tobytes()) for a in edges]
         stored.append([len(p) for p in parts])
         blocks += parts
-        first = np.flatnonzero(~one)  # positions are taken faster than by a mask
-        zeros.append(len(first))
-        x = np.concatenate([x[first], x[np.flatnonzero(one)]])
+        zeros.append(sum(map(len, low)))
+        x = np.concatenate([x[:0], *low, *high])
     table = press(doc_ids.astype("<i8").tobytes() + null_ids.astype("<i8").tobytes() + sizes.astype("<i8").tobytes())
     header = json.dumps({"n": len(ids), "bits": bits, "docs": len(sizes), "table": len(table), "zeros": zeros, "ones": ones, "stored": stored}, separators=(",", ":")).encode()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, table, *blocks])
