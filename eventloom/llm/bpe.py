@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import give_back, pieces_of
+from .common import begin, give_back, kept_in_worker, pieces_of
 
 #: The byte-level split of the public vocabulary (a fixed value of its file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -270,7 +270,7 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
-_loaded: dict[str, Transducer] = {}
+_loaded: dict[str, Transducer] = kept_in_worker("bpe")
 
 
 def transducer(spec: str) -> Transducer:
@@ -297,6 +297,7 @@ def bpe_round_trip(
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         t = transducer(spec.value)
         for batch in (x for b in batches for x in pieces_of(b, 1)):
             counts, ids_sha, text_sha, kept = [], [], [], []

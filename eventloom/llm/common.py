@@ -56,6 +56,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What operators keep in a worker from task to task.
+_kept: dict[str, dict] = {}
+
+
+def kept_in_worker(name: str) -> dict:
+    """An operator's own dictionary of what it keeps in a worker."""
+    return _kept.setdefault(name, {})
+
+
+def begin(own: str | None = None) -> None:
+    """A task begins: what other operators keep in this worker goes. Workers live on from stage to stage, so it would add up."""
+    others = [kept for name, kept in _kept.items() if kept and name != own]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Return memory that this worker has freed to the system: workers live on from stage to stage, what they keep adds up."""
     import pyarrow as pa

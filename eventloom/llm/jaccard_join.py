@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_names, give_back, materialize, pieces_of, release
+from .common import begin, discard, free_names, give_back, materialize, pieces_of, release
 
 WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, HOT_TOKENS = 16_384, 200_000
@@ -335,15 +335,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = plain.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, rows // SAMPLE_DOCS))) == 0).select("text")
 
     def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in (x for b in batches for x in pieces_of(b, 0)):
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["token"])
+            del sets
+        give_back()
 
     often = some.mapInArrow(all_tokens, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(HOT_TOKENS)
     hot = np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(U64))  # HOT_TOKENS at most
     shared = spark.sparkContext.broadcast(hot)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in (x for b in batches for x in pieces_of(b, 1)):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             heads = [ordered(s, shared.value)[: prefix_size(len(s), percent)].tobytes() for s in sets]
@@ -361,6 +365,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     step = np.log(100.1 / percent)  # a little more than linked sizes can differ by
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         seen: set[int] = set()
         for batch in (x for b in batches for x in pieces_of(b, 1)):
             fresh = []
@@ -382,12 +387,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                  pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else [], pa.int32()), pa.array(level, pa.int32())],
                 names=["token", "node", "often", "pos", "level"],
             )
+            del heads, token, often, level
+        seen.clear()
+        give_back()
 
     def in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of token and node, each once: those whose token another node has too, or is frequent.
 
         Keeps one row from batch to batch.
         """
+        begin()
         held, held_used = None, False
         for batch in batches:
             if not len(batch):
@@ -406,6 +415,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield batch.slice(0, len(batch) - 1).filter(pa.array(used[:-1]))
         if held is not None and held_used:
             yield held
+        give_back()
 
     kinds = "token long, node long, often boolean, pos int, level int"
     tokens = heads.mapInArrow(spread, kinds)
@@ -433,7 +443,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         live = np.zeros(len(node), bool)
         for x, y in candidates(blocks_of(table), n, maps, percent):
             live[x] = live[y] = True
-        return table.select(["node", "home", "part", "pack", "key"]).filter(pa.array(live))
+        out = table.select(["node", "home", "part", "pack", "key"]).filter(pa.array(live))
+        del maps
+        give_back()
+        return out
 
     placed = spots.join(classes.select("node", "key", "n", "bits"), "node").groupBy("pack")
     live = materialize(placed.applyInArrow(partnered, "node long, home long, part long, pack long, key long"), "partnered")
@@ -449,11 +462,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         chosen = spark.sparkContext.broadcast(picked)
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin()
             for batch in (x for b in batches for x in pieces_of(b, 1)):
                 at = batch.column(0).to_numpy()
                 rows = np.flatnonzero((chosen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 sets = shingle_sets(batch.column(1).take(pa.array(rows)).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                del sets
+            give_back()
 
         return materialize(plain.select(spot.alias("b"), "text").mapInArrow(members, "node long, tokens binary"), name)
 
@@ -463,6 +479,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         node, own = table["node"].to_numpy(), [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
         labels = block_labels(blocks_of(table), node, own, percent)
         out = pa.table({"node": pa.array(node, pa.int64()), "label": pa.array(labels, pa.int64())})
+        del own
+        give_back()
         return out.group_by("node").aggregate([("label", "min")]).rename_columns(["node", "label"]) if len(out) else out
 
     labelled = live.join(sets.dropDuplicates(["node"]), "node").groupBy("pack").applyInArrow(label, "node long, label long")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, pieces_of, shared_dir
+from .common import begin, give_back, kept_in_worker, materialize, pieces_of, shared_dir
 from .wavelet import WaveletFile, pack
 
 #: Ids of a file, after which it is closed; words of a cache, and their characters; characters encoded at a time;
@@ -246,7 +246,7 @@ class LibraryEncoder:
         return got
 
 
-_encoders: dict[int, LibraryEncoder] = {}
+_encoders: dict[int, LibraryEncoder] = kept_in_worker("token_files")
 
 
 def encoder(spec: str, end: int) -> LibraryEncoder:
@@ -285,6 +285,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token_files")
         encode = encoder(spec.value, end)
         system, path = _open(folder)
         part, run_id, seq = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0

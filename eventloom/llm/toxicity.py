@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out, pieces_of
+from .common import begin, give_back, held_out, pieces_of
 
 EXAMPLES, EXAMPLE_CHARS, NEAREST, BLOCK = 2_500, 100_000, 15, 64
 #: A term is kept if it is so many times as frequent with the label, and no chance finding (a log-likelihood ratio).
@@ -221,6 +221,7 @@ def toxicity_scores(docs: DataFrame, model: Examples, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         m = shared.value
         for batch in (x for b in batches for x in pieces_of(b, 2)):
             got = [m.score(x.as_py() or "") for x in batch.column(2)]
@@ -243,6 +244,7 @@ def without_toxic(docs: DataFrame, model: Examples, text_col: str = "text", thre
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in (x for b in batches for x in pieces_of(b, at)):
             keep = [shared.value.score(x.as_py() or "")[0] < threshold for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
