@@ -43,14 +43,66 @@ BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that every version of Unicode holds for letters, and marks other than the apostrophe (contractions): where one ends, a piece ends.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 LATIN, MARKED = re.compile(f"[{LETTERS}]+"), re.compile(f"([{LETTERS}]+)([{MARKS}]+)")
+LATIN_LETTERS = "".join(chr(n) for n in range(0x250) if LATIN.match(chr(n)))
+MARK_CHARS = "".join(chr(n) for n in range(128) if re.match(f"[{MARKS}]", chr(n)))
+#: White space as str.strip takes it.
+WHITE = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
 
+def packed_array(offsets: np.ndarray, data):
+    """An Arrow array of binary values that follow each other in `data`, from `offsets`."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+
+
+def joined_up(entries, which: np.ndarray, cuts: np.ndarray):
+    """Values put together from entries: those of which[cuts[n]:cuts[n + 1]] make value n."""
+    import pyarrow as pa
+
+    taken = entries.take(pa.array(which))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][: len(which) + 1]
+    return packed_array(offsets[cuts], taken.buffers()[2] or b"")
+
+
+class Kept:
+    """A bounded cache of words and their packed ids, in two Arrow arrays: some 40 bytes a word, where a dictionary takes 250."""
+
+    def __init__(self):
+        import pyarrow as pa
+
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.now = np.zeros(0, np.int64), 0
+
+    def get(self, words, encode):
+        """The ids of distinct words; encode(list) gives those of the ones that aren't here."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.now += 1
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        got = encode(new.to_pylist())
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        self.used[at[~missing]] = self.now
+        at[missing] = len(self.ids) + np.arange(len(new))
+        out = pa.concat_arrays([self.ids, got]).take(pa.array(at))
+        short = pc.less_equal(pc.utf8_length(new), CACHE_CHARS)
+        self.words, self.ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.ids, got.filter(short)])
+        self.used = np.concatenate([self.used, np.full(len(self.words) - len(self.used), self.now)])
+        if len(self.words) > 2 * CACHE_WORDS:  # those used last stay
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: 3 * CACHE_WORDS // 2])
+            self.words, self.ids, self.used = self.words.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.used[stay]
+        return out
+
+
 class LibraryEncoder:
     """A text's ids as the library gives them, packed; words are encoded once while they stay in a cache.
 
-    A cache in two generations holds stems, words without their marks. Each lookup costs a miss of the processor's caches, so
-    there is one a word.
+    Caches hold stems, words without their marks: one for all words of a slice of texts, one, in two generations, for texts
+    that are encoded alone.
     """
 
     def __init__(self, spec: str, end: int = 0):
@@ -76,11 +128,12 @@ class LibraryEncoder:
         self.opens[[i for t, i in vocabulary.items() if t[:1] == chr(self.letters[32])]] = True
         self.by_lines = Tokenizer(self.model)
         self.by_lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.line_letters = {b: c for b, c in self.letters.items() if b != 10}
+        self.line_letters = np.array([10 if b == 10 else self.letters[b] for b in range(256)], "<u4")
         self.end = end
         self.marks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept = {" ": Kept(), "": Kept()}
         self.line_end = self.pieces(["\n"])[0]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
@@ -108,6 +161,7 @@ class LibraryEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        texts = texts.cast(pa.large_string())
         alone: dict[int, bytes] = {}
         if not self.by_words:
             alone = {n: b"".join(self.encode(t.as_py())) for n, t in enumerate(texts)}
@@ -118,95 +172,95 @@ class LibraryEncoder:
             rest = texts if not alone else pc.if_else(pa.array([n not in alone for n in range(len(texts))]), texts, "")
             split = pc.split_pattern(rest, " ")
             begins = split.offsets.to_numpy().astype(np.int64)
+            begins -= begins[0]
             coded = split.flatten().dictionary_encode()
-            which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-            begins = begins - begins[0]
-            spaces = np.array([not w or w.strip() != w for w in distinct], bool)
+            which, distinct = coded.indices.to_numpy(), coded.dictionary
+            size = pc.binary_length(distinct).to_numpy()
+            spaces = (size == 0) | (pc.binary_length(pc.utf8_trim(distinct, characters=WHITE)).to_numpy() < size)
             odd_first, odd_last = spaces[which], spaces[which]
             odd_first[begins[:-1]], odd_last[begins[1:] - 1] = False, False  # a text's own beginning and end are borders
             if not (odd := np.flatnonzero(odd_first | odd_last)).size:
                 break
             for n in np.unique(np.searchsorted(begins, odd, side="right") - 1).tolist():
                 alone[n] = b"".join(self.encode(texts[n].as_py()))
-        first = [alone[n] if n in alone else self.spaced(w, "") if w else b"" for n, w in enumerate(map(distinct.__getitem__, which[begins[:-1]].tolist()))]
         used = np.ones(len(which), bool)
         used[begins[:-1]] = False
         after_space = np.zeros(len(distinct), bool)
         after_space[which[used]] = True
-        packed = [b""] * len(distinct)
-        behind = np.flatnonzero(after_space).tolist()
-        for n, got in zip(behind, self.all_known(list(map(distinct.__getitem__, behind)))):
-            packed[n] = got
-        entries = [*packed, *first, np.array([self.end], self.kind).tobytes()]
-        which[begins[:-1]] = len(packed) + np.arange(len(texts))
-        which = np.insert(which, begins[1:], len(entries) - 1)
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(entries), self.kind)
-        own = sizes[which]
-        upto = np.cumsum(own)
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - own), own)
-        at += np.arange(len(at))
-        last = begins[1:] + np.arange(len(texts))
-        return flat[at], np.diff(np.concatenate([[0], upto[last]]))
-
-    def all_known(self, words: list[str]) -> list[bytes]:
-        """The ids of a space and each word after it; what isn't in the cache goes to the library together."""
-        stems, older, marks_of, split = self.stems, self.older, self.marks, MARKED.fullmatch
-        out, missing, waiting = [], {}, []
-        for word in words:
-            tail = b""
-            if not word.isalpha() and (marked := split(word)):
-                word, marks = marked.groups()
-                tail = marks_of.get(marks) or self.after_letters(marks)
-            got = stems.get(word)
-            if got is None:
-                got = older.get(word)
-                if got is None:
-                    missing[word] = b""
-                    waiting.append((len(out), word, tail))
-                    out.append(b"")
-                    continue
-                missing[word] = got
-            out.append(got + tail if tail else got)
-        new = [w for w, got in missing.items() if not got]
-        missing.update(zip(new, self.together(new)))
-        for n, word, tail in waiting:
-            out[n] = missing[word] + tail
-        for word, got in missing.items():
-            if len(word) <= CACHE_CHARS:
-                if len(self.stems) >= CACHE_WORDS:
-                    self.older, self.stems = self.stems, {}
-                self.stems[word] = got
-        return out
+        behind, first = distinct.filter(pa.array(after_space)), distinct.take(pa.array(which[begins[:-1]]))
+        entries = pa.concat_arrays([self.ids_of(behind), self.units(first, ""), pa.array([*alone.values(), np.array([self.end], self.kind).tobytes()], pa.large_binary())])
+        which = (np.cumsum(after_space, dtype=np.int32) - 1)[which]
+        which[begins[:-1]] = len(behind) + np.arange(len(texts))
+        which[begins[list(alone)]] = len(behind) + len(texts) + np.arange(len(alone))
+        whole = joined_up(entries, np.insert(which, begins[1:], len(entries) - 1), begins + np.arange(len(begins)))
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[: len(texts) + 1]
+        return np.frombuffer(whole.buffers()[2], self.kind, int(offsets[-1]) // self.kind.itemsize), np.diff(offsets) // self.kind.itemsize
+
+    def ids_of(self, words):
+        """The packed ids of a space and each word after it, of an Arrow array of words; a line's end inside a word is a piece of its own."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def together(self, words: list[str]) -> list[bytes]:
-        """The same, many words a text: each begins with a token that begins with a space, and holds no other.
+        lined = pc.match_substring(words, "\n").to_numpy(zero_copy_only=False).copy()
+        lined[lined] = [not DOUBLE.search(w) for w in words.filter(pa.array(lined)).to_pylist()]
+        if not lined.any():
+            return self.units(words, " ")
+        split = pc.split_pattern(words.filter(pa.array(lined)), "\n")
+        cuts, parts, whole = split.offsets.to_numpy().astype(np.int64), split.flatten(), words.filter(pa.array(~lined))
+        cuts -= cuts[0]
+        first = np.zeros(len(parts), bool)
+        first[cuts[:-1]] = True
+        behind = pa.concat_arrays([whole, parts.filter(pa.array(first))])
+        entries = pa.concat_arrays([self.units(behind, " "), self.units(parts.filter(pa.array(~first)), ""), pa.array([self.line_end], pa.large_binary())])
+        which = np.where(first, len(whole) + np.cumsum(first) - 1, len(behind) + np.cumsum(~first) - 1)
+        own = joined_up(entries, np.insert(which, np.flatnonzero(~first), len(entries) - 1), cuts + np.concatenate([[0], np.cumsum(~first)])[cuts])
+        at = np.where(lined, len(whole) + np.cumsum(lined) - 1, np.cumsum(~lined) - 1)
+        return pa.concat_arrays([entries.slice(0, len(whole)), own]).take(pa.array(at))
+
+    def units(self, words, space: str):
+        """The packed ids of space and each word: of Latin letters with marks behind them, those of both."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tails = pc.utf8_ltrim(words, characters=LATIN_LETTERS)
+        marked = pc.and_(pc.equal(pc.binary_length(pc.ascii_rtrim(tails, characters=MARK_CHARS)), 0), pc.less(pc.binary_length(tails), pc.binary_length(words)))
+        coded = pc.if_else(marked, pc.ascii_rtrim(words, characters=MARK_CHARS), words).dictionary_encode()
+        tails = pc.if_else(marked, tails, "").dictionary_encode()
+        ends = pa.array([m and (self.marks.get(m) or self.after_letters(m)) or b"" for m in tails.dictionary.to_pylist()], pa.large_binary())
+        stems = self.kept[space].get(coded.dictionary, self.together if space else lambda new: pa.array([self.spaced(w, "") for w in new], pa.large_binary()))
+        return pc.binary_join_element_wise(stems.take(coded.indices), ends.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+
+    def together(self, words: list[str]):
+        """The packed ids of a space and each word after it, many words a text.
 
         Words of Latin letters are one piece each and go to the merges without the split.
         """
-        plain = list(map(LATIN.fullmatch, words))
-        latin, rest = [w for w, p in zip(words, plain) if p], [w for w, p in zip(words, plain) if not p]
-        if not rest:
-            return self.joined(latin, self.by_lines)
-        one, two = iter(self.joined(latin, self.by_lines)), iter(self.joined(rest, self.library))
-        return [next(one if p else two) for p in plain]
-
-    def joined(self, words: list[str], library) -> list[bytes]:
-        out: list[bytes] = []
+        import pyarrow as pa
+
+        latin = np.array([LATIN.fullmatch(w) is not None for w in words], bool)
+        if latin.all():
+            return self.joined(words, self.by_lines)
+        one, two = (self.joined([w for w, own in zip(words, mine.tolist()) if own], library) for mine, library in ((latin, self.by_lines), (~latin, self.library)))
+        return pa.concat_arrays([one, two]).take(pa.array(np.where(latin, np.cumsum(latin), len(one) + np.cumsum(~latin)) - 1))
+
+    def joined(self, words: list[str], library):
+        """The same: each begins with a token that begins with a space, and holds no other."""
+        import pyarrow as pa
+
+        out = [pa.array([], pa.large_binary())]
         for at in range(0, len(words), TOGETHER):
             own = words[at : at + TOGETHER]
             if library is self.library:
                 text = " " + " ".join(own)
             else:
-                text = (" " + "\n ".join(own)).encode().decode("latin-1").translate(self.line_letters)
+                text = self.line_letters[np.frombuffer((" " + "\n ".join(own)).encode(), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             begins = np.flatnonzero(self.opens[ids])
-            if len(begins) != len(own):
-                out += self.pieces([" " + w for w in own])
-                continue
-            raw, cuts = ids.tobytes(), (np.append(begins, len(ids)) * self.kind.itemsize).tolist()
-            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        return out
+            if len(begins) == len(own):
+                out.append(packed_array(np.append(begins, len(ids)) * self.kind.itemsize, ids))
+            else:
+                out.append(pa.array(self.pieces([" " + w for w in own]), pa.large_binary()))
+        return pa.concat_arrays(out)
 
     def known(self, word: str) -> bytes:
         """The ids of a space and the word after it: of letters with marks behind them, those of both."""
@@ -258,6 +312,14 @@ def encoder(spec: str, end: int) -> LibraryEncoder:
     return _encoders[key]
 
 
+def even(texts) -> int:
+    """Bytes of a slice when texts are cut into equal ones of about SLICE: a look at the cache costs as much for a small one."""
+    import pyarrow.compute as pc
+
+    total = pc.sum(pc.binary_length(texts)).as_py() or 0
+    return total // max(1, round(total / SLICE)) + 1
+
+
 def _open(uri: str):
     """The file system of a URI and the path in it."""
     from pyarrow import fs
@@ -302,7 +364,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, en
             values = ([part], [seq], [f"{folder}/{name}"], [len(sizes)], [len(ids)])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "seq", "file", "n_docs", "n_tokens"])
 
-        for batch in (x for b in batches for x in pieces_of(b, 1, SLICE)):
+        for batch in (x for b in batches for x in pieces_of(b, 1, even(b.column(1)))):
             if not len(batch):
                 continue
             ids, sizes = encode.encode_all(batch.column(1))
