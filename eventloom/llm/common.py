@@ -51,8 +51,12 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner remove the shuffle files of finished stages now: it acts when the driver's heap is collected."""
+    """Have Spark's cleaner remove the shuffle files and broadcasts of finished stages now: it acts when the driver's heap is collected.
+
+    Heap that isn't used any more goes back to the system by this as well, and so does what the driver's Python has freed.
+    """
     gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 

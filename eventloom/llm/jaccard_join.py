@@ -306,8 +306,8 @@ def block_labels(blocks: list[np.ndarray], nodes: np.ndarray, sets: list[np.ndar
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node u of the edges with the least node v of its component, those that are it left out."""
-    state, seen = materialize(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "links"), None
-    while True:
+    state = materialize(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), "links")
+    while not stars(state):
         both = state.unionByName(state.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         large = both.join(low, "u").where("v > u and v <> m").selectExpr("v u", "m v").distinct()
@@ -315,10 +315,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "u")
         last, state = state, materialize(small.where("v <> m").selectExpr("v u", "m v").unionByName(low2.selectExpr("u", "m v")).distinct(), "links")
         discard(last)
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(now):
-            return state
-        seen = tuple(now)
+        release(edges.sparkSession)  # the tables that a round's joins broadcast stay in the driver's heap until it is collected
+    return state
+
+
+def stars(state: DataFrame) -> bool:
+    """Whether no u has two v or is one: then each v is the least of its component, as u > v."""
+    sides = state.selectExpr("u node", "1 out").unionByName(state.selectExpr("v node", "0 out"))
+    return sides.groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).where("outs > 1 OR outs > least").count() == 0
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -343,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         give_back()
 
     often = some.mapInArrow(all_tokens, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(HOT_TOKENS)
-    hot = np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(U64))  # HOT_TOKENS at most
+    hot = np.sort(often.select("token").toArrow().column(0).to_numpy().view(U64))  # HOT_TOKENS at most
     shared = spark.sparkContext.broadcast(hot)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,6 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         give_back()
 
     described = materialize(plain.mapInArrow(describe, "doc_id long, key long, node long, n int, head binary, bits binary"), "shingles")
+    release(spark)
     heads = described.where("n > 0").select("node", "head", "n")
     classes = described.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
@@ -451,6 +456,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = spots.join(classes.select("node", "key", "n", "bits"), "node").groupBy("pack")
     live = materialize(placed.applyInArrow(partnered, "node long, home long, part long, pack long, key long"), "partnered")
     discard(homes)
+    release(spark)
 
     def sets_of(keys: DataFrame, name: str) -> DataFrame:
         """(node, tokens) of the classes whose key is given, and of a few more: a bitmap of fixed size picks them from the texts."""
@@ -487,6 +493,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = materialize(labelled, "labels")
     discard(live)
     discard(sets)
+    release(spark)
 
     # 3. Shingles that still join several components.
     label_of = F.coalesce("label", "node").alias("label")
@@ -502,6 +509,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = open_.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")  # equal buckets once
     members = materialize(placed.select("token", "node", "own").join(buckets, "token"), "members")
     discard(placed)
+    release(spark)
 
     def merged(table: pa.Table) -> pa.Table:
         """Pairs of labels that an exact link within a block connects, a spanning set of them."""
@@ -533,6 +541,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         last, labelled = labelled, materialize(every.join(roots.toDF("label", "root"), "label", "left").selectExpr("node", "coalesce(root, label) label"), "labels")
         for done in (last, joined, roots):
             discard(done)
+        release(spark)
     if gathered is not None:
         discard(gathered)
 
@@ -610,6 +619,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread_out = crossing.withColumn("pack", F.pmod(F.xxhash64("token", "p", "q"), F.lit(packs)))
     near = materialize(spread_out.groupBy("pack").applyInArrow(pairs, "x long, y long").distinct(), "near")
     discard(known)
+    release(spark)
     ends = near.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     last_sets = sets_of(classes.join(ends, "node", "left_semi").select("key"), "more-sets")
     more = last_sets.join(ends, "node", "left_semi").dropDuplicates(["node"])

@@ -387,7 +387,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     # Anchors that are frequent in a bounded sample are in company, wherever their rows go: they are dealt to many tasks.
     some = plain.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, rows // SAMPLE_DOCS))) == 0)
     often = some.mapInArrow(find, kinds).groupBy("anchor").count().where("count >= 8").orderBy(F.desc("count"), "anchor").limit(HOT_ANCHORS)
-    frequent = spark.sparkContext.broadcast(np.array([r[0] for r in often.collect()], dtype=np.int64))  # HOT_ANCHORS at most
+    frequent = spark.sparkContext.broadcast(often.select("anchor").toArrow().column(0).to_numpy())  # HOT_ANCHORS at most
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hot = np.isin(batch.column(0).to_numpy(), frequent.value)
@@ -400,6 +400,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
     release(spark)
     distinct = active.groupBy("anchor", "region").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "first", "last", "place")).alias("r"))
     distinct = materialize(distinct.select("anchor", "region", "copies", "r.*"), "distinct-regions")
+    release(spark)
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     sized = distinct.join(groups, "anchor")
 
@@ -422,6 +423,7 @@ def cut_repeats(docs: DataFrame, length: int, id_col: str, text_col: str, group_
 
     regions = one.select("text", "xs").mapInArrow(cut, "anchor long, region long, copies long, kinds long, place long, bytes binary")
     regions = materialize(regions, "region-bytes")
+    release(spark)
     found = repeated_in_groups(regions, length, group_regions)
     spans = alone.unionByName(found)
     spans = materialize(spans, "spans")
