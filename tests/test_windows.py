@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom import plans
-from eventloom.operators.windows import window_aggregates
+from eventloom.operators.windows import window_aggregates, window_rows
 from eventloom.plans.market import entries, horizon
+from eventloom.sources.fixtures import bars
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,30 @@ def test_check_reconcile_meets_no_pairs(spark):
 def test_steps_of_feature_rows_dont_work_out_those_before_them(spark):
     plan = plans.queries()["materiality_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 24
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_window_rows_are_all_pairs(spark, strict):
+    rng = random.Random(4)
+    left = [(n, rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(-40, 60)])) for n in range(80)]
+    right = [(n, rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(-60, 60)])) for n in range(120)]
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz").alias(c)
+    df = window_rows(spark.createDataFrame(left, "id long, k string, s long").select("id", "k", at("s")), spark.createDataFrame(right, "row long, k string, t long").select("row", "k", at("t")), ["k"], "s", 10, "t", strict)
+    expected = [(a, b) for a, k, s in left for b, x, t in right if k is not None and k == x and None not in (s, t) and (s < t if strict else s <= t) and t <= s + 10]
+    assert sorted((r.id, r.row) for r in df.collect()) == sorted(expected)
+
+
+def test_event_window_rows_tells_which_bars(spark):
+    order = {}
+    for r in bars(spark, SF).orderBy("at", "bar_id").collect():
+        order.setdefault(r.ticker, []).append(r.bar_id)
+    e = entries(spark, SF).select("signal_id", "ticker", "entry_at")
+    laid_out, ticker = {}, {r.signal_id: r.ticker for r in e.collect()}
+    for r in window_rows(e, bars(spark, SF), ["ticker"], "entry_at", 6 * 3600, "at").collect():
+        laid_out.setdefault(r.signal_id, set()).add(r.bar_id)
+    told = {}
+    for r in plans.queries()["event_window_rows"](spark, SF).collect():
+        run = order[ticker[r.signal_id]]
+        told[r.signal_id] = set(run[run.index(r.first_bar) : run.index(r.last_bar) + 1])
+        assert len(told[r.signal_id]) == r.n
+    assert told and told == laid_out
